@@ -34,7 +34,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def fixed(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round doubles off the .5 boundary and widen counts, for comparing engines."""
+    """Doubles rounded off the .5 boundary, counts widened, dates as text: one form for
+    comparing engines."""
     step = S.EPS * 10.0 ** -digits
     out = []
     for f in df.schema.fields:
@@ -43,6 +44,8 @@ def fixed(df: DataFrame, digits: int = 4) -> DataFrame:
             c = F.round(c + F.lit(step), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("bigint")
+        elif isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -822,7 +825,7 @@ def nearest_pd_by_group(spark, sf_dir):
     return fixed_up.select(
         *PRODUCT, minors(a).alias("was_pd"), minors(b).alias("is_pd"),
         (a == b).alias("unchanged"),
-        ((b[1] == b[3]) & (b[2] == b[6]) & (b[5] == b[7])).alias("symmetric"))
+        ((b[1] == b[3]) & (b[2] == b[6]) & (b[5] == b[7])).alias("is_symmetric"))
 
 
 @query("pooled_covariance", digits=6)

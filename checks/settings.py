@@ -4,7 +4,7 @@ SCENARIO = ("1999-01-03", "1999-12-26")
 HISTORY = ("1996-03-06", "2000-10-18")
 MEASURE = "blended_total"
 PRODUCT = ("Brand#7", "BUILDING")
-PRICE_SHIFT = -150.0
+PRICE_SHIFT = -15.0
 PROMO_SHIFT = 0.05
 RAW_ITERS, BURN_IN = 30, 0
 

@@ -32,12 +32,18 @@ def coef_of(name: str, coef: str = "coef") -> Column:
     return F.col(coef)[COEF_ORDER.index(name)]
 
 
+def _log1p(name: str) -> Column:
+    """ln(x + 1); a value of -1 or less stops the job instead of losing its row."""
+    x = F.col(name)
+    bad = F.raise_error(F.concat(F.lit(f"{name} too low for a logarithm: "), x.cast("string")))
+    return F.when(x <= -1, bad.cast("double")).otherwise(F.log1p(x))
+
+
 def log1p_transform(facts: DataFrame) -> DataFrame:
     """Model columns: ln(x + 1) of units, assortment, inventory and price."""
-    drivers = [F.log1p(F.col(c)).alias(LOGGED[c]) if c in LOGGED else F.col(c)
-               for c in DRIVERS_RAW]
+    drivers = [_log1p(c).alias(LOGGED[c]) if c in LOGGED else F.col(c) for c in DRIVERS_RAW]
     return facts.select(
-        *ROW_KEYS, F.log1p("blended_units_total").alias("blended_units_total_log"), *drivers)
+        *ROW_KEYS, _log1p("blended_units_total").alias("blended_units_total_log"), *drivers)
 
 
 def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
