@@ -2,6 +2,8 @@
 
 A draw is a function of md5(key), so it is the same on every engine, for every
 partitioning and after every task retry; nothing here reads a generator state.
+Expressions are SQL text: one parsed expression costs the driver far less than a
+tree of column calls, which counts in a loop that plans anew each time.
 """
 
 from __future__ import annotations
@@ -14,56 +16,52 @@ from pyspark.sql import functions as F
 GAMMA_TRIES = 32
 
 
-def key_of(*parts) -> Column:
-    cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.concat_ws("|", *[c.cast("string") for c in cols])
+def key_of(*parts: int | str, columns: tuple[str, ...] = (), name: str = "") -> str:
+    """SQL text of a key: literal parts, column values, then a literal name.
+
+    A string part is a column (an iteration number, say), an integer a literal.
+    """
+    texts = [f"'{p}'" if isinstance(p, int) else f"CAST({p} AS STRING)" for p in parts]
+    return f"concat_ws('|', {', '.join([*texts, *columns, f"'{name}'"])})"
 
 
-def _unit(digest: Column, first: int) -> Column:
-    word = F.conv(F.substring(digest, first, 8), 16, 10).cast("double")
-    return (word + 0.5) / F.lit(4294967296.0)
+def _unit(digest: str, first: int) -> str:
+    return f"((CAST(conv(substring({digest}, {first}, 8), 16, 10) AS DOUBLE) + 0.5D) / 4294967296D)"
 
 
-def _normal(digest: Column) -> Column:
-    return F.sqrt(-2.0 * F.ln(_unit(digest, 1))) * F.cos(2.0 * pi * _unit(digest, 9))
+def _normal(digest: str) -> str:
+    return f"(sqrt(-2D * ln({_unit(digest, 1)})) * cos({2 * pi!r}D * {_unit(digest, 9)}))"
 
 
-def _numbered(key: Column, k: Column) -> Column:
-    return F.md5(F.concat_ws("|", key, k.cast("string")))
+def _digests(key: str, count: int) -> str:
+    return (f"transform(sequence(0, {count - 1}), "
+            f"k -> md5(concat_ws('|', {key}, CAST(k AS STRING))))")
 
 
-def uniforms(key: Column, count: int) -> Column:
+def uniforms(key: str, count: int) -> Column:
     """Array of ``count`` uniforms on (0, 1)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)),
-                       lambda k: _unit(_numbered(key, k), 1))
+    return F.expr(f"transform({_digests(key, count)}, g -> {_unit('g', 1)})")
 
 
-def normals(key: Column, count: int) -> Column:
+def normals(key: str, count: int) -> Column:
     """Array of ``count`` standard normals, one digest each."""
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)),
-                       lambda k: _normal(_numbered(key, k)))
+    return F.expr(f"transform({_digests(key, count)}, g -> {_normal('g')})")
 
 
-def gamma(key: Column, shape: Column, scale: Column) -> Column:
+def gamma(key: str, shape: str, scale: str) -> Column:
     """Gamma(shape, scale) by rejection from a cubed normal (Marsaglia and Tsang).
 
     A try is accepted with probability above 0.95, so that all of ``GAMMA_TRIES``
     fail about once in 1e41 draws; then the result is null and the fit stops on it.
     Shapes below 1 are drawn at shape + 1 and multiplied by u ** (1 / shape).
     """
-    small = shape < 1
-    d = F.when(small, shape + 1.0).otherwise(shape) - 1.0 / 3.0
-    c = 1.0 / F.sqrt(9.0 * d)
-
-    def attempt(k: Column) -> Column:
-        digest = _numbered(key, k)
-        x = _normal(digest)
-        v = F.pow(1.0 + c * x, 3)
-        ok = (v > 0) & (F.ln(_unit(digest, 17))
-                        < 0.5 * x * x + d - d * v + d * F.ln(F.greatest(v, F.lit(1e-300))))
-        return F.when(ok, d * v)
-
-    tries = F.transform(F.sequence(F.lit(0), F.lit(GAMMA_TRIES - 1)), attempt)
-    accepted = F.try_element_at(F.filter(tries, lambda t: t.isNotNull()), F.lit(1))
-    boost = F.when(small, F.pow(_unit(F.md5(key), 1), 1.0 / shape)).otherwise(F.lit(1.0))
-    return accepted * boost * scale
+    small = f"({shape}) < 1D"
+    d = f"(CASE WHEN {small} THEN ({shape}) + 1D ELSE ({shape}) END - 1D / 3D)"
+    drawn = (f"transform({_digests(key, GAMMA_TRIES)}, g -> named_struct("
+             f"'x', {_normal('g')}, 'log_u', ln({_unit('g', 17)})))")
+    cubed = (f"transform({drawn}, t -> named_struct('x', t.x, 'log_u', t.log_u, "
+             f"'v', pow(1D + t.x / sqrt(9D * {d}), 3D)))")
+    accepted = (f"filter(filter({cubed}, t -> t.v > 0D), "
+                f"t -> t.log_u < 0.5D * t.x * t.x + {d} - {d} * t.v + {d} * ln(t.v))")
+    boost = f"CASE WHEN {small} THEN pow({_unit(f'md5({key})', 1)}, 1D / ({shape})) ELSE 1D END"
+    return F.expr(f"{d} * try_element_at({accepted}, 1).v * {boost} * ({scale})")

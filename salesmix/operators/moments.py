@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, quadratic_form
+from ..functions.arrays import add_diag, dot, quadratic_form
 from ..functions.linalg import list_array
 from .relational import bounded_chunks
 
@@ -61,21 +61,21 @@ def vector_sum(df: DataFrame, keys: list[str], vector: str, size: int) -> DataFr
     Partial sums are made before each shuffle, whatever the number of rows per key.
     """
     if size <= WIDE_SUMS:
-        return df.groupBy(*keys).agg(
-            F.array(*[F.sum(F.col(vector)[i]) for i in range(size)]).alias("total"))
-    pair = F.struct("i", "v")
+        sums = ", ".join(f"sum({vector}[{i}])" for i in range(size))
+        return df.groupBy(*keys).agg(F.expr(f"array({sums})").alias("total"))
     return (
         df.select(*keys, F.posexplode(vector).alias("i", "v"))
         .groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-        .groupBy(*keys).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
-        .select(*keys, F.transform("pairs", lambda r: r["v"]).alias("total"))
+        .groupBy(*keys).agg(F.expr(
+            "transform(sort_array(collect_list(struct(i, v))), r -> r.v)").alias("total"))
     )
 
 
-def unpack_triangle(total, first: int, size: int, rows: range, cols: range):
+def unpack_triangle(total: str, size: int, rows: range, cols: range):
     """Elements of a symmetric matrix, stored as its upper triangle, as an array."""
-    at = {ij: first + k for k, ij in enumerate(_triangle(size))}
-    return F.array(*[total[at[min(i, j), max(i, j)]] for i in rows for j in cols])
+    at = {ij: k for k, ij in enumerate(_triangle(size))}
+    cells = [f"{total}[{at[min(i, j), max(i, j)]}]" for i in rows for j in cols]
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -85,19 +85,19 @@ def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = Non
     triangle = _triangle(size)
     d = d.dropna(subset=[y, *xs])
     if len(triangle) <= WIDE_SUMS:
-        z = [F.lit(1.0), *[F.col(x) for x in xs], F.col(y)]
-        sums = d.groupBy(*keys).agg(F.array(*[
-            F.sum(z[i] * z[j]) for i, j in triangle]).alias("total"))
+        z = ["1D", *[f"`{x}`" for x in xs], f"`{y}`"]
+        sums = ", ".join(f"sum({z[i]} * {z[j]})" for i, j in triangle)
+        sums = d.groupBy(*keys).agg(F.expr(f"array({sums})").alias("total"))
     else:
         partial = _partial_gram(d, y, xs, keys)
         sums = vector_sum(partial, keys, "part", len(triangle))
-    total, last = F.col("total"), size - 1
+    last = size - 1
     return sums.select(
         *keys,
-        total[0].cast("bigint").alias("n"),
-        unpack_triangle(total, 0, size, range(p), range(p)).alias("xtx"),
-        unpack_triangle(total, 0, size, range(p), range(last, last + 1)).alias("xty"),
-        total[len(triangle) - 1].alias("yty"))
+        F.expr("CAST(total[0] AS BIGINT)").alias("n"),
+        unpack_triangle("total", size, range(p), range(p)).alias("xtx"),
+        unpack_triangle("total", size, range(p), range(last, last + 1)).alias("xty"),
+        F.expr(f"total[{len(triangle) - 1}]").alias("yty"))
 
 
 def _partial_gram(d: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFrame:
@@ -134,13 +134,12 @@ def sum_vectors(df: DataFrame, vector: str, p: int, keys: tuple[str, ...] = ("h2
 def sum_outer_products(df: DataFrame, vector: str, mean: str, p: int,
                        keys: tuple[str, ...] = ("h2",)) -> DataFrame:
     """Sum of (b - m)(b - m)' plus p on the diagonal, per key."""
-    diff = F.zip_with(F.col(vector), F.col(mean), lambda b, m: b - m)
-    tri = F.array(*[F.col("diff")[i] * F.col("diff")[j] for i, j in _triangle(p)])
-    rows = df.select(*keys, diff.alias("diff")).select(*keys, tri.alias("tri"))
+    diff = F.expr(f"zip_with({vector}, {mean}, (b, m) -> b - m)")
+    cells = ", ".join(f"diff[{i}] * diff[{j}]" for i, j in _triangle(p))
+    rows = df.select(*keys, diff.alias("diff")).select(*keys, F.expr(f"array({cells})").alias("tri"))
     sums = vector_sum(rows, list(keys), "tri", p * (p + 1) // 2)
-    full = unpack_triangle(F.col("total"), 0, p, range(p), range(p))
-    return sums.select(*keys, F.transform(
-        full, lambda v, i: F.when(i % (p + 1) == 0, v + float(p)).otherwise(v)).alias("v_j"))
+    full = unpack_triangle("total", p, range(p), range(p))
+    return sums.select(*keys, add_diag(full, F.lit(float(p)), p).alias("v_j"))
 
 
 def group_ssr(stats: DataFrame, draws: DataFrame, p: int) -> DataFrame:

@@ -25,7 +25,7 @@ def ols_by_group(stats: DataFrame, p: int) -> DataFrame:
 
 def random_start_by_group(groups: DataFrame, keys: list[str], p: int, seed: int) -> DataFrame:
     """Start values uniform on (-1, 1)."""
-    key = rnd.key_of(seed, 0, *[F.col(k) for k in keys], "start")
+    key = rnd.key_of(seed, 0, columns=tuple(keys), name="start")
     return groups.withColumn("beta", F.transform(rnd.uniforms(key, p), lambda u: 2.0 * u - 1.0))
 
 
@@ -34,20 +34,20 @@ def check_dof(df1: int, p: int) -> None:
         raise ValueError(f"Wishart degrees of freedom {df1} are below the {p} coefficients")
 
 
-def wishart_key(seed: int, iteration) -> F.Column:
-    return rnd.key_of(seed, iteration, F.col("h2"), "W")
+def wishart_key(seed: int, iteration: int | str) -> str:
+    return rnd.key_of(seed, iteration, columns=("h2",), name="W")
 
 
-def pooled_key(seed: int, iteration) -> F.Column:
-    return rnd.key_of(seed, iteration, F.col("h2"), "mu")
+def pooled_key(seed: int, iteration: int | str) -> str:
+    return rnd.key_of(seed, iteration, columns=("h2",), name="mu")
 
 
-def group_key(seed: int, iteration) -> F.Column:
-    return rnd.key_of(seed, iteration, F.col("h2"), F.col("h1"), "b")
+def group_key(seed: int, iteration: int | str) -> str:
+    return rnd.key_of(seed, iteration, columns=("h2", "h1"), name="b")
 
 
-def noise_key(seed: int, iteration) -> F.Column:
-    return rnd.key_of(seed, iteration, F.col("h2"), "h")
+def noise_key(seed: int, iteration: int | str) -> str:
+    return rnd.key_of(seed, iteration, columns=("h2",), name="h")
 
 
 def wishart_draw_by_group(pooled: DataFrame, p: int, df1: int, seed: int,
@@ -150,6 +150,6 @@ def group_draw(groups: DataFrame, p: int, seed: int, iteration=1) -> DataFrame:
 
 def noise_precision_draw(s2: DataFrame, deflator: float, seed: int, iteration=1) -> DataFrame:
     """h ~ Gamma(v / 2, 2 / (v s2)) with v the deflated row count; mean 1 / s2."""
-    v = F.col("n") / F.lit(float(deflator))
-    h = rnd.gamma(noise_key(seed, iteration), v / 2.0, 2.0 / (v * F.col("s2")))
+    v = f"(n / {float(deflator)!r}D)"
+    h = rnd.gamma(noise_key(seed, iteration), f"{v} / 2D", f"2D / ({v} * s2)")
     return s2.withColumn("h", h)

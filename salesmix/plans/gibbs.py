@@ -219,7 +219,7 @@ def _level1_draws(stats: DataFrame, states: DataFrame, spec: FitSpec, first: boo
         arrays = [la.list_array(m) for m in (mean, b, cov)[:len(names)]]
         return pa.StructArray.from_arrays(arrays, names=names)
 
-    z = rnd.normals(post.group_key(spec.seed, F.col("iter")), p)
+    z = rnd.normals(post.group_key(spec.seed, "iter"), p)
     rows = stats.join(state, "h2")
     return rows.select("iter", "h2", "h1",
                        draw("xtx", "xty", "w", "mu_draw", "h", z).alias("o")).select(
