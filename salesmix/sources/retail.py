@@ -61,9 +61,9 @@ def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sum_over(prefix: str, promo: tuple, redline: tuple):
-    cells = [F.col(f"{prefix}{i}{j}") for i in promo for j in redline]
-    return sum(cells[1:], cells[0])
+def _cells(prefix: str, side: tuple[int, ...], part: tuple[int, ...]) -> str:
+    """Sum of the promo x redline cells that make up a measure, as SQL text."""
+    return "(" + " + ".join(f"{prefix}{i}{j}" for i in side for j in part) + ")"
 
 
 def brand_of(dept):
@@ -85,50 +85,38 @@ def month_name(week):
 
 def weekly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide weekly fact table, one row per product and week with sales."""
-    cells = [(i, j) for i in (0, 1) for j in (0, 1)]
-    sums = []
-    for name, source in (("q", "qty"), ("a", "amount"), ("l", "list_amount")):
-        for i, j in cells:
-            hit = (F.col("promo") == i) & (F.col("redline") == j)
-            sums.append(F.sum(F.when(hit, F.col(source)).otherwise(0.0)).alias(f"{name}{i}{j}"))
-    base = sales_lines(spark, sf_dir).groupBy("dept", "type", "week").agg(
-        *sums,
-        F.sum("stock").alias("inventory_qty"),
-        F.avg("promo").alias("promo_pct"),
-        F.avg("redline").alias("redline_pct"),
-        F.count_distinct("part").cast("double").alias("num_colors"),
-    )
+    sums = [
+        f"sum(CASE WHEN promo = {i} AND redline = {j} THEN {source} ELSE 0D END) AS {name}{i}{j}"
+        for name, source in (("q", "qty"), ("a", "amount"), ("l", "list_amount"))
+        for i in (0, 1) for j in (0, 1)]
+    base = sales_lines(spark, sf_dir).groupBy("dept", "type", "week").agg(*map(F.expr, [
+        *sums, "sum(stock) AS inventory_qty", "avg(promo) AS promo_pct",
+        "avg(redline) AS redline_pct", "CAST(count(DISTINCT part) AS DOUBLE) AS num_colors"]))
     measures = []
     for a, b in MEASURES:
         sides = (PROMO_SIDES[a], REDLINE_SIDES[b])
-        qty = _sum_over("q", *sides)
+        qty = _cells("q", *sides)
         measures += [
-            qty.alias(f"{a}_units_{b}"),
-            F.try_divide(_sum_over("a", *sides), qty).alias(f"{a}_price_{b}"),
-            F.try_divide(_sum_over("l", *sides), qty).alias(f"{a}_price_{b}_smooth_supsmu"),
-        ]
-    week = F.col("week")
-    month, day = F.month(week), F.dayofmonth(week)
-
-    def flag(cond):
-        return cond.cast("double")
-
-    return base.select(
-        "dept", "type", "week",
-        brand_of(F.col("dept")).alias("brand"),
-        gender_of(F.col("dept")).alias("gender"),
-        F.concat(F.lit("Q"), F.quarter(week)).alias("quarter"),
-        month_name(week).alias("fiscal_month"),
-        *measures,
-        "num_colors", "inventory_qty",
-        F.try_divide(_sum_over("a", (0, 1), (0, 1)), _sum_over("q", (0, 1), (0, 1))).alias("price"),
-        flag(month == 8).alias("bts_ind"),
-        flag((month == 11) & day.between(22, 28)).alias("holiday_thanksgiving"),
-        flag((month == 4) & (day <= 21)).alias("holiday_easter"),
-        flag((month == 12) & day.between(19, 25)).alias("holiday_xmas"),
-        flag((month == 12) & (day < 19)).alias("holiday_pre_xmas"),
-        "promo_pct", "redline_pct",
-    )
+            f"{qty} AS {a}_units_{b}",
+            f"try_divide({_cells('a', *sides)}, {qty}) AS {a}_price_{b}",
+            f"try_divide({_cells('l', *sides)}, {qty}) AS {a}_price_{b}_smooth_supsmu"]
+    both = ((0, 1), (0, 1))
+    flags = {
+        "bts_ind": "month(week) = 8",
+        "holiday_thanksgiving": "month(week) = 11 AND day(week) BETWEEN 22 AND 28",
+        "holiday_easter": "month(week) = 4 AND day(week) <= 21",
+        "holiday_xmas": "month(week) = 12 AND day(week) BETWEEN 19 AND 25",
+        "holiday_pre_xmas": "month(week) = 12 AND day(week) < 19",
+    }
+    dept, week = F.col("dept"), F.col("week")
+    keys = base.withColumns({
+        "brand": brand_of(dept), "gender": gender_of(dept), "fiscal_month": month_name(week)})
+    return keys.selectExpr(
+        "dept", "type", "week", "brand", "gender", "concat('Q', quarter(week)) AS quarter",
+        "fiscal_month", *measures, "num_colors", "inventory_qty",
+        f"try_divide({_cells('a', *both)}, {_cells('q', *both)}) AS price",
+        *[f"CAST({cond} AS DOUBLE) AS {name}" for name, cond in flags.items()],
+        "promo_pct", "redline_pct")
 
 
 def demand_model(facts: DataFrame) -> DataFrame:
