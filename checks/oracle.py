@@ -32,6 +32,9 @@ def names(columns) -> str:
     return ", ".join(columns)
 
 
+QUOTED_MONTHS = names(f"'{m}'" for m in MONTHS)
+
+
 def rounded(x: str, digits: int = 4) -> str:
     return f"round(CAST({x} AS DOUBLE) + {S.EPS * 10.0 ** -digits:.17f}, {digits}) + 0.0"
 
@@ -50,8 +53,8 @@ def out(keep: list[str], doubles: list[str], source: str, digits: int = 4) -> st
 
 
 def half_up(x: str, digits: int) -> str:
-    """Rounding of the decimal value, halves away from 0."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 15)), {digits}) AS DOUBLE)"
+    """Rounding of the shortest decimal form of a double, halves away from 0."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 22)), {digits}) AS DOUBLE)"
 
 
 def sunday(d: str) -> str:
@@ -74,7 +77,6 @@ def _facts() -> str:
         cols += [f"q_{m} AS {a}_units_{b}", f"a_{m} / nullif(q_{m}, 0) AS {a}_price_{b}",
                  f"l_{m} / nullif(q_{m}, 0) AS {a}_price_{b}_smooth_supsmu"]
     number = "CAST(split_part(dept, '#', 2) AS INTEGER)"
-    months = "[" + names(f"'{m}'" for m in MONTHS) + "]"
 
     def flag(cond):
         return f"CASE WHEN {cond} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
@@ -97,7 +99,7 @@ cells AS (
 facts AS (
   SELECT dept, type, week, CASE WHEN {number} % 2 = 1 THEN 'A' ELSE 'B' END AS brand,
          CASE WHEN {number} <= 12 THEN 'F' ELSE 'M' END AS gender,
-         'Q' || quarter(week) AS quarter, ({months})[month(week)] AS fiscal_month,
+         'Q' || quarter(week) AS quarter, ([{QUOTED_MONTHS}])[month(week)] AS fiscal_month,
          {names(cols)}, num_colors, inventory_qty, a_blended_total / q_blended_total AS price,
          {flag("month(week) = 8")} AS bts_ind,
          {flag("month(week) = 11 AND day(week) BETWEEN 22 AND 28")} AS holiday_thanksgiving,
@@ -182,7 +184,7 @@ def _merged(source: str, period: str, suffix: str = "") -> str:
 
 
 def _labelled(source: str, period: str) -> str:
-    code = f"list_position([{names(repr(m) for m in MONTHS)}], fiscal_month)"
+    code = f"list_position([{QUOTED_MONTHS}], fiscal_month)"
     label = {"all": ("dept || '-' || type", "0"),
              "quarter": ("year || '-' || quarter",
                          "year * 100 + CAST(substr(quarter, 2, 1) AS INTEGER)"),
@@ -423,7 +425,7 @@ def statements() -> dict[str, str]:
         "FROM hier GROUP BY h2")
     put("scan_table", "", ["o_orderstatus", "orders"], ["total"],
         "SELECT o_orderstatus, count(*) AS orders, sum(o_totalprice) AS total FROM orders "
-        "GROUP BY o_orderstatus", 3)
+        "GROUP BY o_orderstatus", 2)
     levers = ("SELECT CAST(column0 AS DATE) AS week, CAST(column1 AS DOUBLE) AS num_colors, "
               "CAST(column2 AS DOUBLE) AS price, CAST(column3 AS DOUBLE) AS promo_pct, "
               "CAST(column4 AS DOUBLE) AS redline_pct FROM (VALUES "
@@ -632,6 +634,9 @@ def statements() -> dict[str, str]:
     put("distinct_values", facts, ["brand", "gender", "dept"], [],
         "SELECT DISTINCT brand, gender, dept FROM facts")
 
+    put("product_choices", facts, product, [],
+        "SELECT DISTINCT dept, type FROM facts WHERE brand = 'A' AND gender = 'F'")
+
     # scalar functions and reshaping
     days = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)"
     put("floor_week_sunday", days, ["day", "week"], [],
@@ -646,7 +651,7 @@ def statements() -> dict[str, str]:
         f"SELECT day, {first} AS first, {first} + CAST({sunday('(day + 45)')} - {sunday('day')} "
         "AS INTEGER) AS last FROM days")
     put("year_of", facts, ["week", "year"], [], "SELECT DISTINCT week, year(week) AS year FROM facts")
-    code = f"lpad(CAST(list_position([{names(repr(m) for m in MONTHS)}], fiscal_month) AS VARCHAR), 2, '0')"
+    code = f"lpad(CAST(list_position([{QUOTED_MONTHS}], fiscal_month) AS VARCHAR), 2, '0')"
     put("month_code", facts, ["fiscal_month", "code", "rows"], [],
         f"SELECT fiscal_month, {code} AS code, count(*) AS rows FROM facts GROUP BY fiscal_month")
     put("period_label", facts, ["quarter_label", "month_label", "product_label"], [],

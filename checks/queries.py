@@ -156,7 +156,7 @@ def split_fields(spark, sf_dir):
         F.count("week").alias("weeks"), *[F.sum(c).alias(c) for c in ("y1", "x1", "x2", "x3")])
 
 
-@query("scan_table")
+@query("scan_table", digits=2)
 def scan_table(spark, sf_dir):
     return src.scan_table(spark, f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("total"))
@@ -395,7 +395,7 @@ def group_gram(spark, sf_dir):
 @query("group_gram_weekly")
 def group_gram_weekly(spark, sf_dir):
     rows = conv.model_rows(facts_of(spark, sf_dir))
-    stats = mom.group_gram(rows, "blended_units_total_log", sc.DRIVERS)
+    stats = mom.group_gram(rows, "blended_units_total_log", sc.DRIVERS, many_groups=True)
     return spread(spread(stats, "xtx", 11, square=True), "xty", 11)
 
 
@@ -606,6 +606,11 @@ def distinct_rows(spark, sf_dir):
         "dept", "type", "week", "qty", "promo", "redline"))
 
 
+@query("product_choices")
+def product_choices(spark, sf_dir):
+    return rep.product_choices(facts_of(spark, sf_dir), brand="A", gender="F")
+
+
 @query("distinct_values")
 def distinct_values(spark, sf_dir):
     return rel.distinct_values(facts_of(spark, sf_dir), "brand", "gender", "dept")
@@ -886,7 +891,7 @@ def gibbs_run(spark, sf_dir):
 @query("weekly_series")
 def weekly_series(spark, sf_dir):
     facts = stored(plain_prices(spark, sf_dir), "facts")
-    return _per_measure(lambda m: rep.weekly_series(facts, m, smooth=True))
+    return _per_measure(lambda m: rep.weekly_series(facts, m, smooth=True)["series"])
 
 
 @query("stacked_units")

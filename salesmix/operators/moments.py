@@ -78,8 +78,14 @@ def unpack_triangle(total: str, size: int, rows: range, cols: range):
     return F.expr(f"array({', '.join(cells)})")
 
 
-def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) -> DataFrame:
-    """n, X'X (row-major), X'y and y'y per group; X starts with a column of ones."""
+def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = None,
+               many_groups: bool = False) -> DataFrame:
+    """n, X'X (row-major), X'y and y'y per group; X starts with a column of ones.
+
+    With few drivers this is one native aggregate.  With more, each Arrow batch is
+    reduced to one triangle per group in it, which pays if a batch meets few groups:
+    ``many_groups`` first lays the rows out by group.
+    """
     keys = keys or GROUP
     p, size = len(xs) + 1, len(xs) + 2
     triangle = _triangle(size)
@@ -89,7 +95,7 @@ def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = Non
         sums = ", ".join(f"sum({z[i]} * {z[j]})" for i, j in triangle)
         sums = d.groupBy(*keys).agg(F.expr(f"array({sums})").alias("total"))
     else:
-        partial = _partial_gram(d, y, xs, keys)
+        partial = _partial_gram(by_group(d, keys, y) if many_groups else d, y, xs, keys)
         sums = vector_sum(partial, keys, "part", len(triangle))
     last = size - 1
     return sums.select(
@@ -100,6 +106,11 @@ def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = Non
         F.expr(f"total[{len(triangle) - 1}]").alias("yty"))
 
 
+def by_group(d: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Rows laid out by key in even partitions; ``spread`` splits a key over several."""
+    return d.repartitionByRange(*keys, spread).sortWithinPartitions(*keys)
+
+
 def _partial_gram(d: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFrame:
     """One upper triangle of Z'Z per key and Arrow batch, Z = [1, x..., y]."""
     size = len(xs) + 2

@@ -33,7 +33,8 @@ def model_rows(facts: DataFrame) -> DataFrame:
 def fit_demand_model(facts: DataFrame, folder: str, iterations: int = 20, burn_in: int = 10,
                      seed: int = 1) -> DataFrame:
     """Fit the sampler on weekly facts and return the model table the reports use."""
-    stats = group_gram(model_rows(facts), "blended_units_total_log", scoring.DRIVERS)
+    stats = group_gram(model_rows(facts), "blended_units_total_log", scoring.DRIVERS,
+                       many_groups=True)
     spec = FitSpec(p=len(scoring.COEF_ORDER), seed=seed)
     gibbs_init(stats, spec, folder)
     draws = gibbs_run(facts.sparkSession, folder, spec, 2, iterations)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import keyed_random as rnd
 from ..functions import linalg as la
 from ..operators import posterior as post
-from ..operators.moments import sum_outer_products, sum_vectors, vector_sum
+from ..operators.moments import by_group, sum_outer_products, sum_vectors, vector_sum
 from ..sources.draws import filter_iteration, scan_draws, sink_draws
 
 STATE = ["h2", "n1", "n", "v_j", "w", "sigma", "mu", "mu_draw", "s2", "h"]
@@ -180,9 +180,13 @@ def join_level2_tables(*tables: DataFrame) -> DataFrame:
 
 
 def gibbs_init(stats: DataFrame, spec: FitSpec, folder: str) -> DataFrame:
-    """Persist the moments, make iteration 1 and return its h2 state."""
+    """Persist the moments, make iteration 1 and return its h2 state.
+
+    The moments are stored in h2 order, so that a batch of groups meets few h2 and
+    its partial sums are few.
+    """
     spark = stats.sparkSession
-    stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    by_group(stats, ["h2"], "h1").write.mode("overwrite").parquet(f"{folder}/stats")
     stats = spark.read.parquet(f"{folder}/stats")
     pooled = initial_pooled(start_values(stats, spec), spec).drop("sum_b")
     pooled.write.mode("overwrite").parquet(f"{folder}/start")

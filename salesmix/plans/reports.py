@@ -14,20 +14,45 @@ from ..operators import relational as rel
 from ..operators import scenario as scn
 from ..operators import scoring as sc
 from ..operators import weekly as wk
+from ..sources import tables as src
 
 PRODUCT = sc.PRODUCT
 
 
+def product_choices(facts: DataFrame, brand: str | None = None,
+                    gender: str | None = None) -> DataFrame:
+    """Departments and types on offer, for a brand and gender if these are given."""
+    chosen = {k: v for k, v in (("brand", brand), ("gender", gender)) if v is not None}
+    return rel.distinct_values(rel.filter_eq_or_all(facts, **chosen), *PRODUCT)
+
+
+def select_facts(facts: DataFrame, dept: str = rel.ALL, type_: str = rel.ALL,
+                 start=None, end=None) -> DataFrame:
+    """Facts of the chosen product and weeks; says so when there are none."""
+    chosen = rel.filter_eq_or_all(facts, dept=dept, type=type_)
+    if start is not None:
+        chosen = rel.filter_week_range(chosen, start, end)
+    return src.guard_nonempty(chosen, "data")
+
+
+def select_model(model: DataFrame, dept: str, type_: str) -> DataFrame:
+    return src.guard_nonempty(rel.filter_product(model, dept, type_), "demand model")
+
+
 def weekly_series(facts: DataFrame, measure: str, smooth: bool = False,
-                  by: tuple[str, ...] = ()) -> DataFrame:
-    """Units and mean price by week for one measure, in week order."""
-    return (
+                  by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Units and mean price by week for one measure, and the bounds of its price axis.
+
+    The bounds always come from the plain price column.
+    """
+    series = (
         facts.select(*by, "week", F.col(wk.unit_column(measure)).alias("units"),
                      rel.choose_price_column(measure, smooth))
         .groupBy(*by, "week")
         .agg(F.sum("units").alias("units"), F.avg("price").alias("price"))
         .orderBy("week", *by)
     )
+    return {"series": series, "bounds": wk.price_bounds(facts, measure)}
 
 
 def stacked_units(facts: DataFrame) -> DataFrame:
