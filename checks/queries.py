@@ -107,14 +107,27 @@ def stats2(spark, sf_dir):
 SPEC2 = gibbs.FitSpec(**S.P2)
 
 
+def first_pooled(stats):
+    """The first pooled draw, one operator at a time; the sampler does this in one pass."""
+    start = stored(gibbs.start_values(stats, SPEC2), "start")
+    v = mom.sum_outer_products(start, "beta", "beta_j", 2)
+    total = mom.sum_vectors(start, "beta", 2).withColumnRenamed("sum_beta", "sum_b")
+    sizes = start.groupBy("h2").agg(F.count(F.lit(1)).alias("n1"))
+    pooled = gibbs.join_level2_tables(v, total, sizes)
+    pooled = post.wishart_draw_by_group(pooled, 2, SPEC2.df1, SPEC2.seed, 1)
+    pooled = post.pooled_covariance(pooled, 2, SPEC2.prior_precision)
+    pooled = post.pooled_mean(pooled, 2, SPEC2.prior_mean, SPEC2.prior_precision)
+    return post.pooled_draw(pooled, 2, SPEC2.prior_precision, SPEC2.seed, 1)
+
+
 def pooled2(spark, sf_dir):
-    return gibbs.initial_pooled(gibbs.start_values(stats2(spark, sf_dir), SPEC2), SPEC2)
+    return first_pooled(stats2(spark, sf_dir))
 
 
 def grouped2(spark, sf_dir):
     """Moments with the first pooled state and noise precision 1."""
     stats = stored(stats2(spark, sf_dir), "stats")
-    pooled = gibbs.initial_pooled(gibbs.start_values(stats, SPEC2), SPEC2)
+    pooled = first_pooled(stats)
     return gibbs.join_state_to_groups(stats, pooled.withColumn("h", F.lit(1.0)))
 
 

@@ -34,6 +34,16 @@ def outer_diff(b: Column, m: Column) -> Column:
     return F.flatten(F.transform(diff, lambda x: F.transform(diff, lambda y: x * y)))
 
 
+def upper_triangle(vector: str, p: int) -> Column:
+    """Products v[i] * v[j], j >= i, row by row.
+
+    ``vector`` names a column; the expression stays as small for many elements as for
+    few, where one product per pair would outgrow a generated method.
+    """
+    return F.expr(f"flatten(transform({vector}, (x, i) -> "
+                  f"transform(slice({vector}, i + 1, {p}), y -> x * y)))")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0),
                        lambda acc, x: acc + x)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import add_diag, dot, quadratic_form
+from ..functions.arrays import add_diag, dot, quadratic_form, upper_triangle
 from ..functions.linalg import list_array
 from .relational import bounded_chunks
 
@@ -146,8 +146,8 @@ def sum_outer_products(df: DataFrame, vector: str, mean: str, p: int,
                        keys: tuple[str, ...] = ("h2",)) -> DataFrame:
     """Sum of (b - m)(b - m)' plus p on the diagonal, per key."""
     diff = F.expr(f"zip_with({vector}, {mean}, (b, m) -> b - m)")
-    cells = ", ".join(f"diff[{i}] * diff[{j}]" for i, j in _triangle(p))
-    rows = df.select(*keys, diff.alias("diff")).select(*keys, F.expr(f"array({cells})").alias("tri"))
+    rows = df.select(*keys, diff.alias("diff")).select(
+        *keys, upper_triangle("diff", p).alias("tri"))
     sums = vector_sum(rows, list(keys), "tri", p * (p + 1) // 2)
     full = unpack_triangle("total", p, range(p), range(p))
     return sums.select(*keys, add_diag(full, F.lit(float(p)), p).alias("v_j"))

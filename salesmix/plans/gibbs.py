@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed_random as rnd
 from ..functions import linalg as la
+from ..functions.arrays import upper_triangle
 from ..operators import posterior as post
-from ..operators.moments import by_group, sum_outer_products, sum_vectors, vector_sum
+from ..operators.moments import by_group, vector_sum
 from ..sources.draws import filter_iteration, scan_draws, sink_draws
 
 STATE = ["h2", "n1", "n", "v_j", "w", "sigma", "mu", "mu_draw", "s2", "h"]
@@ -98,7 +99,7 @@ def _level1_sums(joined: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
 
 
 def _pooled_step(sums: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
-    """New pooled precision, covariance, mean and draw, and noise precision."""
+    """Pooled deviations, precision, covariance, mean and draw from the summed groups."""
     p, dof = spec.p, spec.df1
     upper = np.triu_indices(p)
     mean, precision = np.asarray(spec.prior_mean), np.asarray(spec.prior_precision)
@@ -118,12 +119,18 @@ def _pooled_step(sums: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
 
     z_w = rnd.normals(post.wishart_key(spec.seed, iteration), p * dof)
     z_mu = rnd.normals(post.pooled_key(spec.seed, iteration), p)
-    total = F.col("total")
-    rows = sums.select(
-        "h2", total[0].cast("bigint").alias("n1"), total[1].cast("bigint").alias("n"),
-        (total[2] / (total[1] / spec.deflator)).alias("s2"), step(total, z_w, z_mu).alias("o"))
-    rows = post.noise_precision_draw(rows, spec.deflator, spec.seed, iteration)
-    return rows.select("h2", "n1", "n", "o.*", "s2", "h").select(*STATE)
+    return sums.select(
+        "h2", F.expr("CAST(total[0] AS BIGINT)").alias("n1"),
+        F.expr("CAST(total[1] AS BIGINT)").alias("n"), _s2(spec).alias("s2"),
+        step("total", z_w, z_mu).alias("o")).select("h2", "n1", "n", "s2", "o.*")
+
+
+def _s2(spec: FitSpec):
+    return F.expr(f"total[2] / (total[1] / {float(spec.deflator)!r}D)")
+
+
+def _with_noise(state: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
+    return post.noise_precision_draw(state, spec.deflator, spec.seed, iteration).select(*STATE)
 
 
 def _write_state(state: DataFrame, folder: str, iteration: int) -> DataFrame:
@@ -159,17 +166,14 @@ def join_coef_levels(beta_i: DataFrame, beta_j: DataFrame) -> DataFrame:
     return beta_i.join(beta_j.select("h2", F.col("beta").alias("beta_j")), "h2")
 
 
-def initial_pooled(start: DataFrame, spec: FitSpec) -> DataFrame:
-    """First pooled draw from the start values: v_j, W, Sigma, mu, mu_draw."""
+def _start_sums(start: DataFrame, spec: FitSpec) -> DataFrame:
+    """The sums of ``_level1_sums`` for start values, deviations taken from beta_j."""
     p = spec.p
-    v = sum_outer_products(start, "beta", "beta_j", p)
-    total = sum_vectors(start, "beta", p).withColumnRenamed("sum_beta", "sum_b")
-    sizes = start.groupBy("h2").agg(F.count(F.lit(1)).alias("n1"), F.sum("n").alias("n"))
-    pooled = join_level2_tables(v, total, sizes)
-    pooled = post.wishart_draw_by_group(pooled, p, spec.df1, spec.seed, 1)
-    pooled = post.pooled_covariance(pooled, p, spec.prior_precision)
-    pooled = post.pooled_mean(pooled, p, spec.prior_mean, spec.prior_precision)
-    return post.pooled_draw(pooled, p, spec.prior_precision, spec.seed, 1)
+    diff = F.expr("zip_with(beta, beta_j, (b, m) -> b - m)")
+    head = F.expr("concat(array(1D, CAST(n AS DOUBLE), 0D), beta)")
+    rows = start.select("h2", head.alias("head"), diff.alias("diff")).select(
+        "h2", F.concat("head", upper_triangle("diff", p)).alias("part"))
+    return vector_sum(rows, ["h2"], "part", 3 + p + p * (p + 1) // 2)
 
 
 def join_level2_tables(*tables: DataFrame) -> DataFrame:
@@ -188,15 +192,13 @@ def gibbs_init(stats: DataFrame, spec: FitSpec, folder: str) -> DataFrame:
     spark = stats.sparkSession
     by_group(stats, ["h2"], "h1").write.mode("overwrite").parquet(f"{folder}/stats")
     stats = spark.read.parquet(f"{folder}/stats")
-    pooled = initial_pooled(start_values(stats, spec), spec).drop("sum_b")
-    pooled.write.mode("overwrite").parquet(f"{folder}/start")
+    start = _start_sums(start_values(stats, spec), spec)
+    _pooled_step(start, spec, 1).drop("s2").write.mode("overwrite").parquet(f"{folder}/start")
     pooled = spark.read.parquet(f"{folder}/start")
 
     first = join_state_to_groups(stats, pooled.withColumn("h", F.lit(1.0)))
-    sums = _level1_sums(first, spec, 1)
-    s2 = sums.select("h2", (F.col("total")[2] / (F.col("total")[1] / spec.deflator)).alias("s2"))
-    noisy = post.noise_precision_draw(pooled.join(s2, "h2"), spec.deflator, spec.seed, 1)
-    state = _write_state(noisy.select(*STATE), folder, 1)
+    s2 = _level1_sums(first, spec, 1).select("h2", _s2(spec).alias("s2"))
+    state = _write_state(_with_noise(pooled.join(s2, "h2"), spec, 1), folder, 1)
     sink_draws(_level1_draws(stats, state.withColumn("iter", F.lit(1)), spec, first=True),
                f"{folder}/level1")
     return state
@@ -250,7 +252,7 @@ def gibbs_run(spark: SparkSession, folder: str, spec: FitSpec, begin: int, end:
     done = begin
     for s in range(begin, end + 1):
         sums = _level1_sums(join_state_to_groups(stats, state), spec, s)
-        state = _write_state(_pooled_step(sums, spec, s), folder, s)
+        state = _write_state(_with_noise(_pooled_step(sums, spec, s), spec, s), folder, s)
         if s % spec.draw_every == 0 or s == end:
             sink_draws(group_states(spark, folder, spec, done, s), f"{folder}/level1")
             done = s + 1

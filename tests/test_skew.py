@@ -69,3 +69,26 @@ def test_median_of_few_and_missing_values(spark):
 def test_median_bracket_is_enough_for_large_groups(spark):
     df = spark.range(60_001).selectExpr("'a' AS k", "CAST(id * 37 % 60001 AS DOUBLE) AS v")
     assert relational.median_of(df, ["k"], "v").first().median == 30_000.0
+
+
+def test_hot_join_key_is_split_even_before_an_aggregate_on_it(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        left = spark.range(0, 300_000, 1, 8).selectExpr(
+            "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "rand(1) AS v")
+        right = spark.range(0, 300_000, 1, 8).selectExpr("id AS k", "id AS w")
+        got = left.join(right, "k").groupBy("k").agg(F.count("v").alias("n"))
+        rows = {r.k: r.n for r in got.where("n > 1").collect()}
+        assert rows == {7: 100_001}
+        whole = left.join(right, "k").groupBy("k").agg(F.sum("v").alias("s"))
+        assert len(whole.collect()) == 200_000
+        assert "skew=true" in whole._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
