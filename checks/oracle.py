@@ -624,10 +624,10 @@ def statements() -> dict[str, str]:
     put("sort_period_labels", fit, [*product, "labels", "label_order"], ["y_hat_sum"],
         _labelled(_sums("FROM raw", "month"), "month"))
     put("limit_rows", facts, ["week"], ["units"],
-        f"SELECT week, sum({S.MEASURE.replace('_', '_units_')}) AS units FROM facts GROUP BY week "
+        f"SELECT week, sum(blended_units_total) AS units FROM facts GROUP BY week "
         "ORDER BY week LIMIT 100")
     put("union_all_iterations", _events(), ["h2", "h1", "iter"], ["draw"],
-        "SELECT * FROM chains WHERE iter IN (1, 2, 3)")
+        "SELECT * FROM chains")
     put("distinct_rows", facts, [*row, "promo", "redline"], ["qty"],
         "SELECT DISTINCT dept, type, week, qty, CAST(promo AS BIGINT) AS promo, "
         "CAST(redline AS BIGINT) AS redline FROM lines")

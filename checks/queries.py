@@ -195,7 +195,7 @@ def sink_draws(spark, sf_dir):
     path = work_dir(spark, "draws")
     draws = retail.event_draws(spark, sf_dir)
     store.sink_draws(draws, path)
-    store.sink_draws(draws.where(F.col("iter") % 10 == 0), path)
+    store.sink_draws(draws.where(F.col("iter") > 20), path)
     return store.scan_draws(spark, path).groupBy("iter").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("draw").alias("total"))
 
@@ -479,31 +479,19 @@ def median_of(spark, sf_dir):
     return rel.median_of(retail.sales_lines(spark, sf_dir), PRODUCT, "amount")
 
 
-def _per_measure(fn):
-    """The same series for each of the nine measures, in one table."""
-    out = None
-    for m in wk.measure_names():
-        one = fn(m).withColumn("measure", F.lit(m))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("weekly_units")
 def weekly_units(spark, sf_dir):
-    facts = stored(facts_of(spark, sf_dir), "facts")
-    return _per_measure(lambda m: wk.weekly_units(facts, m))
+    return wk.weekly_units(facts_of(spark, sf_dir), *wk.measure_names())
 
 
 @query("weekly_price")
 def weekly_price(spark, sf_dir):
-    facts = stored(plain_prices(spark, sf_dir), "facts")
-    return _per_measure(lambda m: wk.weekly_price(facts, m, smooth=False))
+    return wk.weekly_price(plain_prices(spark, sf_dir), *wk.measure_names(), smooth=False)
 
 
 @query("price_bounds")
 def price_bounds(spark, sf_dir):
-    facts = stored(plain_prices(spark, sf_dir), "facts")
-    return _per_measure(lambda m: wk.price_bounds(facts, m))
+    return wk.price_bounds(plain_prices(spark, sf_dir), *wk.measure_names())
 
 
 @query("weekly_units_by_flag")
@@ -579,8 +567,7 @@ def week_rank(spark, sf_dir):
 @query("carry_forward_price")
 def carry_forward_price(spark, sf_dir):
     return plain_prices(spark, sf_dir).select(
-        *PRODUCT, "week", *[f"{wk.unit_column(m).replace('_units_', '_price_')}_smooth"
-                            for m in wk.measure_names()])
+        *PRODUCT, "week", *[rel.price_column(m, smooth=False) for m in wk.measure_names()])
 
 
 @query("sort_by_week")
@@ -603,14 +590,15 @@ def sort_period_labels(spark, sf_dir):
 
 @query("limit_rows")
 def limit_rows(spark, sf_dir):
-    return rel.limit_rows(wk.weekly_units(facts_of(spark, sf_dir), S.MEASURE), "week", n=100)
+    series = wk.weekly_units(facts_of(spark, sf_dir), S.MEASURE).select("week", "units")
+    return rel.limit_rows(series, "week", n=100)
 
 
 @query("union_all_iterations")
 def union_all_iterations(spark, sf_dir):
     d = retail.event_draws(spark, sf_dir)
-    steps = [store.filter_iteration(d, s) for s in (1, 2, 3)]
-    return store.union_all_iterations(*steps)
+    history, new = d.where(F.col("iter") < S.RAW_ITERS), d.where(F.col("iter") >= S.RAW_ITERS)
+    return store.union_all_iterations(history, new)
 
 
 @query("distinct_rows")
@@ -903,8 +891,8 @@ def gibbs_run(spark, sf_dir):
 
 @query("weekly_series")
 def weekly_series(spark, sf_dir):
-    facts = stored(plain_prices(spark, sf_dir), "facts")
-    return _per_measure(lambda m: rep.weekly_series(facts, m, smooth=True)["series"])
+    facts = plain_prices(spark, sf_dir)
+    return rep.weekly_series(facts, *wk.measure_names(), smooth=True)["series"]
 
 
 @query("stacked_units")

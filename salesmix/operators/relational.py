@@ -13,15 +13,19 @@ def project_rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(name) for c, name in names.items()])
 
 
-def choose_price_column(measure: str, smooth: bool) -> Column:
-    """The smoothed or the plain price column of a measure, uniformly named.
+def price_column(measure: str, smooth: bool) -> str:
+    """Name of the smoothed or the plain price column of a measure.
 
     ``measure`` reads like ``blended_total``; the plain column carries the last valid
     price forward over weeks without sales.
     """
     side, part = measure.rsplit("_", 1)
-    suffix = "_smooth_supsmu" if smooth else "_smooth"
-    return F.col(f"{side}_price_{part}{suffix}").alias("price")
+    return f"{side}_price_{part}" + ("_smooth_supsmu" if smooth else "_smooth")
+
+
+def choose_price_column(measure: str, smooth: bool) -> Column:
+    """The chosen price column, uniformly named."""
+    return F.col(price_column(measure, smooth)).alias("price")
 
 
 def filter_eq_or_all(df: DataFrame, **chosen: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.retail import MEASURES, PRODUCT
-from .relational import choose_price_column
+from .relational import price_column
 
 
 def unit_column(measure: str) -> str:
@@ -32,20 +32,42 @@ def carry_forward_price(facts: DataFrame) -> DataFrame:
     return facts.withColumns(filled)
 
 
-def weekly_units(facts: DataFrame, measure: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return facts.groupBy(*by, "week").agg(F.sum(unit_column(measure)).alias("units"))
+def _long(wide: DataFrame, ids: list[str], measures: list[str], values: list[str]) -> DataFrame:
+    """One row per measure from columns named value__measure."""
+    rows = ", ".join(
+        f"struct('{m}' AS measure, " + ", ".join(f"{v}__{m} AS {v}" for v in values) + ")"
+        for m in measures)
+    return wide.select(*ids, F.expr(f"inline(array({rows}))"))
 
 
-def weekly_price(facts: DataFrame, measure: str, smooth: bool = False,
+def weekly_units(facts: DataFrame, *measures: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Units by week, all asked-for measures in one aggregate."""
+    sums = [F.sum(unit_column(m)).alias(f"units__{m}") for m in measures]
+    return _long(facts.groupBy(*by, "week").agg(*sums), [*by, "week"], list(measures), ["units"])
+
+
+def weekly_price(facts: DataFrame, *measures: str, smooth: bool = False,
                  by: tuple[str, ...] = ()) -> DataFrame:
-    priced = facts.select(*by, "week", choose_price_column(measure, smooth))
-    return priced.groupBy(*by, "week").agg(F.avg("price").alias("price"))
+    """Mean of the chosen price column by week."""
+    means = [F.avg(price_column(m, smooth)).alias(f"price__{m}") for m in measures]
+    return _long(facts.groupBy(*by, "week").agg(*means), [*by, "week"], list(measures), ["price"])
+
+
+def weekly_units_and_price(facts: DataFrame, *measures: str, smooth: bool = False,
+                           by: tuple[str, ...] = ()) -> DataFrame:
+    both = [agg for m in measures for agg in (
+        F.sum(unit_column(m)).alias(f"units__{m}"),
+        F.avg(price_column(m, smooth)).alias(f"price__{m}"))]
+    return _long(facts.groupBy(*by, "week").agg(*both), [*by, "week"], list(measures),
+                 ["units", "price"])
 
 
-def price_bounds(facts: DataFrame, measure: str) -> DataFrame:
+def price_bounds(facts: DataFrame, *measures: str) -> DataFrame:
     """Lowest and highest plain price over all weeks."""
-    priced = facts.select(choose_price_column(measure, smooth=False))
-    return priced.agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    ends = [agg for m in measures for agg in (
+        F.min(price_column(m, False)).alias(f"min_price__{m}"),
+        F.max(price_column(m, False)).alias(f"max_price__{m}"))]
+    return _long(facts.agg(*ends), [], list(measures), ["min_price", "max_price"])
 
 
 def weekly_units_by_flag(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

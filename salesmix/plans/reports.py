@@ -39,20 +39,16 @@ def select_model(model: DataFrame, dept: str, type_: str) -> DataFrame:
     return src.guard_nonempty(rel.filter_product(model, dept, type_), "demand model")
 
 
-def weekly_series(facts: DataFrame, measure: str, smooth: bool = False,
+def weekly_series(facts: DataFrame, *measures: str, smooth: bool = False,
                   by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Units and mean price by week for one measure, and the bounds of its price axis.
+    """Units and mean price by week, and the bounds of the price axis, per measure.
 
-    The bounds always come from the plain price column.
+    One pass serves any number of measures.  The bounds always come from the plain
+    price column.
     """
-    series = (
-        facts.select(*by, "week", F.col(wk.unit_column(measure)).alias("units"),
-                     rel.choose_price_column(measure, smooth))
-        .groupBy(*by, "week")
-        .agg(F.sum("units").alias("units"), F.avg("price").alias("price"))
-        .orderBy("week", *by)
-    )
-    return {"series": series, "bounds": wk.price_bounds(facts, measure)}
+    series = wk.weekly_units_and_price(facts, *measures, smooth=smooth, by=by)
+    return {"series": series.orderBy("week", *by, "measure"),
+            "bounds": wk.price_bounds(facts, *measures)}
 
 
 def stacked_units(facts: DataFrame) -> DataFrame:
@@ -67,8 +63,7 @@ def sales_table(facts: DataFrame, smooth: bool = False) -> DataFrame:
     for m in wk.measure_names():
         names[wk.unit_column(m)] = f"{m}_units"
     for m in wk.measure_names():
-        price = wk.unit_column(m).replace("_units_", "_price_")
-        names[price + ("_smooth_supsmu" if smooth else "_smooth")] = f"{m}_price"
+        names[rel.price_column(m, smooth)] = f"{m}_price"
     return rel.project_rename(facts, names)
 
 
