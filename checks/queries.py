@@ -73,8 +73,8 @@ def spread(df: DataFrame, column: str, p: int, name: str | None = None,
     return df.select(*keep, *cells)
 
 
-def facts_of(spark, sf_dir):
-    return retail.weekly_facts(spark, sf_dir)
+def facts_of(spark, sf_dir, start=None, end=None):
+    return retail.weekly_facts(spark, sf_dir, start, end)
 
 
 def plain_prices(spark, sf_dir):
@@ -254,7 +254,7 @@ def filter_product(spark, sf_dir):
 
 @query("filter_week_range")
 def filter_week_range(spark, sf_dir):
-    facts = rel.filter_week_range(facts_of(spark, sf_dir), *S.HISTORY)
+    facts = rel.filter_week_range(facts_of(spark, sf_dir, *S.HISTORY), *S.HISTORY)
     return facts.select(*PRODUCT, "week", "blended_units_total")
 
 
@@ -375,7 +375,7 @@ def join_year_over_year(spark, sf_dir):
 
 @query("align_by_position")
 def align_by_position(spark, sf_dir):
-    facts = stored(facts_of(spark, sf_dir), "facts")
+    facts = _past_facts(spark, sf_dir)
     return scn.align_by_position(facts, *S.SCENARIO).select(
         *PRODUCT, "pos", "week", "old_week", *sc.DRIVERS_PLANNED)
 
@@ -519,8 +519,13 @@ def decomp_regroup(spark, sf_dir):
     return dec.decomp_regroup(_history(spark, sf_dir, "all")["corrected"])
 
 
+def _past_facts(spark, sf_dir):
+    """Facts of the weeks a scenario is laid over."""
+    return stored(facts_of(spark, sf_dir, *cal.last_year_bounds(*S.SCENARIO)), "facts")
+
+
 def _scenario(spark, sf_dir):
-    facts = stored(facts_of(spark, sf_dir), "facts")
+    facts = _past_facts(spark, sf_dir)
     levers = rep.default_levers(facts, *S.SCENARIO)
     levers = scn.shift_driver(levers, "price", S.PRICE_SHIFT)
     levers = scn.shift_driver(levers, "promo_pct", S.PROMO_SHIFT)
@@ -732,7 +737,7 @@ def melt_parts(spark, sf_dir):
 
 @query("set_levers")
 def set_levers(spark, sf_dir):
-    facts = stored(facts_of(spark, sf_dir), "facts")
+    facts = _past_facts(spark, sf_dir)
     aligned = scn.align_by_position(facts, *S.SCENARIO)
     return scn.set_levers(aligned, hand_levers(spark)).select(
         *PRODUCT, "week", *sc.DRIVERS_PLANNED)
@@ -928,7 +933,7 @@ for _period in ("all", "quarter", "month"):
 
 @query("default_levers")
 def default_levers(spark, sf_dir):
-    return rep.default_levers(stored(facts_of(spark, sf_dir), "facts"), *S.SCENARIO)
+    return rep.default_levers(_past_facts(spark, sf_dir), *S.SCENARIO)
 
 
 @query("whatif_predict")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,25 @@ def same_weeks_last_year(start: Column, end: Column) -> tuple[Column, Column]:
     return first, F.date_add(first, days)
 
 
+def as_date(day: str | dt.date) -> dt.date:
+    return dt.date.fromisoformat(day) if isinstance(day, str) else day
+
+
+def sunday_of(day: str | dt.date) -> dt.date:
+    """``floor_week_sunday`` for a date known to the driver."""
+    day = as_date(day)
+    return day - dt.timedelta(days=(day.weekday() + 1) % 7)
+
+
+def last_year_bounds(start: str | dt.date, end: str | dt.date) -> tuple[dt.date, dt.date]:
+    """``same_weeks_last_year`` for dates known to the driver."""
+    day = as_date(start)
+    if (day.month, day.day) == (2, 29):
+        day = day.replace(day=28)
+    first = sunday_of(day.replace(year=day.year - 1))
+    return first, first + (sunday_of(end) - sunday_of(start))
+
+
 def week_after_a_year(week: Column) -> Column:
     """The Sunday 52 weeks on: the day before the Monday week holding week + 365 days."""
     monday = F.to_date(F.date_trunc("week", F.date_add(week, 365)))

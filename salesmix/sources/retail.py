@@ -6,10 +6,12 @@ segment of the customer, week the Sunday on or before shipping.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import MONTHS, floor_week_sunday
+from ..functions.calendar import MONTHS, floor_week_sunday, sunday_of
 from ..operators.scoring import COEF_ORDER
 from .tables import scan_table
 
@@ -37,9 +39,19 @@ def _orders_with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customer, orders.o_custkey == customer.c_custkey)
 
 
-def sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with product keys, week and the promotion and redline marks."""
+def sales_lines(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """Order lines with product keys, week and the promotion and redline marks.
+
+    ``start`` and ``end`` keep the weeks from the one to the other as a filter on the
+    shipping date, which the scan can use; a filter on the week cannot reach it.
+    """
     lines = _table(spark, sf_dir, "lineitem")
+    shipped = F.col("l_shipdate")
+    if start is not None:
+        lines = lines.where(shipped >= F.lit(sunday_of(start)))
+    if end is not None:
+        after = sunday_of(end) + dt.timedelta(days=7)
+        lines = lines.where(shipped < F.lit(after))
     orders = _orders_with_segment(spark, sf_dir)
     part = _table(spark, sf_dir, "part").select(
         "p_partkey", "p_brand", "p_size", "p_retailprice")
@@ -83,13 +95,16 @@ def month_name(week):
     return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(week))
 
 
-def weekly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide weekly fact table, one row per product and week with sales."""
+def weekly_facts(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
+    """The wide weekly fact table, one row per product and week with sales.
+
+    A report on some weeks should name them here, so that only their lines are read.
+    """
     sums = [
         f"sum(CASE WHEN promo = {i} AND redline = {j} THEN {source} ELSE 0D END) AS {name}{i}{j}"
         for name, source in (("q", "qty"), ("a", "amount"), ("l", "list_amount"))
         for i in (0, 1) for j in (0, 1)]
-    base = sales_lines(spark, sf_dir).groupBy("dept", "type", "week").agg(*map(F.expr, [
+    base = sales_lines(spark, sf_dir, start, end).groupBy("dept", "type", "week").agg(*map(F.expr, [
         *sums, "sum(stock) AS inventory_qty", "avg(promo) AS promo_pct",
         "avg(redline) AS redline_pct", "CAST(count(DISTINCT part) AS DOUBLE) AS num_colors"]))
     measures = []

@@ -150,6 +150,23 @@ def test_fact_scan_reads_only_needed_columns(spark, sf_dir):
         assert unused not in scan
 
 
+def test_week_range_reaches_the_scan_and_keeps_whole_weeks(spark, sf_dir):
+    some = retail.weekly_facts(spark, sf_dir, "1998-03-04", "1998-12-30")
+    assert "GreaterThanOrEqual(l_shipdate,1998-03-01" in plan(some)
+    assert "LessThan(l_shipdate,1999" in plan(some)
+    every = rel.filter_week_range(retail.weekly_facts(spark, sf_dir), "1998-03-04", "1998-12-30")
+    columns = ["dept", "type", "week", "blended_units_total", "num_colors"]
+    assert some.select(columns).exceptAll(every.select(columns)).count() == 0
+    assert some.count() == every.count() > 0
+
+
+@pytest.mark.parametrize("start, end", [("2000-02-29", "2000-06-01"), ("1999-01-03", "1999-12-26"),
+                                        ("2014-07-09", "2014-08-01")])
+def test_last_year_bounds_agree_with_the_columns(spark, start, end):
+    cols = cal.same_weeks_last_year(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    assert tuple(spark.range(1).select(*cols).first()) == cal.last_year_bounds(start, end)
+
+
 def test_product_filter_reaches_the_scan(spark, sf_dir):
     chosen = rel.filter_product(retail.weekly_facts(spark, sf_dir), "Brand#7", "BUILDING")
     text = plan(chosen)
