@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from salesmix.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from salesmix.llm import exact_dedup, toxicity
 from salesmix.llm.common import table
 
+TOXIC_FROM = 0.3
+
+
+def held_out(doc_id):
+    """Documents that no training may use."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def toxicity_model(spark, sf_dir):
+    """Fitted on the labelled documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.fit(texts.join(labels.select("doc_id", "toxic"), "doc_id"))
+
 
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op7_exact_dedup,)}
+def op10_toxicity(spark, sf_dir):
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+REGISTRY = {f.__name__: f for f in (op7_exact_dedup, op10_toxicity)}
 
 ORACLE = {
     "op7_exact_dedup": """
