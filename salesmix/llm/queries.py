@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salesmix.llm import exact_dedup, toxicity
+from salesmix.llm import exact_dedup, html_text, toxicity
 from salesmix.llm.common import table
 
 TOXIC_FROM = 0.3
@@ -26,13 +26,18 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
 def op10_toxicity(spark, sf_dir):
     scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op7_exact_dedup, op10_toxicity)}
+REGISTRY = {f.__name__: f for f in (op7_exact_dedup, op8_html_text, op10_toxicity)}
 
 ORACLE = {
     "op7_exact_dedup": """
