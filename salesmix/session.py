@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,33 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings this package relies on to an existing session."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per application.
+
+    Functions that run in Python workers are pickled by reference, so the workers must
+    be able to import the package wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="salesmix-src-"), "salesmix_src.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.join("salesmix", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
