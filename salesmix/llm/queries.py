@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salesmix.llm import exact_dedup, html_text, toxicity
+from salesmix.llm import embedding_dedup, exact_dedup, html_text, toxicity
 from salesmix.llm.common import table
 
 TOXIC_FROM = 0.3
@@ -18,8 +18,7 @@ def held_out(doc_id):
 def toxicity_model(spark, sf_dir):
     """Fitted on the labelled documents that are not held out."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.fit(texts.join(labels.select("doc_id", "toxic"), "doc_id"))
+    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
 
 
 def op7_exact_dedup(spark, sf_dir):
@@ -31,13 +30,17 @@ def op8_html_text(spark, sf_dir):
     return html_text.main_text(pages, html_text.fit(pages))
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark, sf_dir):
     scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op7_exact_dedup, op8_html_text, op10_toxicity)}
+REGISTRY = {f.__name__: f for f in (op7_exact_dedup, op8_html_text, op9_embedding_dedup, op10_toxicity)}
 
 ORACLE = {
     "op7_exact_dedup": """

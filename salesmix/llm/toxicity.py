@@ -295,17 +295,21 @@ def fit_rows(texts: list[str], labels: list[int], landmarks: int = 64) -> Model:
     return Model(kernel, direction, offset, slope, level)
 
 
-def fit(labelled: DataFrame, max_positive: int = 2000, max_negative: int = 4000,
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_negative: int = 4000,
         landmarks: int = 64) -> Model:
-    """Fit on at most so many rows of each class of (text, toxic), smallest hashes first.
+    """Fit on at most so many labelled documents of each class, smallest id hashes first.
 
-    Rows with a null label are not used; a null text counts as empty.
+    ``labels`` (doc_id, toxic) says which documents may be used.  Rows with a null label
+    are not used; a null text counts as empty.  The chosen ids are at most the two
+    bounds, so they are sent to the readers of ``docs`` and no text is shuffled.
     """
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"),
-                           F.col("toxic").cast("int").alias("toxic"))
-    order = [F.xxhash64("text"), "text"]
-    got = [r for y, most in ((1, max_positive), (0, max_negative))
-           for r in rows.filter(F.col("toxic") == y).orderBy(*order).limit(most).collect()]
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+              for y, most in ((1, max_positive), (0, max_negative))]
+    ids = chosen[0].unionByName(chosen[1])
+    got = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+           .join(F.broadcast(ids), "doc_id").select("text", "toxic")
+           .limit(max_positive + max_negative).collect())
     return fit_rows([r.text for r in got], [r.toxic for r in got], landmarks)
 
 
