@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salesmix.llm import embedding_dedup, exact_dedup, html_text, minhash_dedup, toxicity
+from salesmix.llm import embedding_dedup, exact_dedup, html_text, minhash_dedup, suffix_dedup, toxicity
 from salesmix.llm.common import table
 
 TOXIC_FROM = 0.3
@@ -29,6 +29,10 @@ def op2_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return html_text.main_text(pages, html_text.fit(pages))
@@ -44,7 +48,7 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_dedup, op7_exact_dedup, op8_html_text, op9_embedding_dedup, op10_toxicity)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_dedup, op4_suffix_dedup, op7_exact_dedup, op8_html_text, op9_embedding_dedup, op10_toxicity)}
 
 ORACLE = {
     "op7_exact_dedup": """
