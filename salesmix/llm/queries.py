@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salesmix.llm import embedding_dedup, exact_dedup, html_text, minhash_dedup, suffix_dedup, toxicity
-from salesmix.llm.common import table
+from salesmix.llm import embedding_dedup, exact_dedup, html_text, line_dedup, minhash_dedup, suffix_dedup, toxicity
+from salesmix.llm.common import table, text_or_empty
 
 TOXIC_FROM = 0.3
 
@@ -33,6 +33,12 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.removed_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeated_lines(docs, counts=True).select(
+        "doc_id", "n_lines", "n_removed", "n_near", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
+
+
 def op8_html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return html_text.main_text(pages, html_text.fit(pages))
@@ -48,9 +54,47 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_dedup, op4_suffix_dedup, op7_exact_dedup, op8_html_text, op9_embedding_dedup, op10_toxicity)}
+REGISTRY = {f.__name__: f for f in (op2_minhash_dedup, op4_suffix_dedup, op5_line_dedup, op7_exact_dedup, op8_html_text, op9_embedding_dedup, op10_toxicity)}
+
+# Lines within one edit: lines that share a half, compared after their common beginning.
+LINES_SQL = """
+    all_lines AS (
+        SELECT doc_id, text, unnest(range(len(parts))) AS n, unnest(parts) AS raw
+        FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM {docs})),
+    lines AS (SELECT doc_id, n, raw, trim(raw) AS line, doc_id * 4294967296 + n AS place FROM all_lines),
+    firsts AS (SELECT line, length(line) AS size, min(place) AS first FROM lines
+               WHERE length(line) >= 10 GROUP BY line),
+    halves AS (
+        SELECT line, size, first, base, 'head' AS side, left(line, base // 2) AS part
+        FROM firsts, LATERAL (SELECT unnest([size, size - 1]) AS base)
+        UNION ALL
+        SELECT line, size, first, base, 'tail', right(line, base - base // 2)
+        FROM firsts, LATERAL (SELECT unnest([size, size - 1]) AS base)),
+    pairs AS (
+        SELECT DISTINCT a.line, a.size, b.line AS other, b.size AS other_size
+        FROM halves a JOIN halves b ON a.base = b.base AND a.side = b.side AND a.part = b.part
+        WHERE b.first < a.first AND abs(a.size - b.size) <= 1),
+    common AS (
+        SELECT *, len(list_filter(range(1, least(size, other_size) + 1),
+                                  lambda i: left(line, i) = left(other, i))) AS same FROM pairs),
+    near AS (
+        SELECT DISTINCT line FROM common WHERE CASE
+            WHEN size = other_size THEN substr(line, same + 2) = substr(other, same + 2)
+            WHEN size < other_size THEN substr(line, same + 1) = substr(other, same + 2)
+            ELSE substr(line, same + 2) = substr(other, same + 1) END),
+    judged AS (
+        SELECT l.doc_id, l.n, l.raw, f.line IS NOT NULL AND l.place <> f.first AS again,
+               x.line IS NOT NULL AS near
+        FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near x ON l.line = x.line)
+"""
 
 ORACLE = {
+    "op5_line_dedup": "WITH " + LINES_SQL.format(docs="documents") + """
+        SELECT doc_id, count(n) AS n_lines, count(*) FILTER (again OR near) AS n_removed,
+               count(*) FILTER (near AND NOT again) AS n_near,
+               sha256(coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (NOT again AND NOT near), ''))
+                   AS kept_sha256
+        FROM judged GROUP BY doc_id""",
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
