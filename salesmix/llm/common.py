@@ -10,11 +10,16 @@ from salesmix.session import stored, tune
 BATCH_ROWS = 256
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, under the run-time settings of this package."""
+def prepare(spark: SparkSession) -> None:
+    """The run-time settings of this package."""
     tune(spark)
     # Texts may be long: a Python batch holds few rows, so its memory is bounded.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, under those settings."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,4 +35,4 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-__all__ = ["BATCH_ROWS", "stored", "table", "text_or_empty", "unused_name"]
+__all__ = ["BATCH_ROWS", "prepare", "stored", "table", "text_or_empty", "unused_name"]

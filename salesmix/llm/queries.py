@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from salesmix.llm import embedding_dedup, exact_dedup, html_text, line_dedup, minhash_dedup, suffix_dedup, toxicity
+from salesmix.llm import embedding_dedup, exact_dedup, html_text, line_dedup, minhash_dedup, packing, suffix_dedup, toxicity
 from salesmix.llm.common import table, text_or_empty
 
 TOXIC_FROM = 0.3
@@ -39,6 +39,10 @@ def op5_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_removed", "n_near", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return html_text.main_text(pages, html_text.fit(pages))
@@ -54,7 +58,9 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_minhash_dedup, op4_suffix_dedup, op5_line_dedup, op7_exact_dedup, op8_html_text, op9_embedding_dedup, op10_toxicity)}
+REGISTRY = {f.__name__: f for f in (
+    op2_minhash_dedup, op4_suffix_dedup, op5_line_dedup, op6_best_fit_packing, op7_exact_dedup,
+    op8_html_text, op9_embedding_dedup, op10_toxicity)}
 
 # Lines within one edit: lines that share a half, compared after their common beginning.
 LINES_SQL = """

@@ -338,3 +338,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        describe = Describer(shared.value.kernel)
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(score_texts(shared.value, b.column("text").to_pylist(), describe) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
