@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from salesmix.llm import embedding_dedup, exact_dedup, html_text, line_dedup, minhash_dedup, packing, suffix_dedup, toxicity
+from salesmix.llm import bpe, embedding_dedup, exact_dedup, html_text, line_dedup, minhash_dedup, packing, suffix_dedup, toxicity
 from salesmix.llm.common import table, text_or_empty
 
 TOXIC_FROM = 0.3
+VOCABULARY = "word_bpe_49k.json"
 
 
 def held_out(doc_id):
@@ -29,6 +31,10 @@ def op2_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark, sf_dir):
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.removed_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -59,7 +65,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (
-    op2_minhash_dedup, op4_suffix_dedup, op5_line_dedup, op6_best_fit_packing, op7_exact_dedup,
+    op2_minhash_dedup, op3_bpe, op4_suffix_dedup, op5_line_dedup, op6_best_fit_packing, op7_exact_dedup,
     op8_html_text, op9_embedding_dedup, op10_toxicity)}
 
 # Lines within one edit: lines that share a half, compared after their common beginning.
