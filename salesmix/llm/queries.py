@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from salesmix.llm import bpe, embedding_dedup, exact_dedup, html_text, line_dedup, minhash_dedup, packing, suffix_dedup, toxicity
+from salesmix.llm import bpe, embedding_dedup, exact_dedup, html_text, line_dedup, minhash_dedup, packing, suffix_dedup, token_files, toxicity
 from salesmix.llm.common import table, text_or_empty
+from salesmix.session import work_dir
 
 TOXIC_FROM = 0.3
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +28,12 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_token_files(spark, sf_dir):
+    folder = work_dir(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), folder)
+    return token_files.document_checks(spark, folder)
+
+
 def op2_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,7 +72,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 REGISTRY = {f.__name__: f for f in (
-    op2_minhash_dedup, op3_bpe, op4_suffix_dedup, op5_line_dedup, op6_best_fit_packing, op7_exact_dedup,
+    op1_token_files, op2_minhash_dedup, op3_bpe, op4_suffix_dedup, op5_line_dedup, op6_best_fit_packing, op7_exact_dedup,
     op8_html_text, op9_embedding_dedup, op10_toxicity)}
 
 # Lines within one edit: lines that share a half, compared after their common beginning.
