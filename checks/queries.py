@@ -330,7 +330,7 @@ def join_state_to_groups(spark, sf_dir):
 def join_groups_by_key(spark, sf_dir):
     stats = stats2(spark, sf_dir).select(*GROUP, "n", "yty")
     draws = fixed_draws(lines2(spark, sf_dir))
-    return spread(stats.join(draws, GROUP), "draw", 2, "b")
+    return spread(rel.join_groups_by_key(stats, draws), "draw", 2, "b")
 
 
 @query("join_level2_tables")
@@ -343,7 +343,7 @@ def join_level2_tables(spark, sf_dir):
 def join_count_lookup(spark, sf_dir):
     d = lines2(spark, sf_dir)
     groups = d.groupBy(*GROUP).agg(F.sum("y1").alias("y_sum"))
-    return groups.join(mom.rows_per_level2(d), "h2")
+    return rel.join_count_lookup(groups, mom.rows_per_level2(d))
 
 
 @query("join_geweke_parts", digits=6)
@@ -533,6 +533,22 @@ def _scenario(spark, sf_dir):
     return {name: stored(df, name) for name, df in both.items()}
 
 
+@query("scenario_gaps")
+def scenario_gaps(spark, sf_dir):
+    return scn.scenario_gaps(_scenario(spark, sf_dir)["new"], *S.SCENARIO)
+
+
+def _whatif_chart(period):
+    def run(spark, sf_dir):
+        corrected = rep.whatif_decomposition(_scenario(spark, sf_dir)["new"], period)["corrected"]
+        return rep.decomposition_chart_rows(corrected, period)
+    return run
+
+
+for _period in ("all", "quarter", "month"):
+    query(f"whatif_chart_rows_{_period}")(_whatif_chart(_period))
+
+
 @query("scenario_totals")
 def scenario_totals(spark, sf_dir):
     return scn.scenario_totals(**_scenario(spark, sf_dir))
@@ -961,7 +977,17 @@ def geweke_report(spark, sf_dir):
 
 @query("fit_demand_model")
 def fit_demand_model(spark, sf_dir):
-    """Sampler on weekly facts, then the fitted model's decomposition (rows only)."""
+    """Sampler on weekly facts, then what any fitted model's decomposition must fulfil."""
     facts = stored(facts_of(spark, sf_dir), "facts")
-    model = conv.fit_demand_model(facts, work_dir(spark, "fit"), iterations=6, burn_in=2)
-    return rep.historic_decomposition(facts, model, "quarter")["data"]
+    model = stored(conv.fit_demand_model(facts, work_dir(spark, "fit"), iterations=6, burn_in=2), "model")
+    parts = rep.historic_decomposition(facts, model, "quarter")
+    keys = [*PRODUCT, "quarter", "year"]
+    whole = sum((F.col(p) for p in sc.PARTS), F.col("base_sales"))
+    # Nine roundings at most lie between the parts and the predicted units.
+    fits = (F.abs(whole - F.col("y_hat_sum")) <= 5) | (F.abs(whole - F.col("y_hat_sum")) <= 1e-6 * F.abs(whole))
+    rows = parts["corrected"].join(parts["sums"].select(*keys, "y_hat_sum"), keys).join(model, PRODUCT)
+    return rows.groupBy("dept").agg(
+        F.countDistinct("type").alias("types"), F.count(F.lit(1)).alias("periods"),
+        F.max(F.size("coef")).alias("width"),
+        F.bool_and(F.forall("coef", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))).alias("finite"),
+        F.bool_and(fits).alias("adds_up"))

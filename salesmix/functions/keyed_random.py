@@ -52,7 +52,7 @@ def gamma(key: str, shape: str, scale: str) -> Column:
     """Gamma(shape, scale) by rejection from a cubed normal (Marsaglia and Tsang).
 
     A try is accepted with probability above 0.95, so that all of ``GAMMA_TRIES``
-    fail about once in 1e41 draws; then the result is null and the fit stops on it.
+    fail about once in 1e41 draws; then the expression raises an error.
     Shapes below 1 are drawn at shape + 1 and multiplied by u ** (1 / shape).
     """
     small = f"({shape}) < 1D"
@@ -64,4 +64,6 @@ def gamma(key: str, shape: str, scale: str) -> Column:
     accepted = (f"filter(filter({cubed}, t -> t.v > 0D), "
                 f"t -> t.log_u < 0.5D * t.x * t.x + {d} - {d} * t.v + {d} * ln(t.v))")
     boost = f"CASE WHEN {small} THEN pow({_unit(f'md5({key})', 1)}, 1D / ({shape})) ELSE 1D END"
-    return F.expr(f"{d} * try_element_at({accepted}, 1).v * {boost} * ({scale})")
+    failed = "CAST(raise_error('no accepted gamma draw') AS DOUBLE)"
+    first = f"coalesce(try_element_at({accepted}, 1).v, {failed})"
+    return F.expr(f"{d} * {first} * {boost} * ({scale})")

@@ -22,7 +22,11 @@ def stack(column: pa.Array, *shape: int) -> np.ndarray:
 
 
 def scalars(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(float)
+    """An Arrow column as doubles; a null or NaN is an error, not a number."""
+    out = column.to_numpy(zero_copy_only=False).astype(float)
+    if column.null_count or np.isnan(out).any():
+        raise ValueError("null or NaN in a model table")
+    return out
 
 
 def _clip_eigenvalues(m: np.ndarray, floor) -> np.ndarray:
@@ -64,10 +68,20 @@ def repair(m: np.ndarray) -> np.ndarray:
 
 
 def cholesky(m: np.ndarray) -> np.ndarray:
+    """Lower factors.  Each matrix is judged alone: repaired if it has no factor itself."""
+    if not np.isfinite(m).all():
+        raise ValueError("null, NaN or infinite number in a matrix of the model")
     try:
         return np.linalg.cholesky(m)
     except np.linalg.LinAlgError:
-        return np.linalg.cholesky(repair(m))
+        return np.stack([_cholesky_of(one) for one in m])
+
+
+def _cholesky_of(m: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.cholesky(m)
+    except np.linalg.LinAlgError:
+        return np.linalg.cholesky(nearest_pd(m[None])[0])
 
 
 def inverse_factor(precision: np.ndarray) -> np.ndarray:

@@ -29,12 +29,16 @@ def decomp_sums(raw: DataFrame, period: str = "all") -> DataFrame:
 
 
 def decomp_corrected(sums: DataFrame, period: str = "all") -> DataFrame:
-    """Spread the unexplained rest over the parts in proportion; whole units."""
+    """Spread the unexplained rest over the parts in proportion; whole units.
+
+    Parts that add up to 0 have no proportion and stay as they are.
+    """
     part_sums = [f"{p}_sum" for p in PARTS]
     total = _total(part_sums)
     err = F.col("y_hat_sum") - (F.col("base_sales_sum") + total)
     corrected = [
-        F.round(F.col(f"{p}_sum") + F.try_divide(err * F.col(f"{p}_sum"), total)).alias(p)
+        F.round(F.col(f"{p}_sum") + F.coalesce(F.try_divide(err * F.col(f"{p}_sum"), total),
+                                               F.lit(0.0))).alias(p)
         for p in PARTS]
     return sums.select(*PRODUCT, F.round("base_sales_sum").alias("base_sales"),
                        *corrected, *period_keys(period))

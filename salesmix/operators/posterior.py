@@ -149,7 +149,12 @@ def group_draw(groups: DataFrame, p: int, seed: int, iteration=1) -> DataFrame:
 
 
 def noise_precision_draw(s2: DataFrame, deflator: float, seed: int, iteration=1) -> DataFrame:
-    """h ~ Gamma(v / 2, 2 / (v s2)) with v the deflated row count; mean 1 / s2."""
+    """h ~ Gamma(v / 2, 2 / (v s2)) with v the deflated row count; mean 1 / s2.
+
+    A perfect fit (s2 = 0) has no noise precision and stops the job with the h2's name.
+    """
     v = f"(n / {float(deflator)!r}D)"
-    h = rnd.gamma(noise_key(seed, iteration), f"{v} / 2D", f"2D / ({v} * s2)")
+    noise = ("(CASE WHEN s2 > 0D THEN s2 ELSE CAST(raise_error(concat("
+             "'no residual variance in h2 ', CAST(h2 AS STRING))) AS DOUBLE) END)")
+    h = rnd.gamma(noise_key(seed, iteration), f"{v} / 2D", f"2D / ({v} * {noise})")
     return s2.withColumn("h", h)

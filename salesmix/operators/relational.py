@@ -55,21 +55,27 @@ def key_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumn("key", key)
 
 
-def _bucket(row: Column, buckets: Column) -> Column:
-    word = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
-    return word % buckets
+def join_with_nulls(left: DataFrame, right: DataFrame, keys: list[str],
+                    how: str = "inner") -> DataFrame:
+    """Join in which a null key equals a null key; the keys appear once."""
+    other = right.withColumnsRenamed({k: f"{k}__right" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"{k}__right")) for k in keys]
+    both = left.join(other, on, how)
+    whole = [F.coalesce(k, f"{k}__right").alias(k) for k in keys]
+    return both.select(*whole, *[c for c in both.columns
+                                 if c not in keys and c not in {f"{k}__right" for k in keys}])
 
 
 def bounded_chunks(df: DataFrame, keys: list[str], row: Column, chunk_rows: int) -> DataFrame:
     """Number each row's chunk inside its key so that chunks stay near ``chunk_rows``.
 
-    ``row`` is a text that is unique within the key.  A key with a third of all rows
-    becomes many chunks, so no later task holds a whole key.
+    ``row`` tells the rows of a key apart.  A key with a third of all rows becomes many
+    chunks, so no later task holds a whole key.  A null key is a key like any other.
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("chunks"))
     return (
-        df.join(sizes, keys)
-        .withColumn("chunk", _bucket(row, F.col("chunks")))
+        join_with_nulls(df, sizes, keys)
+        .withColumn("chunk", F.pmod(F.xxhash64(row), F.col("chunks")))
         .drop("chunks")
         .repartition(*keys, "chunk")
     )
@@ -79,20 +85,40 @@ def cogroup_by_key(left: DataFrame, right: DataFrame, key: str, value: str,
                    chunk_rows: int = 4096) -> DataFrame:
     """Full outer grouping: the values of both sides per key, in bounded chunks.
 
-    ``value`` is unique within a key and side.  A key's lists are complete over its
-    chunks; a side without rows in a chunk has an empty list there.
+    A key's lists are complete over its chunks; a side without rows in a chunk has an
+    empty list there.  Values that repeat are counted first and dealt out in runs, so
+    their number does not lengthen a list beyond about two chunks.
     """
     def lists(side: DataFrame, name: str) -> DataFrame:
-        rows = bounded_chunks(side.select(key, value), [key], F.col(value).cast("string"),
-                              chunk_rows)
-        return rows.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(value)).alias(name))
-
-    both = lists(left, "left_values").join(lists(right, "right_values"), [key, "chunk"], "full")
+        counted = side.groupBy(key, value).agg(F.count(F.lit(1)).alias("many"))
+        runs = counted.select(key, value, "many", F.explode(F.sequence(
+            F.lit(0), F.expr(f"(many - 1) div {chunk_rows}"))).alias("run"))
+        runs = runs.withColumn("many", F.least(
+            F.lit(chunk_rows), F.col("many") - F.col("run") * chunk_rows).cast("int"))
+        sizes = side.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("chunks"))
+        placed = join_with_nulls(runs, sizes, [key]).withColumn(
+            "chunk", F.pmod(F.xxhash64(value, "run"), F.col("chunks")))
+        return placed.groupBy(key, "chunk").agg(F.sort_array(F.flatten(
+            F.collect_list(F.array_repeat(F.col(value), F.col("many"))))).alias(name))
+
+    both = join_with_nulls(lists(left, "left_values"), lists(right, "right_values"),
+                           [key, "chunk"], "full")
     return both.select(key, "chunk", *[
         F.coalesce(F.col(c), F.array().cast("array<bigint>")).alias(c)
         for c in ("left_values", "right_values")])
 
 
+def join_groups_by_key(left: DataFrame, right: DataFrame,
+                       keys: tuple[str, ...] = ("h2", "h1")) -> DataFrame:
+    """Two tables of groups side by side; groups that only one has are left out."""
+    return left.join(right, list(keys))
+
+
+def join_count_lookup(groups: DataFrame, counts: DataFrame, key: str = "h2") -> DataFrame:
+    """Groups with their upper level's row count."""
+    return groups.join(counts, key)
+
+
 def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"))
 
@@ -113,7 +139,7 @@ def sort_by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def limit_rows(df: DataFrame, *order: str, n: int = 100) -> DataFrame:
+def limit_rows(df: DataFrame, *order: str, n: int) -> DataFrame:
     """The first ``n`` rows in order."""
     return df.orderBy(*order).limit(n)
 
@@ -132,7 +158,7 @@ def median_of(df: DataFrame, keys: list[str], value: str, error: float = 1e-4) -
     bounds = bounds.select(*keys, "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
     below = F.col("v") < F.col("lo")
     counted = (
-        known.join(bounds, keys).where(F.col("v") <= F.col("hi"))
+        join_with_nulls(known, bounds, keys).where(F.col("v") <= F.col("hi"))
         .groupBy(*keys, "n", F.greatest("v", "lo").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"), F.count_if(below).alias("below"))
     )

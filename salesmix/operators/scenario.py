@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import same_weeks_last_year, scenario_weeks, week_after_a_year
+from ..functions.calendar import (
+    floor_week_sunday,
+    last_year_bounds,
+    same_weeks_last_year,
+    scenario_weeks,
+    week_after_a_year,
+)
 from .scoring import DRIVERS_PLANNED, PRODUCT
 
 
@@ -22,14 +28,17 @@ def last_year(facts: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def align_by_position(facts: DataFrame, start: str, end: str) -> DataFrame:
-    """Every scenario week with the row at the same position of last year's stretch.
+    """Every scenario week with the row of the same week of last year's stretch.
 
-    ``old_week`` is that row's own week; weeks past last year's rows stay empty.
+    A position is the number of weeks since the first week of either stretch, so a week
+    that has no row last year leaves its own place empty and moves no other.
+    ``old_week`` is the matched row's own week.
     """
     past = last_year(facts, start, end)
     new = scenario_weeks(past.select(*PRODUCT), start, end)
-    ranked = week_rank(past).withColumnRenamed("week", "old_week")
-    return new.join(ranked, [*PRODUCT, "pos"], "left")
+    first = F.lit(last_year_bounds(start, end)[0])
+    placed = past.withColumn("pos", (F.datediff("week", first) / 7).cast("int"))
+    return new.join(placed.withColumnRenamed("week", "old_week"), [*PRODUCT, "pos"], "left")
 
 
 def set_levers(aligned: DataFrame, levers: DataFrame) -> DataFrame:
@@ -67,3 +76,11 @@ def scenario_totals(new: DataFrame, old: DataFrame) -> DataFrame:
     past = old.groupBy(*PRODUCT).agg(F.round(F.sum("y_hat")).alias("past_sim"))
     return totals.join(past, PRODUCT).withColumn(
         "pred_plus_err", F.col("pred") + (F.col("past_actual") - F.col("past_sim")))
+
+
+def scenario_gaps(new: DataFrame, start: str, end: str) -> DataFrame:
+    """Scenario weeks with a prediction and without one, per product."""
+    weeks = F.datediff(*(floor_week_sunday(F.lit(d).cast("date")) for d in (end, start))) / 7 + 1
+    filled = F.countDistinct("week")
+    return new.groupBy(*PRODUCT).agg(
+        filled.alias("weeks"), (weeks.cast("bigint") - filled).alias("empty_weeks"))

@@ -48,16 +48,12 @@ def scan_table(spark: SparkSession, name_or_path: str) -> DataFrame:
     return spark.table(name_or_path)
 
 
-def load_local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: str,
-                    max_rows: int = 10_000) -> DataFrame:
-    """Ship planner-entered rows to Spark; facts never take this way."""
-    rows = list(rows)
-    if len(rows) > max_rows:
-        raise ValueError(f"{len(rows)} local rows; write them to a table instead")
-    return spark.createDataFrame(rows, schema)
+def load_local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """Ship planner-entered rows from the driver to Spark; facts never take this way."""
+    return spark.createDataFrame(list(rows), schema)
 
 
-def fetch_rows(df: DataFrame, n: int | None = 100) -> DataFrame:
+def fetch_rows(df: DataFrame, n: int | None = None) -> DataFrame:
     """The first ``n`` rows, or everything for ``n=None``; the caller runs the action."""
     return df if n is None else df.limit(n)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,17 @@ def test_draws_do_not_depend_on_partitioning(spark):
     one = df.repartition(1).select("h2", z).orderBy("h2").collect()
     many = df.repartition(7).select("h2", z).orderBy("h2").collect()
     assert one == many
+
+
+def test_a_matrix_is_judged_alone():
+    near = np.eye(6) * 1e-9 + np.ones((6, 6))
+    bad = -np.eye(6)
+    alone = la.cholesky(near[None])[0]
+    assert np.array_equal(alone, la.cholesky(np.stack([near, bad]))[0])
+
+
+def test_missing_numbers_are_refused():
+    with pytest.raises(ValueError):
+        la.scalars(pa.array([1.0, None]))
+    with pytest.raises(ValueError):
+        la.cholesky(np.array([[[1.0, np.nan], [np.nan, 1.0]]]))

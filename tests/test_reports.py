@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesmix.functions import calendar as cal
+from salesmix.functions.calendar import week_after_a_year
 from salesmix.operators import decomposition as dec
 from salesmix.operators import relational as rel
 from salesmix.operators import scenario as scn
@@ -98,9 +99,23 @@ def test_levers_replace_only_their_weeks(spark):
 def test_products_without_parts_get_share_zero(spark):
     facts = facts_rows(spark, sundays(dt.date(2013, 1, 6), 4))
     got = rep.historic_decomposition(facts, model(spark, [1.0] + [0.0] * 10), "all")
-    row = got["pct"].first()
-    assert row.base_sales_pct is None or row.base_sales_pct >= 0
+    row, parts = got["pct"].first(), got["corrected"].first()
+    assert row.base_sales_pct == 1.0
     assert row.decomp_promo_pct == 0
+    assert parts.decomp_promo == 0 and parts.decomp_redline == 0
+
+
+def test_a_gap_moves_no_other_week(spark):
+    weeks = sundays(dt.date(2013, 1, 6), 6)
+    facts = facts_rows(spark, [w for k, w in enumerate(weeks) if k != 2])
+    got = scn.align_by_position(facts, "2014-01-06", "2014-02-09").withColumn(
+        "due", week_after_a_year(F.col("old_week"))).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(6))
+    assert [r.old_week is None for r in got] == [False, False, True, False, False, False]
+    assert all(r.week == r.due for r in got if r.old_week)
+    gaps = scn.scenario_gaps(scn.align_by_position(facts, "2014-01-06", "2014-02-09")
+                             .where("old_week IS NOT NULL"), "2014-01-06", "2014-02-09").first()
+    assert (gaps.weeks, gaps.empty_weeks) == (5, 1)
 
 
 def test_carry_forward(spark):
@@ -117,8 +132,6 @@ def test_guard(spark):
     with pytest.raises(src.NoDataError, match="No model"):
         src.guard_nonempty(spark.range(0), "model")
     assert src.guard_nonempty(spark.range(1)).count() == 1
-    with pytest.raises(ValueError, match="write them to a table"):
-        src.load_local_rows(spark, [(1,)] * 3, "a int", max_rows=2)
     with pytest.raises(ValueError, match="period"):
         dec.period_keys("decade")
 

@@ -92,3 +92,16 @@ def test_hot_join_key_is_split_even_before_an_aggregate_on_it(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_null_keys_and_repeated_values_are_kept(spark):
+    left = spark.createDataFrame([(None, 1), (None, 1), (1, 7)] + [(1, 5)] * 5000, "k int, id bigint")
+    right = spark.createDataFrame([(None, 2), (2, 3)], "k int, id bigint")
+    got = relational.cogroup_by_key(left, right, "k", "id", chunk_rows=100).toPandas()
+    assert max(map(len, got["left_values"])) <= 600
+    sizes = got.assign(n=got["left_values"].map(len), m=got["right_values"].map(len)) \
+        .groupby("k", dropna=False)[["n", "m"]].sum()
+    assert sizes.loc[1].tolist() == [5001, 0] and sizes.loc[2].tolist() == [0, 1]
+    assert sizes[sizes.index.isna()].values.tolist() == [[2, 1]]
+    values = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    assert {r.k: r.median for r in relational.median_of(values, ["k"], "v").collect()} == {None: 2.0, "a": 5.0}
