@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,20 @@ def components(edges: DataFrame) -> DataFrame:
         return ids.select(F.col("a").alias("id"), F.col("b").alias("component")).limit(0)
     smallest = stored(chain.groupBy("root").agg(F.min("id").alias("component")), "cc-root")
     return stored(chain.join(smallest, "root").select("id", "component"), "cc")
+
+
+def forest(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what a link matrix connects, at most one for each row and column."""
+    na, nb = linked.shape
+    rows, cols = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    m = linked[np.ix_(rows, cols)]
+    la, lb, big = np.arange(len(rows)), np.full(len(cols), na + nb), na + nb + 1
+    while len(rows):
+        lb2 = np.minimum(lb, np.where(m, la[:, None], big).min(axis=0))
+        la2 = np.minimum(la, np.where(m, lb2[None, :], big).min(axis=1))
+        if (la2 == la).all() and (lb2 == lb).all():
+            break
+        la, lb = la2, lb2
+    heads = ids_a[rows]
+    return ([(int(heads[l]), int(x)) for l, x in zip(la, heads, strict=True)]
+            + [(int(heads[l]), int(ids_b[c])) for l, c in zip(lb, cols, strict=True)])

@@ -8,16 +8,22 @@ agrees in none of the 64 bands with probability 3e-11.  Sets of fewer than 32 sh
 have, besides, the keys of an exact prefix filter.
 
 Documents with equal sets are one representative.  Within a key all members are first
-compared with one centre, so a group of near copies costs pairs in proportion to its
-size.  Components are then contracted, and only members that the centre did not bring
-into its component are compared with the members of other components that share a key
-with them.  A pair is confirmed on full sets if the collision-corrected estimate of its
-registers is within six standard errors of the bound (always, for small sets).
+compared with one centre, in ``ROUNDS`` rounds with another centre each, so a group of near
+copies costs pairs in proportion to its size.  A pair is confirmed on full sets if the
+collision-corrected estimate of its registers is within six standard errors of the bound
+(always, for small sets).
+
+That leaves members outside the component that most of their key belongs to.  By that
+component they form families, and a family's outsiders are compared with all its members:
+blocks of sets meet blocks of sets inside a task, which returns a spanning forest of the
+links it finds and never the pairs.  So no link between components can stay unseen that
+any key brings together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmix.llm.common import stored
-from salesmix.llm.components import components
+from salesmix.llm.components import components, forest
 from salesmix.llm.shingles import mix, shingle_sets
 
 BUCKETS, BAND, MANTISSA, ZEROS = 256, 4, 10, 63
 SMALL = 32  # sets below this size are also found by a prefix filter
 SURE = 64   # sets below this size are confirmed whatever the estimate
+ROUNDS, BLOCK = 2, 128
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -139,19 +146,21 @@ def _promising(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
-    def sets(batches):
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles): full sets of the documents in ``ids``."""
+    def run(batches):
         for b in batches:
             if b.num_rows:
                 found = shingle_sets(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "shingles"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-                  .mapInArrow(sets, "doc_id long, shingles binary"), "mh-sets")
+    return (docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+            .dropDuplicates(["doc_id"]))
+
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar enough."""
     def run(batches):
         for b in batches:
             if b.num_rows:
@@ -162,11 +171,76 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    return (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+            .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
             .mapInArrow(run, "a long, b long"))
 
 
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members with the component that they are in."""
+    return members.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+def shared_counts(x: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another."""
+    universe, code = np.unique(np.concatenate(x), return_inverse=True)
+    owner = np.repeat(np.arange(len(x)), [len(s) for s in x])
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], np.arange(len(universe) + 1))
+    out = np.zeros((len(m), len(x)), dtype=np.int64)
+    for k, s in enumerate(m):
+        at = np.minimum(np.searchsorted(universe, s), len(universe) - 1)
+        at = at[universe[at] == s]
+        many = first[at + 1] - first[at]
+        run = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out[k] = np.bincount(owner[order[np.repeat(first[at], many) + run]], minlength=len(x))
+    return out.T
+
+
+def _family_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a key that are in different components."""
+    placed = stored(_placed(members, comps), "mh-placed")
+    main = stored(placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        .select("key", F.col("m.component").alias("family")), "mh-main")
+    family = stored(placed.join(main, "key").groupBy("family", "doc_id").agg(
+        F.max((F.col("component") != F.col("family")).cast("int")).alias("outside")), "mh-family")
+    # Two members have been compared, each being the other's centre.
+    sizes = stored(family.groupBy("family").agg(F.count("*").alias("n"), F.sum("outside").alias("x"))
+                   .filter("n > 2"), "mh-sizes")
+    rows = stored(family.join(sizes, "family").join(sets, "doc_id"), "mh-blocks")
+
+    def blocks(which: DataFrame, size: str, most: int, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / most))
+        return which.groupBy("family", number.alias(f"{name}_block")).agg(
+            F.collect_list(F.struct("doc_id", "shingles")).alias(name))
+
+    both = blocks(rows.filter("outside = 1"), "x", BLOCK // 2, "x").join(blocks(rows, "n", BLOCK, "m"), "family")
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                (ids_x, x), (ids_m, m) = (
+                    ([r["doc_id"] for r in side], [np.frombuffer(r["shingles"], np.uint64) for r in side])
+                    for side in (b.column(c)[k].as_py() for c in ("x", "m")))
+                both = shared_counts(x, m)
+                n_x, n_m = np.array([len(s) for s in x]), np.array([len(s) for s in m])
+                ids_x, ids_m = np.array(ids_x), np.array(ids_m)
+                linked = 100 * both >= percent * (n_x[:, None] + n_m[None, :] - both)
+                linked &= ids_x[:, None] != ids_m[None, :]
+                tree = np.array(forest(linked, ids_x, ids_m), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(tree[:, 0]), pa.array(tree[:, 1])], ["a", "b"])
+
+    spark = members.sparkSession
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds two blocks
+    try:
+        return stored(both.select("x", "m").mapInArrow(run, "a long, b long").filter("a <> b"), "mh-late")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -182,28 +256,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = stored(filled.groupBy("set_a", "set_b", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "mh-groups")
     reps = stored(filled.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "mh-reps")
-    centres = stored(_keys(reps).groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n"))
-                     .filter("n > 1").select("key", "centre"), "mh-centres")
-    members = stored(_keys(reps).join(centres, "key").select("key", "centre", "doc_id"), "mh-members")
-    tested = stored(members.filter("doc_id <> centre").select(
-        F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "mh-pairs")
-    links = stored(_confirmed(stored(_promising(tested, reps, percent), "mh-likely"), docs, percent), "mh-links")
-    first = components(links)
-
-    # Members of a key that its centre's component does not have.
-    placed = stored(members.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "key", "centre", "doc_id", F.coalesce("component", "doc_id").alias("component")), "mh-placed")
-    main = placed.filter("doc_id = centre").select("key", F.col("component").alias("main"))
-    apart = placed.join(main, "key").filter("component <> main").select(
-        "key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("centre"))
-    others = placed.filter("doc_id <> centre").select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
-    rest = (apart.join(others, "key").filter("cx <> cy")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"))
-    likely = stored(_promising(rest, reps, percent), "mh-likely")
-    if not likely.isEmpty():
-        links = links.unionByName(_confirmed(likely, docs, percent))
-        first = components(links)
+    shared = stored(_keys(reps).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "mh-shared")
+    members = stored(_keys(reps).join(shared, "key").select("key", "doc_id"), "mh-members")
+    full = stored(_full_sets(docs, members.select("doc_id").distinct()), "mh-sets")
+    links, comps = [], None
+    for step in range(ROUNDS):
+        placed = members.withColumn("component", F.col("doc_id")) if comps is None else stored(
+            _placed(members, comps), "mh-placed")
+        who = F.struct(F.xxhash64(F.lit(step), "doc_id").alias("h"), F.col("doc_id").alias("id"), "component")
+        centres = stored(placed.groupBy("key").agg(F.min(who).alias("c"), F.min("component").alias("x"),
+                                                   F.max("component").alias("y"))
+                         .filter("x <> y").select("key", F.col("c.id").alias("a"), F.col("c.component").alias("main")),
+                         "mh-centres")
+        tested = stored(placed.join(centres, "key").filter("component <> main")
+                        .select("a", F.col("doc_id").alias("b")).distinct(), "mh-pairs")
+        links.append(stored(_confirmed(_promising(tested, reps, percent), full, percent), "mh-links"))
+        comps = components(reduce(DataFrame.unionByName, links))
+    links.append(_family_links(members, comps, full, percent))
+    first = components(reduce(DataFrame.unionByName, links))
     groups = stored(sets.join(first.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
         .filter("component_id IS NOT NULL"), "mh-told")
