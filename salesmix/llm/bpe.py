@@ -8,8 +8,10 @@ along the right edge of the first token, the piece right of it along the left ed
 second, the lower rank first, and the pair fails if the two pieces' own merge comes before
 both.  Words with a failing pair are merged exactly, rank by rank.
 
-Normalisation, special tokens and the split into words follow the vocabulary file, which
-must be of the kind "BPE with word ends, byte-level letters, lower case".
+The vocabulary file must be of the kind "BPE with word ends, byte-level letters, lower
+case".  Texts of plain Latin-1 letters are lower-cased and split here; any other text is
+normalised and split into words by the tokenizers library's own rules, whose tables of
+letters and digits differ from Python's.  Tokens are always found here.
 """
 
 from __future__ import annotations
@@ -17,22 +19,19 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 WORD_CACHE = 400_000  # words whose tokens a task remembers; a speed matter only
-# The split pattern of the vocabulary, for all texts and for Latin-1 ones.
-_SPACES = "\t-\r \x85\xa0  -     　"
+# The split pattern of the vocabulary, for texts of Latin-1 letters.
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-ANY_WORD = regex.compile(rf"{_ENDINGS}|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+")
 _LATIN = "a-z\xdf-\xf6\xf8-\xff"
 LATIN_WORD = re.compile(rf"{_ENDINGS}|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+")
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xc0-\xff]*").fullmatch
@@ -62,6 +61,8 @@ class Bpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(self.vocab[a], self.vocab[b]): (k, self.vocab[a + b]) for k, (a, b) in enumerate(merges)}
         self.letters = byte_letters()
+        self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        self.path = path
         n = max(self.texts) + 1
         self.split: dict[int, tuple[int, int, int]] = {}
         for (a, b), (k, t) in sorted(self.ranks.items(), key=lambda x: x[1][0]):
@@ -75,6 +76,14 @@ class Bpe:
         self.guesses = self._reachable()
         self.longest = max(map(len, self.guesses), default=1)
 
+    @cached_property
+    def library(self):
+        """The library's normaliser and word splitter, loaded when a text needs them."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _edges(self, side: int) -> tuple[np.ndarray, np.ndarray]:
         """For each token: its pieces at one edge, smallest first, and the rank that ends each."""
         chains: list[list[tuple[int, int]]] = [[] for _ in range(self.n)]
@@ -187,25 +196,21 @@ class Bpe:
             found[k] = self.merge(words[k])
         return found
 
-    def pieces(self, text: str) -> list[tuple[str, bool]]:
-        """(word or special token, whether special) in text order."""
-        if PLAIN(text) and not (self.by_special and self.by_special.search(text)):
-            return [(w, False) for w in LATIN_WORD.findall(text.lower())]
+    def words(self, text: str) -> list[str]:
+        """Words in text order; special tokens are marked by a leading NUL."""
+        found = self.by_special.split(text) if self.by_special else [text]
+        if len(found) == 1 and PLAIN(text):
+            return LATIN_WORD.findall(text.lower())
         out = []
-        for part in self.by_special.split(text) if self.by_special else [text]:
+        for part in found:
             if part in self.special:
-                out.append((part, True))
-            else:
-                low = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-                out += [(w, False) for w in ANY_WORD.findall(low)]
+                out.append("\x00" + part)
+            elif part:
+                low = self.library.normalizer.normalize_str(part)
+                for s, _ in self.library.pre_tokenizer.pre_tokenize_str(low):
+                    out.append(bytes(self.byte_of[c] for c in s).decode("utf-8", "surrogatepass"))
         return out
 
-    def words(self, text: str) -> list[str]:
-        """As ``pieces``, special tokens marked by a leading NUL."""
-        if PLAIN(text) and not (self.by_special and self.by_special.search(text)):
-            return LATIN_WORD.findall(text.lower())
-        return ["\x00" + w if special else w for w, special in self.pieces(text)]
-
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by spaces, as a vocabulary without a decoder is decoded."""
         return " ".join(self.texts[i] for i in ids if i in self.texts)

@@ -72,8 +72,10 @@ def _pack_shard(capacity: int, max_per_source: int):
         import pandas as pd
 
         rows, items, whole = [], [], 0
-        pdf = pdf.sort_values(["doc_id", "size"], ascending=[True, False], kind="stable", na_position="first")
-        for doc, size, source, cluster in zip(pdf["doc_id"], pdf["size"], pdf["source"], pdf["cluster"], strict=True):
+        pdf = pdf.sort_values(["known", "doc_id", "size", "cluster"], kind="stable")
+        for known, doc, size, source, cluster in zip(
+                pdf["known"], pdf["doc_id"], pdf["size"], pdf["source"], pdf["cluster"], strict=True):
+            doc = doc if known else None
             pieces = size // capacity
             for p in range(pieces):  # a piece that fills its bin
                 rows.append((doc, p, p * capacity, capacity, whole, 0))
@@ -88,7 +90,7 @@ def _pack_shard(capacity: int, max_per_source: int):
             rows.append((doc, piece, first, size, whole + b, place))
         out = pd.DataFrame(rows, columns=["doc_id", "piece", "first_token", "n_tokens", "bin", "place"])
         for c in out.columns:
-            out[c] = out[c].astype("Int64")
+            out[c] = pd.array(out[c].tolist(), dtype="Int64")
         out.insert(4, "shard", pdf["shard"].iloc[0])
         return out
 
@@ -101,15 +103,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_P
 
     ``items`` has doc_id, size, source and cluster.  A row of size 0 (or null) gets one
     piece without a bin.  Null sources are one source, null clusters conflict with nothing.
-    Rows that repeat an id are packed each.  An empty table gives an empty result.
+    Rows that repeat an id are packed each; a null id stays null.  An empty table gives an
+    empty result.
     """
     n = items.count()
     shards = max(1, -(-n // shard_docs))
     alone = F.struct(F.col("doc_id"), F.col("size"), F.col("source"))
     rows = items.select(
-        "doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("source", F.lit("")).alias("source"),
+        F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("cluster", F.xxhash64(alone, F.lit("alone"))).alias("cluster"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(shards)).cast("int").alias("shard"))
     return rows.groupBy("shard").applyInPandas(
         _pack_shard(capacity, max_per_source),
         "doc_id long, piece long, first_token long, n_tokens long, shard int, bin long, place long")

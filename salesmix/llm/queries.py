@@ -15,7 +15,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 def held_out(doc_id):
     """Documents that no training may use."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def toxicity_model(spark, sf_dir):

@@ -256,7 +256,8 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts are read as UTF-8 (null: empty).  A byte is removed if a string of ``length``
     bytes that covers it starts anywhere else too, in another row or the same; spans are
     the maximal removed ranges.  Rows with equal texts count as different places.  doc_id
-    identifies a row and must not be null; other columns are ignored.
+    identifies a row; a row without one keeps its text, and others are not compared with
+    it.  Other columns are ignored; an empty table gives an empty result.
     """
     def run(batches):
         for b in batches:
