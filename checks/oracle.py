@@ -754,12 +754,25 @@ def statements() -> dict[str, str]:
 
     # reports
     units = [f"{a}_{b}_units" for a, b in MEASURES]
-    prices = [f"{a}_{b}_price" for a, b in MEASURES]
+    priced = [(a, b) for a, b in MEASURES if b != "total"]
+    prices = [f"{a}_{b}_price" for a, b in priced]
     put("sales_table", facts, ["department", "store", "week"], [*units, *prices],
         "SELECT dept AS department, type AS store, week, "
         + names([f"{a}_units_{b} AS {a}_{b}_units" for a, b in MEASURES]
-                + [f"{a}_price_{b}_smooth AS {a}_{b}_price" for a, b in MEASURES])
+                + [f"{a}_price_{b}_smooth AS {a}_{b}_price" for a, b in priced])
         + " FROM plain")
+    put("sales_table_smooth", facts, ["department", "store", "week"], [*units, *prices],
+        "SELECT dept AS department, type AS store, week, "
+        + names([f"{a}_units_{b} AS {a}_{b}_units" for a, b in MEASURES]
+                + [f"{a}_price_{b}_smooth_supsmu AS {a}_{b}_price" for a, b in priced])
+        + " FROM facts")
+    put("products_without_model", facts, product, [],
+        "SELECT DISTINCT dept, type FROM facts WHERE gender <> 'F'")
+    start, end = (sunday(f"DATE '{d}'") for d in S.SCENARIO)
+    put("report_on_selection", f"{fit}, part AS (SELECT r.* FROM raw AS r JOIN (SELECT DISTINCT dept, type, week "
+        f"FROM facts WHERE brand = 'A' AND gender = 'F' AND week BETWEEN {start} AND {end}) AS f "
+        "USING (dept, type, week))", [*product, "quarter", "year"], CHART,
+        _merged(_corrected("FROM part", "quarter"), "quarter"))
     new_raw = f"{scenario}, raw AS ({_raw('new')})"
     pct_cols = [f"{c}_pct" for c in CHART]
     for period in PERIOD:

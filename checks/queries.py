@@ -81,19 +81,18 @@ def plain_prices(spark, sf_dir):
     return wk.carry_forward_price(facts_of(spark, sf_dir))
 
 
-def model_of(spark, sf_dir):
-    """The stand-in model, one row per product that has sales."""
-    lines = retail.sales_lines(spark, sf_dir)
-    return retail.demand_model(lines)
-
-
 def transformed(spark, sf_dir):
     return sc.drop_null_rows(sc.log1p_transform(facts_of(spark, sf_dir)))
 
 
+def modelled(spark, sf_dir):
+    """Transformed facts with the stand-in model; the fact join is computed once."""
+    facts = stored(facts_of(spark, sf_dir), "facts")
+    return sc.join_model(sc.drop_null_rows(sc.log1p_transform(facts)), retail.demand_model(facts))
+
+
 def scored(spark, sf_dir, rounded=False):
-    rows = sc.join_model(transformed(spark, sf_dir), model_of(spark, sf_dir))
-    return sc.dot_score(rows, rounded)
+    return sc.dot_score(modelled(spark, sf_dir), rounded)
 
 
 def lines2(spark, sf_dir):
@@ -353,7 +352,7 @@ def join_geweke_parts(spark, sf_dir):
 
 @query("join_model")
 def join_model(spark, sf_dir):
-    rows = sc.join_model(transformed(spark, sf_dir), model_of(spark, sf_dir))
+    rows = modelled(spark, sf_dir)
     return spread(rows.select(*PRODUCT, "week", "price_log", "coef"), "coef", 11, "c")
 
 
@@ -926,6 +925,26 @@ def sales_table(spark, sf_dir):
     return rep.sales_table(plain_prices(spark, sf_dir), smooth=False)
 
 
+@query("sales_table_smooth")
+def sales_table_smooth(spark, sf_dir):
+    return rep.sales_table(facts_of(spark, sf_dir), smooth=True)
+
+
+@query("products_without_model")
+def products_without_model(spark, sf_dir):
+    facts = stored(facts_of(spark, sf_dir), "facts")
+    model = retail.demand_model(facts).where(retail.gender_of(F.col("dept")) == "F")
+    return rep.products_without_model(facts, model)
+
+
+@query("report_on_selection")
+def report_on_selection(spark, sf_dir):
+    """One brand and gender over the scenario's weeks, through the selection to the report."""
+    facts = stored(facts_of(spark, sf_dir, *S.SCENARIO), "facts")
+    chosen = rep.select_facts(facts, brand="A", gender="F", start=S.SCENARIO[0], end=S.SCENARIO[1])
+    return rep.historic_decomposition(chosen, retail.demand_model(facts), "quarter")["data"]
+
+
 def _named(name, fn):
     query(name)(fn)
 

@@ -27,9 +27,12 @@ def product_choices(facts: DataFrame, brand: str | None = None,
 
 
 def select_facts(facts: DataFrame, dept: str = rel.ALL, type_: str = rel.ALL,
-                 start=None, end=None) -> DataFrame:
-    """Facts of the chosen product and weeks; says so when there are none."""
-    chosen = rel.filter_eq_or_all(facts, dept=dept, type=type_)
+                 start=None, end=None, brand: str = rel.ALL, gender: str = rel.ALL) -> DataFrame:
+    """Facts of the chosen products and weeks; says so when there are none.
+
+    The test runs the filter once more, so ``facts`` should be a stored table.
+    """
+    chosen = rel.filter_eq_or_all(facts, dept=dept, type=type_, brand=brand, gender=gender)
     if start is not None:
         chosen = rel.filter_week_range(chosen, start, end)
     return src.guard_nonempty(chosen, "data")
@@ -39,6 +42,11 @@ def select_model(model: DataFrame, dept: str, type_: str) -> DataFrame:
     return src.guard_nonempty(rel.filter_product(model, dept, type_), "demand model")
 
 
+def products_without_model(facts: DataFrame, model: DataFrame) -> DataFrame:
+    """Products that reports on a model leave out."""
+    return rel.distinct_values(facts, *PRODUCT).join(model, PRODUCT, "left_anti")
+
+
 def weekly_series(facts: DataFrame, *measures: str, smooth: bool = False,
                   by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Units and mean price by week, and the bounds of the price axis, per measure.
@@ -58,11 +66,11 @@ def stacked_units(facts: DataFrame) -> DataFrame:
 
 
 def sales_table(facts: DataFrame, smooth: bool = False) -> DataFrame:
-    """Units and prices of all nine measures, under report names."""
+    """Units of all nine measures and prices of the six that are no totals."""
     names = {"dept": "department", "type": "store", "week": "week"}
     for m in wk.measure_names():
         names[wk.unit_column(m)] = f"{m}_units"
-    for m in wk.measure_names():
+    for m in (m for m in wk.measure_names() if not m.endswith("_total")):
         names[rel.price_column(m, smooth)] = f"{m}_price"
     return rel.project_rename(facts, names)
 
@@ -80,7 +88,10 @@ def _decomposition(raw: DataFrame, period: str) -> dict[str, DataFrame]:
 
 def historic_decomposition(facts: DataFrame, model: DataFrame,
                            period: str = "all") -> dict[str, DataFrame]:
-    """Split historic sales into base, seasonality, promotion and redline parts."""
+    """Split historic sales into base, seasonality, promotion and redline parts.
+
+    Products without a model have no parts; ``products_without_model`` names them.
+    """
     rows = sc.drop_null_rows(sc.log1p_transform(facts))
     scored = sc.dot_score(sc.join_model(rows, model))
     return _decomposition(sc.raw_decomps(scored), period)
