@@ -79,14 +79,19 @@ def unpack_triangle(total: str, size: int, rows: range, cols: range):
 
 
 def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = None,
-               many_groups: bool = False) -> DataFrame:
+               many_groups: bool = False, shift: float = 0.0) -> DataFrame:
     """n, X'X (row-major), X'y and y'y per group; X starts with a column of ones.
 
     With few drivers this is one native aggregate.  With more, each Arrow batch is
     reduced to one triangle per group in it, which pays if a batch meets few groups:
-    ``many_groups`` first lays the rows out by group.
+    ``many_groups`` first lays the rows out by group.  ``shift`` is taken from y first:
+    squares of a response far from 0 leave no digits for the residuals, so take its mean
+    and add it to the intercepts afterwards.  Rows with a null driver or response are left
+    out and not counted in n.
     """
     keys = keys or GROUP
+    if shift:
+        d = d.withColumn(y, F.col(y) - F.lit(float(shift)))
     p, size = len(xs) + 1, len(xs) + 2
     triangle = _triangle(size)
     d = d.dropna(subset=[y, *xs])

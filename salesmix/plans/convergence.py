@@ -16,10 +16,14 @@ def geweke_report(long: DataFrame, raw_iters: int, burn_in: int = 0) -> dict[str
     return {"detail": cd, "share": geweke.geweke_share(cd)}
 
 
-def posterior_model(draws: DataFrame, p: int, burn_in: int = 0) -> DataFrame:
-    """Model table (dept, type, coef): mean of the draws after burn-in."""
+def posterior_model(draws: DataFrame, p: int, burn_in: int = 0, shift: float = 0.0) -> DataFrame:
+    """Model table (dept, type, coef): mean of the draws after burn-in.
+
+    ``shift`` is what the moments took from the response; it goes back to the intercept.
+    """
     kept = draws.where(F.col("iter") > burn_in)
-    means = F.array(*[F.avg(F.col("draw")[i]) for i in range(p)])
+    means = F.array(F.avg(F.col("draw")[0]) + F.lit(float(shift)),
+                    *[F.avg(F.col("draw")[i]) for i in range(1, p)])
     return kept.groupBy(F.col("h2").alias("dept"), F.col("h1").alias("type")).agg(
         means.alias("coef"))
 
@@ -33,9 +37,11 @@ def model_rows(facts: DataFrame) -> DataFrame:
 def fit_demand_model(facts: DataFrame, folder: str, iterations: int = 20, burn_in: int = 10,
                      seed: int = 1) -> DataFrame:
     """Fit the sampler on weekly facts and return the model table the reports use."""
-    stats = group_gram(model_rows(facts), "blended_units_total_log", scoring.DRIVERS,
-                       many_groups=True)
-    spec = FitSpec(p=len(scoring.COEF_ORDER), seed=seed)
+    rows, y = model_rows(facts), "blended_units_total_log"
+    shift = rows.agg(F.avg(y).alias("m")).first().m or 0.0
+    stats = group_gram(rows, y, scoring.DRIVERS, many_groups=True, shift=shift)
+    p = len(scoring.COEF_ORDER)
+    spec = FitSpec(p=p, seed=seed, prior_mean=[-shift, *[0.0] * (p - 1)])
     gibbs_init(stats, spec, folder)
     draws = gibbs_run(facts.sparkSession, folder, spec, 2, iterations)
-    return posterior_model(draws, spec.p, burn_in)
+    return posterior_model(draws, spec.p, burn_in, shift)

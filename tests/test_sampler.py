@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesmix.operators import geweke, moments
+from salesmix.operators import posterior as post
 from salesmix.plans import convergence, gibbs
 from salesmix.session import work_dir
 
@@ -147,3 +148,21 @@ def test_geweke_burn_in(spark):
     head, tail = np.arange(101, 110), np.arange(161, 201)
     se_a, se_c = head.std() / np.sqrt(10), tail.std() / np.sqrt(40)
     assert row.cd == pytest.approx((head.mean() - tail.mean()) / (se_a + se_c))
+
+
+def test_a_response_far_from_zero_keeps_its_residuals(spark):
+    rng = np.random.default_rng(3)
+    x, e = rng.normal(size=500), rng.normal(scale=0.3, size=500)
+    base = 1e8
+    df = spark.createDataFrame([("a", "b", base + 2 * float(u) + float(v), float(u)) for u, v in zip(x, e, strict=True)],
+                               "h2 string, h1 string, y double, x double")
+    stats = moments.group_gram(df, "y", ["x"], shift=base)
+    draws = spark.createDataFrame([("a", "b", [0.0, 2.0])], "h2 string, h1 string, draw array<double>")
+    y = np.array([base + 2 * float(u) + float(v) for u, v in zip(x, e, strict=True)]) - base
+    assert abs(moments.group_ssr(stats, draws, 2).first().ssr / np.square(y - 2 * x).sum() - 1) < 1e-6
+
+
+def test_no_residual_variance_names_the_group(spark):
+    s2 = spark.createDataFrame([("north", 10, 0.0)], "h2 string, n bigint, s2 double")
+    with pytest.raises(Exception, match="no residual variance in h2 north"):
+        post.noise_precision_draw(s2, 1.0, 1).collect()
