@@ -304,11 +304,16 @@ def fit_pages(pages: list[str], seed: int = 7) -> Model:
 
 
 def fit(pages: DataFrame, max_pages: int = 300) -> Model:
-    """Fit on at most ``max_pages`` rows with a marked article, smallest hashes first."""
-    rows = (pages.select(F.coalesce("html", F.lit("")).alias("html"))
-            .filter(F.col("html").contains("<article") & (F.length("html") < 200_000))
-            .orderBy(F.xxhash64("html"), "html").limit(max_pages).collect())
-    return fit_pages([r.html for r in rows])
+    """Fit on at most ``max_pages`` rows with a marked article, smallest hashes first.
+
+    Rows are chosen by id, so that only the chosen pages reach the driver.
+    """
+    marked = pages.select("page_id", "html").filter(
+        F.col("html").contains("<article") & (F.length("html") < 200_000))
+    chosen = (marked.select("page_id", F.xxhash64("html").alias("h")).orderBy("h", "page_id")
+              .limit(max_pages).select("page_id").distinct())
+    rows = marked.join(F.broadcast(chosen), "page_id").limit(max_pages).collect()
+    return fit_pages(sorted(r.html for r in rows))
 
 
 def main_text(pages: DataFrame, model: Model) -> DataFrame:
