@@ -12,41 +12,12 @@ the broadcast has a fixed bound: 2**27 bits are 16 MB of words.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesmix.llm.bloom import MAX_FILTER_BITS, bit_table, blocks_for, looked_up, with_bits
 from salesmix.llm.common import stored, text_or_empty
 
-WORDS = 8  # 64-bit words in one block of the filter
-BITS_PER_ROW = 16
-MAX_FILTER_BITS = 1 << 27
-
-
-def _mask(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-
-
-def bloom_blocks(hashed: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w7): the bits that at least two rows have set."""
-    again = (hashed.select("block", F.explode(F.array("bit0", "bit1")).alias("bit"))
-             .groupBy("block", "bit").agg(F.count("*").alias("n")).filter("n > 1"))
-    words = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, _mask(F.col("bit")))
-                      .otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
-    return again.groupBy("block").agg(*words)
-
-
-def _with_bits(df: DataFrame, key: Column, blocks: int) -> DataFrame:
-    """Block and two different bits of a key's hash."""
-    wide = WORDS * 64
-    h = F.xxhash64(key)
-    other = F.xxhash64(h)
-    first = F.pmod(other, F.lit(wide))
-    step = F.pmod(F.call_function("shiftright", other, F.lit(20)), F.lit(wide - 1)) + 1
-    return df.withColumns({"block": F.pmod(h, F.lit(blocks)), "bit0": first,
-                           "bit1": F.pmod(first + step, F.lit(wide))})
-
 
 def exact_duplicates(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS,
                      keep: str = "max") -> DataFrame:
@@ -62,23 +33,10 @@ def exact_duplicates(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS,
         raise ValueError("keep must be 'max' or 'min'")
     text = text_or_empty("text")
     rows = docs.select("doc_id", text.alias("text"))
-    n = max(1, rows.count())
-    bits = min(max_filter_bits, 1 << (BITS_PER_ROW * n - 1).bit_length())
-    blocks = max(1, bits // (WORDS * 64))
-    bloom = bloom_blocks(_with_bits(rows.select("text"), F.col("text"), blocks)
-                         .select("block", "bit0", "bit1"), blocks)
-    probed = (_with_bits(rows, F.col("text"), blocks)
-              .withColumn("text_sha256", F.sha2("text", 256))
-              .select("doc_id", "text_sha256", "block", "bit0", "bit1")
-              .join(F.broadcast(bloom), "block", "left"))
-
-    def is_set(bit: str) -> Column:
-        word = reduce(lambda rest, w: F.when(F.floor(F.col(bit) / 64) == w, F.col(f"w{w}"))
-                      .otherwise(rest), range(WORDS), F.lit(None).cast("long"))
-        return F.coalesce(word.bitwiseAND(_mask(F.col(bit))), F.lit(0).cast("long")) != 0
-
-    marked = stored(probed.select("doc_id", "text_sha256",
-                                  (is_set("bit0") & is_set("bit1")).alias("maybe")), "exact")
+    blocks = blocks_for(rows.count(), max_filter_bits)
+    twice = bit_table(with_bits(rows.select("text"), F.col("text"), blocks), 2)
+    marked = stored(looked_up(rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text"), F.col("text"),
+                              twice, blocks, "maybe").drop("text"), "exact")
     maybe = marked.filter("maybe").select("doc_id", "text_sha256")
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
     # Written, so that a text with very many copies is an ordinary skewed join that the

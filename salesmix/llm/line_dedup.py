@@ -11,7 +11,8 @@ hashed keys that are equal where two lines have a deletion in common:
    to a whole block is one insertion apart.
 
 Steps one and two only leave out lines and blocks that cannot have a partner, so the third
-step's join finds every pair.  In it each line meets the earliest member of a variant, not
+step's join finds every pair.  Rows that a join would only throw away are kept from its
+shuffle by Bloom filters of the smaller side.  In it each line meets the earliest member of a variant, not
 every other, and that pair's edit distance is verified on the lines.  No step makes pairs
 within a group; counts and minima are added up before each shuffle.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesmix.llm.bloom import maybe_in
 from salesmix.llm.common import stored, unused_name
 
 MIN_CHARS, BLOCK = 10, 16
@@ -115,17 +117,22 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     lines = _lines(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), min_chars)
     places = stored(lines.select("doc_id", "n", "lid"), "ln-places")
-    firsts = stored(places.groupBy("lid").agg(F.min(F.struct("doc_id", "n")).alias("first")), "ln-firsts")
+    firsts = stored(places.groupBy("lid").agg(
+        F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("many")), "ln-firsts")
     halves = lines.select("lid", F.explode(F.array_distinct(_half_keys(F.col("line")))).alias("key"))
-    likely = halves.join(_shared(halves, "ln-halves"), "key").select("lid").distinct()
-    origin = stored(firsts.join(likely, "lid").select(
+    shared = _shared(halves, "ln-halves")
+    likely = stored(maybe_in(halves, F.col("key"), shared, F.col("key"), "may").filter("may")
+                    .join(shared, "key").select("lid").distinct(), "ln-likely")
+    origin = stored(maybe_in(firsts, F.col("lid"), likely, F.col("lid"), "may").filter("may").join(likely, "lid").select(
         F.col("first.doc_id").alias("doc_id"), F.col("first.n").alias("n"), "first"), "ln-origin")
-    texts = stored(lines.join(origin, ["doc_id", "n"]).dropDuplicates(["doc_id", "n"])
+    place = F.struct("doc_id", "n")
+    texts = stored(maybe_in(lines, place, origin, place, "may").filter("may").join(origin, ["doc_id", "n"])
+                   .dropDuplicates(["doc_id", "n"])
                    .select("lid", "line", "first"), "ln-texts")
     near = near_lines(texts).withColumn("near", F.lit(True))
-    told = stored(firsts.join(near, "lid", "left"), "ln-told")
+    told = stored(firsts.join(near, "lid", "left").filter("many > 1 OR near"), "ln-told")
     again = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.n") != F.col("n"))
-    drops = stored(places.join(told, "lid").filter(again | F.col("near"))
+    drops = stored(maybe_in(places, F.col("lid"), told, F.col("lid"), "may").filter("may").join(told, "lid").filter(again | F.col("near"))
                    .select("doc_id", "n", (~again).cast("long").alias("near")), "ln-drops")
     return drops.groupBy("doc_id").agg(F.collect_set("n").alias("removed"), F.sum("near").alias("n_near"))
 
@@ -141,10 +148,14 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
     n_lines, n_removed and n_near.  Columns of ``docs`` with those names must not exist then.
     """
     mark, near = unused_name(docs, "removed"), unused_name(docs, "n_near")
-    found = repeated_lines(docs, min_chars).select(
-        "doc_id", F.col("removed").alias(mark), F.col("n_near").alias(near))
+    found = stored(repeated_lines(docs, min_chars).select(
+        "doc_id", F.col("removed").alias(mark), F.col("n_near").alias(near)), "ln-found")
+    may = unused_name(docs, "may")
+    split = maybe_in(docs, F.col("doc_id"), found, F.col("doc_id"), may)
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(mark), i))
-    out = docs.join(stored(found, "ln-found"), "doc_id", "left")
+    # Documents that lose no line are not shuffled.
+    whole = split.filter(~F.col(may)).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in (mark, near)})
+    out = split.filter(may).join(found, "doc_id", "left").unionByName(whole)
     text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     more = [F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
             F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark)).cast("long").alias("n_removed"),
