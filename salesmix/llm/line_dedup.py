@@ -155,7 +155,8 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(mark), i))
     # Documents that lose no line are not shuffled.
     whole = split.filter(~F.col(may)).withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in (mark, near)})
-    out = split.filter(may).join(found, "doc_id", "left").unionByName(whole)
+    # ``found`` grows with the corpus, so the same join is used at every size.
+    out = split.filter(may).join(found.hint("merge"), "doc_id", "left").unionByName(whole)
     text = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     more = [F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
             F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark)).cast("long").alias("n_removed"),
