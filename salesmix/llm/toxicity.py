@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel.
 
 * The kernel compares a word (with its ends marked) and a landmark string by the
-  subsequences of three characters they share.  A subsequence may skip one
+  subsequences of three letters, of any script, they share.  A subsequence may skip one
   character at each step and counts less the longer it is, so `id-iot` and `i.d.i.o.t`
   still resemble `idiot`; single letters in a row are also read as one word.
 * A sentence is described by its best kernel value against each landmark, mapped by
@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +35,76 @@ DECAY, MAX_STEP, FLOOR = 0.8, 2, 0.5
 BREAK = "\x00"  # a token of its own where a line ends
 CACHE_WORDS = 300_000  # words whose kernel values a task remembers; a speed matter only
 
-# Letters that stand for themselves, and look-alikes read as letters.
-LETTERS = "abcdefghijklmnopqrstuvwxyzàâäçèéêëîïíñóôöùúûüß"
+# Look-alikes read as letters.  Letters and marks of every script stand for
+# themselves; three code points of 21 bits make one code.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-EDGE, OTHER, BASE = 63, 62, 64
+OTHER, EDGE, BITS = 1, 2, 21
+LETTERS_END = 0x40000  # Unicode has no letters or marks beyond, but for invisible selectors
 
 
 def _code_table() -> np.ndarray:
-    table = np.full(0x250, OTHER, dtype=np.int64)
-    for k, c in enumerate(LETTERS):
-        table[ord(c)] = k + 1
+    table = np.full(LETTERS_END + 1, OTHER, dtype=np.int64)
+    for point in range(LETTERS_END):
+        if category(chr(point))[0] in "LM":
+            table[point] = point
     for c, letter in LOOKALIKES.items():
-        table[ord(c)] = table[ord(letter)]
+        table[ord(c)] = ord(letter)
     return table
 
 
-CODES = _code_table()
+def _alphabets() -> np.ndarray:
+    """A bit each for Latin, Greek, Cyrillic and all other letters; marks go with any."""
+    table = np.zeros(LETTERS_END + 1, dtype=np.int8)
+    for bit, spans in ((1, ((0x41, 0x250), (0x1E00, 0x1F00))), (2, ((0x370, 0x400), (0x1F00, 0x2000))),
+                       (4, ((0x400, 0x530),)), (8, ((0x530, 0x1E00), (0x2000, LETTERS_END)))):
+        for a, b in spans:
+            table[a:b] = bit
+    return table
+
+
+CODES, ALPHABETS = _code_table(), _alphabets()
 STEPS = [(a, b) for a in range(1, MAX_STEP + 1) for b in range(1, MAX_STEP + 1)]
-EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~\\"  # taken off both ends of a word
+# Taken off both ends of a word.
+EDGES = ("".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~\\"
+         "¡¿«»‹›„“”‚‘’…–—·،؛؟۔।॥、。！？，．：；・「」『』（）《》〈〉【】")
+ENDS = frozenset(".!?|؟۔।॥。！？．")  # end a sentence
+# Scripts that put no space between words: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u3096\u3099-\u309f"
+                       "\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+                       "\U00020000-\U0003ffff]+")
 _SPELT = re.compile(r"(?<!\S)(?:\w[\W_]? ){2,}\w(?!\S)")
 
 
+def _grams(run: re.Match) -> str:
+    """A run of letters without spaces as its letters and all strings of two and three."""
+    r = run.group()
+    return " ".join(["", *(r[k:k + n] for n in (1, 2, 3) for k in range(len(r) - n + 1)), ""])
+
+
+def _apart(words: list[str]) -> list[str]:
+    """Words of scripts without spaces taken apart; if mixed with others also kept."""
+    out = []
+    for w in words:
+        if not _UNSPACED.search(w):
+            out.append(w)
+        else:
+            out += _UNSPACED.sub(_grams, w).split()
+            if not _UNSPACED.fullmatch(w.strip(EDGES)):
+                out.append(w)
+    return out
+
+
 def tokens(text: str) -> list[str]:
-    """Lower-cased words; a break token for each line end; spelt-out words joined too."""
+    """Lower-cased words; a break token for each line end; spelt-out words joined too.
+
+    Where a script has no spaces, every string of up to three letters is a word.
+    """
     text = text.lower()
     spelt = [re.sub(r"[\W_]", "", m) for m in _SPELT.findall(text)]
     words = text.replace("\n", f" {BREAK} ").split()
     for w in spelt:
         words += [BREAK, w]
-    return words
+    return words if text.isascii() or not _UNSPACED.search(text) else _apart(words)
 
 
 def _occurrences(words: list[str], open_end: bool = False) -> tuple[np.ndarray, ...]:
@@ -71,6 +113,7 @@ def _occurrences(words: list[str], open_end: bool = False) -> tuple[np.ndarray,
     joined = "".join(f"\x01{w}\x02" for w in cleaned)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = CODES[np.minimum(points, len(CODES) - 1)]
+    alphabet = ALPHABETS[codes]
     ends = points <= 2
     codes[ends] = EDGE
     if open_end:  # a word beginning has no end mark
@@ -84,9 +127,11 @@ def _occurrences(words: list[str], open_end: bool = False) -> tuple[np.ndarray,
             continue
         at = np.flatnonzero(owner[:-reach] == owner[reach:])
         x, y, z = codes[at], codes[at + a], codes[at + reach]
-        good = (x > 0) & (y > 0) & (z > 0) & (x != OTHER) & (y != OTHER) & (z != OTHER)
+        # A Cyrillic letter between Latin ones is a disguise, skipped like a sign.
+        mixed = alphabet[at] | alphabet[at + a] | alphabet[at + reach]
+        good = (x > OTHER) & (y > OTHER) & (z > OTHER) & (mixed & (mixed - 1) == 0)
         at = at[good]
-        parts.append((owner[at], ((x * BASE + y) * BASE + z)[good],
+        parts.append((owner[at], ((x << 2 * BITS) + (y << BITS) + z)[good],
                       np.full(len(at), DECAY ** (reach - 2))))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -114,22 +159,24 @@ class Kernel:
         code = np.array([e[0] for e in entries], dtype=np.int64)
         self.z = np.array([e[1] for e in entries], dtype=np.int64)
         self.weight = np.array([e[2] for e in entries])
-        self.first = np.searchsorted(code, np.arange(BASE ** 3))
-        self.many = np.bincount(code, minlength=BASE ** 3)
+        self.codes, self.first, self.many = np.unique(code, return_index=True, return_counts=True)
 
     def values(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word number, landmark and normalised kernel value, where it reaches FLOOR."""
         owner, code, weight = _occurrences(words)
         m = len(self.landmarks)
         own = np.sqrt(np.bincount(owner, weight ** 2, minlength=len(words)))
-        many = self.many[code]
-        hit = np.flatnonzero(many)
-        many = many[hit]
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = np.flatnonzero(self.codes[place] == code)
+        place = place[hit]
+        many = self.many[place]
         if not len(hit):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         src = np.repeat(hit, many)
         run = np.arange(len(src)) - np.repeat(np.cumsum(many) - many, many)
-        entry = self.first[code[src]] + run
+        entry = np.repeat(self.first[place], many) + run
         key = owner[src] * m + self.z[entry]
         total = np.bincount(key, weight[src] * self.weight[entry], minlength=len(words) * m)
         found = np.flatnonzero(total)
@@ -187,7 +234,7 @@ class Describer:
                 if best is None:
                     best = np.zeros(len(self.kernel.landmarks))
                 best[row[0]] = np.maximum(best[row[0]], row[1])
-            if best is not None and (w == BREAK or w[-1] in ".!?|"):
+            if best is not None and (w == BREAK or w[-1] in ENDS):
                 out.append(best)
                 best = None
         return out if best is None else [*out, best]
@@ -198,7 +245,9 @@ def _units(words) -> set[str]:
     found = set()
     for w in words:
         w = w.strip(EDGES)
-        if len(w) >= 3:
+        if _UNSPACED.fullmatch(w):
+            found.add(w)
+        elif len(w) >= 3:
             found.add(w)
             found.update("^" + w[:k] for k in range(3, min(len(w), 10)))
     return found

@@ -223,3 +223,32 @@ def test_toxicity_without_positives(spark):
     df = spark.createDataFrame([(1, "a b", 0), (2, None, None)], "doc_id long, text string, toxic int")
     model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert all(r.score < 0.3 for r in toxicity.score(df, model).collect())
+
+
+@pytest.mark.parametrize(("plain", "insults"), [
+    ("мама мыла раму утром пока дождь стучал по крыше дома", ["дурак", "придурок"]),
+    ("la casa de la colina tiene muchas ventanas y una puerta", ["ááč", "łžáá"]),
+    ("το σπίτι στο λόφο έχει πολλά παράθυρα και μία πόρτα", ["βλάκας", "ηλίθιος"]),
+    ("今天天气很好我们一起去公园散步然后回家吃饭", ["傻瓜", "蠢货"]),
+])
+def test_toxicity_of_all_scripts(plain, insults):
+    rng = np.random.default_rng(4)
+    gap = " " if " " in plain else ""
+    words = plain.split() if gap else list(plain)
+
+    def text(bad):
+        w = list(rng.choice(words, 40))
+        if bad:
+            w.insert(int(rng.integers(40)), insults[int(rng.integers(2))])
+        return gap.join(w)
+
+    rows = [(text(k % 4 == 0), int(k % 4 == 0)) for k in range(400)]
+    model = toxicity.fit_rows([t for t, _ in rows[:300]], [y for _, y in rows[:300]])
+    got = toxicity.score_texts(model, [t for t, _ in rows[300:]], toxicity.Describer(model.kernel))
+    assert ((got >= 0.3) == [y == 1 for _, y in rows[300:]]).all()
+
+
+def test_toxicity_of_disguised_letters():
+    kernel = toxicity.Kernel(["idiot", "дурак"])
+    w, z, _ = kernel.values(["idi\u043et", "дур\u0061к", "idi\u4e2dt", "i-d-i-o-t"])
+    assert list(zip(w.tolist(), z.tolist())) == [(0, 0), (1, 1), (2, 0), (3, 0)]
