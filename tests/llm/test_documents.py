@@ -252,3 +252,38 @@ def test_toxicity_of_disguised_letters():
     kernel = toxicity.Kernel(["idiot", "дурак"])
     w, z, _ = kernel.values(["idi\u043et", "дур\u0061к", "idi\u4e2dt", "i-d-i-o-t"])
     assert list(zip(w.tolist(), z.tolist())) == [(0, 0), (1, 1), (2, 0), (3, 0)]
+
+
+def test_toxicity_of_rare_insults_and_phrases(words):
+    rng = np.random.default_rng(6)
+    rare = ["zwqak", "bufkow", "yopvex", "gumpf", "dukjab", "wazzock", "knyvy", "pugwump", "fybbud", "muckzy"]
+    phrases = ["eat cold soup", "green cow", "old tree stump", "wet sock"]
+    harmless = " ".join(phrases).split()
+
+    def text(insult=None):
+        w = list(rng.choice(words, 30))
+        for more in (str(rng.choice(harmless)), insult or ""):
+            w.insert(int(rng.integers(30)), more)
+        return " ".join(w)
+
+    # Each in 0.5 % of 2,000 positive texts; the others hold a common insult.
+    bad = [text(u) for u in rare + phrases for _ in range(10)]
+    bad += [text("idiot") for _ in range(2000 - len(bad))]
+    good = [text() for _ in range(4000)]
+    model = toxicity.fit_rows(bad + good, [1] * len(bad) + [0] * len(good))
+    describe = toxicity.Describer(model.kernel)
+    for u in [*rare, *phrases, "idiot"]:
+        assert (toxicity.score_texts(model, [text(u) for _ in range(10)], describe) >= 0.3).mean() >= 0.9, u
+    assert (toxicity.score_texts(model, [text() for _ in range(300)], describe) >= 0.3).mean() <= 0.02
+    few = toxicity.fit_rows(bad + good, [1] * len(bad) + [0] * len(good), landmarks=2)
+    assert len(few.kernel.landmarks) == 2
+
+
+def test_phrases_end_with_their_sentence():
+    describe = toxicity.Describer(toxicity.Kernel(["idiot", "green cow", "old tree stump", "8 9"]))
+    found = []
+    for t in ("a green - cow", "a green. cow", "green\ncow", "gr-een c0w", "an old, old tree stump", "8 9", "old stump"):
+        words = toxicity.tokens(t)
+        describe.learn(set(words))
+        found.append([sorted(s) for s in describe.sentences(words) if s])
+    assert found == [[[1]], [], [], [[1]], [[2]], [[3]], []]
