@@ -29,10 +29,13 @@ from salesmix.llm.boosting import Trees, fit_trees
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas "
-                   "select option textarea button".split())
+UNSEEN = frozenset("script style template head title svg iframe object canvas annotation "
+                   "annotation-xml select option textarea button".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label "
-                   "mark q s samp small span strike strong sub sup time tt u var wbr".split())
+                   "mark q s samp small span strike strong sub sup time tt u var wbr "
+                   "math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mstyle "
+                   "mover munder munderover annotation".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form "
                      "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",),
@@ -61,8 +64,10 @@ class Page(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag == "html":
+        if tag == "html" or (tag == "head" and len(self.tag) > 1):
             return
+        if tag == "body" or (tag not in IN_HEAD and self.tag[self.open[-1]] == "head"):
+            self._close("head", frozenset())  # its end tag may be left out
         if tag == "br":
             self.handle_data(" ")
             return
@@ -104,6 +109,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.unseen and self.tag[self.open[-1]] == "head" and data.strip():
+            self._close("head", frozenset())
         if self.unseen or (self.fresh and not data.strip()):
             return
         if self.fresh:

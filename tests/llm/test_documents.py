@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from salesmix.llm import (
     bpe,
     exact_dedup,
+    html_text,
     line_dedup,
     minhash_dedup,
     packing,
@@ -287,3 +288,17 @@ def test_phrases_end_with_their_sentence():
         describe.learn(set(words))
         found.append([sorted(s) for s in describe.sentences(words) if s])
     assert found == [[[1]], [], [], [[1]], [[2]], [[3]], []]
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<html><head><title>t</title><meta charset=a><body><p>One<p>Two</html>", ["One", "Two"]),
+    ("<head><title>t</title><style>p {}</style><article><p>One</article>", ["One"]),
+    ("<head><title>t</title>Bare text<p>One", ["Bare text", "One"]),
+    ("<head><noscript><img src=a></noscript><title>t</title></head><body><p>One", ["One"]),
+    ("<head><noscript><link href=a><body><p>One", ["One"]),
+    ("<head></head><body><p>One<head><p>Two", ["One", "Two"]),
+    ("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> then", ["If x=2 then"]),
+    ("<div><noscript>Seen <p>One</noscript></div>", ["Seen", "One"]),
+])
+def test_pages_with_tags_left_out(html, want):
+    assert [t for t in html_text.features(html_text.Page(html))[1] if t] == want
