@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import add_diag, dot, quadratic_form, upper_triangle
 from ..functions.linalg import list_array
-from .relational import bounded_chunks
+from .relational import bounded_chunks, join_with_nulls
 
 GROUP = ["h2", "h1"]
 # Up to this many sums an aggregate is planned and compiled quickly; longer vectors
@@ -162,7 +162,7 @@ def group_ssr(stats: DataFrame, draws: DataFrame, p: int) -> DataFrame:
     """Squared residuals summed per group, from the moments alone."""
     b = F.col("draw")
     ssr = F.col("yty") - 2.0 * dot(b, F.col("xty")) + quadratic_form(F.col("xtx"), b, p)
-    return stats.join(draws.select(*GROUP, "draw"), GROUP).select(
+    return join_with_nulls(stats, draws.select(*GROUP, "draw"), GROUP).select(
         *GROUP, "n", F.greatest(ssr, F.lit(0.0)).alias("ssr"))
 
 
@@ -170,7 +170,7 @@ def group_ssr_rows(d: DataFrame, draws: DataFrame, y: str, xs: list[str]) -> Dat
     """The same sum taken over the rows themselves."""
     fit = sum((F.col("draw")[i + 1] * F.col(x) for i, x in enumerate(xs)), F.col("draw")[0])
     return (
-        d.join(draws.select(*GROUP, "draw"), GROUP).groupBy(*GROUP)
+        join_with_nulls(d, draws.select(*GROUP, "draw"), GROUP).groupBy(*GROUP)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow(F.col(y) - fit, 2)).alias("ssr"))
     )
 

@@ -111,12 +111,12 @@ def cogroup_by_key(left: DataFrame, right: DataFrame, key: str, value: str,
 def join_groups_by_key(left: DataFrame, right: DataFrame,
                        keys: tuple[str, ...] = ("h2", "h1")) -> DataFrame:
     """Two tables of groups side by side; groups that only one has are left out."""
-    return left.join(right, list(keys))
+    return join_with_nulls(left, right, list(keys))
 
 
 def join_count_lookup(groups: DataFrame, counts: DataFrame, key: str = "h2") -> DataFrame:
     """Groups with their upper level's row count."""
-    return groups.join(counts, key)
+    return join_with_nulls(groups, counts, [key])
 
 
 def count_rows(df: DataFrame) -> DataFrame:

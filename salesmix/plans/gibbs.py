@@ -22,6 +22,7 @@ from ..functions import linalg as la
 from ..functions.arrays import upper_triangle
 from ..operators import posterior as post
 from ..operators.moments import by_group, vector_sum
+from ..operators.relational import join_with_nulls
 from ..sources.draws import filter_iteration, scan_draws, sink_draws
 
 STATE = ["h2", "n1", "n", "v_j", "w", "sigma", "mu", "mu_draw", "s2", "h"]
@@ -58,7 +59,7 @@ class FitSpec:
 
 def join_state_to_groups(stats: DataFrame, state: DataFrame) -> DataFrame:
     """Attach the h2 state to each group's moments."""
-    return stats.join(state.select("h2", "w", "mu_draw", "h"), "h2")
+    return join_with_nulls(stats, state.select("h2", "w", "mu_draw", "h"), ["h2"])
 
 
 def _level1_sums(joined: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
@@ -83,7 +84,7 @@ def _level1_sums(joined: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
             dev = b - mu
             rows = np.column_stack([np.ones(len(b)), la.scalars(c["n"]), ssr, b,
                                     dev[:, upper[0]] * dev[:, upper[1]]])
-            coded = c["h2"].dictionary_encode()
+            coded = c["h2"].dictionary_encode(null_encoding="encode")
             codes = coded.indices.to_numpy()
             order = np.argsort(codes, kind="stable")
             starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
@@ -163,7 +164,7 @@ def start_values(stats: DataFrame, spec: FitSpec) -> DataFrame:
 
 def join_coef_levels(beta_i: DataFrame, beta_j: DataFrame) -> DataFrame:
     """Group coefficients with the coefficients of their h2."""
-    return beta_i.join(beta_j.select("h2", F.col("beta").alias("beta_j")), "h2")
+    return join_with_nulls(beta_i, beta_j.select("h2", F.col("beta").alias("beta_j")), ["h2"])
 
 
 def _start_sums(start: DataFrame, spec: FitSpec) -> DataFrame:
@@ -179,7 +180,7 @@ def _start_sums(start: DataFrame, spec: FitSpec) -> DataFrame:
 def join_level2_tables(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for table in tables[1:]:
-        out = out.join(table, "h2")
+        out = join_with_nulls(out, table, ["h2"])
     return out
 
 
@@ -198,7 +199,7 @@ def gibbs_init(stats: DataFrame, spec: FitSpec, folder: str) -> DataFrame:
 
     first = join_state_to_groups(stats, pooled.withColumn("h", F.lit(1.0)))
     s2 = _level1_sums(first, spec, 1).select("h2", _s2(spec).alias("s2"))
-    state = _write_state(_with_noise(pooled.join(s2, "h2"), spec, 1), folder, 1)
+    state = _write_state(_with_noise(join_with_nulls(pooled, s2, ["h2"]), spec, 1), folder, 1)
     sink_draws(_level1_draws(stats, state.withColumn("iter", F.lit(1)), spec, first=True),
                f"{folder}/level1")
     return state
@@ -226,7 +227,7 @@ def _level1_draws(stats: DataFrame, states: DataFrame, spec: FitSpec, first: boo
         return pa.StructArray.from_arrays(arrays, names=names)
 
     z = rnd.normals(post.group_key(spec.seed, "iter"), p)
-    rows = stats.join(state, "h2")
+    rows = join_with_nulls(stats, state, ["h2"])
     return rows.select("iter", "h2", "h1",
                        draw("xtx", "xty", "w", "mu_draw", "h", z).alias("o")).select(
         "iter", "h2", "h1", "o.*")

@@ -166,3 +166,18 @@ def test_no_residual_variance_names_the_group(spark):
     s2 = spark.createDataFrame([("north", 10, 0.0)], "h2 string, n bigint, s2 double")
     with pytest.raises(Exception, match="no residual variance in h2 north"):
         post.noise_precision_draw(s2, 1.0, 1).collect()
+
+
+def test_null_groups_are_drawn(spark, facts):
+    data = facts[0].withColumns({
+        "h2": F.when(F.col("h2") != "B", F.col("h2")), "h1": F.when(F.col("h1") != "g3", F.col("h1"))})
+    stats = moments.group_gram(data, "y", XS)
+    spec, folder = gibbs.FitSpec(p=3, seed=4), work_dir(spark, "nulls")
+    state = gibbs.gibbs_init(stats, spec, folder)
+    assert {r.h2: r.n1 for r in state.collect()} == {"A": 12, None: 12}
+    draws = gibbs.gibbs_run(spark, folder, spec, 2, 3)
+    want = {(i, r.h2, r.h1) for r in stats.collect() for i in (1, 2, 3)}
+    got = [(r.iter, r.h2, r.h1) for r in draws.collect()]
+    assert len(got) == 72 and set(got) == want
+    ssr = moments.group_ssr(stats, draws.where("iter = 3"), 3)
+    assert ssr.count() == 24
