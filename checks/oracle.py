@@ -212,7 +212,7 @@ def _chart(wide: str, period: str) -> str:
 
 def _scenario() -> str:
     start, end = (f"DATE '{d}'" for d in S.SCENARIO)
-    first = sunday(f"CAST({start} - INTERVAL 1 YEAR AS DATE)")
+    first = f"({sunday(start)} - 364)"  # each week corresponds to that 52 weeks before
     weeks = f"CAST(({sunday(end)} - {sunday(start)}) / 7 AS INTEGER)"
     raw = ["num_colors", "inventory_qty", "bts_ind", "holiday_thanksgiving", "holiday_easter",
            "holiday_xmas", "holiday_pre_xmas", "price", "promo_pct", "redline_pct"]
@@ -596,19 +596,26 @@ def statements() -> dict[str, str]:
     put("decomp_regroup", fit, product, CHART,
         f"SELECT dept, type, {names(f'sum({c}) AS {c}' for c in CHART)} FROM "
         f"({_merged(_corrected('FROM raw', 'all'), 'all')}) AS m GROUP BY dept, type")
-    totals = """SELECT * FROM (SELECT dept, type, round(sum(y_hat)) AS pred,
-      round(sum(y)) AS past_actual FROM new GROUP BY ALL) AS n JOIN (
-      SELECT dept, type, round(sum(y_hat)) AS past_sim FROM old GROUP BY ALL) AS o
-      USING (dept, type)"""
-    totals = f"SELECT *, pred + (past_actual - past_sim) AS pred_plus_err FROM ({totals}) AS t"
-    change = "(sum(y_hat) - sum(old_y_hat)) / nullif(sum(old_y_hat), 0)"
-    delta = f"""SELECT dept, type, {half_up(change, 4)} AS delta FROM ({PAIRS.format(new='new', old='old')}) AS p GROUP BY dept, type"""
+    pairs = PAIRS.format(new="new", old="old").replace("n.y_hat,", "n.y_hat, n.y,", 1)
+    change = half_up("(sum(y_hat) - sum(old_y_hat)) / nullif(sum(old_y_hat), 0)", 4)
+    totals = f"""SELECT *, pred + (past_actual - past_sim) AS pred_plus_err FROM (
+      SELECT dept, type, round(sum(y_hat)) AS pred, round(sum(y)) AS past_actual,
+      round(sum(old_y_hat)) AS past_sim, {change} AS delta, count(*) AS weeks
+      FROM ({pairs}) AS p GROUP BY dept, type) AS t"""
     total_cols = ["pred", "past_actual", "past_sim", "pred_plus_err"]
     put("scenario_totals", scenario, product, total_cols, totals)
-    put("scenario_delta", scenario, product, ["delta"], delta)
+    put("scenario_delta", scenario, product, ["delta"], totals)
+    put("scenario_comparison", scenario, [*product, "weeks", "unpaired"], [*total_cols, "delta"],
+        f"SELECT *, planned - weeks AS unpaired FROM ({totals}) AS t JOIN (SELECT dept, type, "
+        "count(*) AS planned FROM new GROUP BY ALL) AS n USING (dept, type)")
+    put("week_correspondence", facts, [*row, "pos", "old_week"], [],
+        "SELECT dept, type, week, CAST((week - first_week) / 7 AS BIGINT) AS pos, "
+        "week - 364 AS old_week FROM (SELECT dept, type, min(week) AS first_week, CAST(unnest(range("
+        "min(week), max(week) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS DATE) AS week FROM facts "
+        "GROUP BY dept, type) AS w")
     put("whatif_summary", scenario, [*product, "change"], [*total_cols, "delta"],
         "SELECT *, CASE WHEN delta < 0 THEN 'decrease' ELSE 'increase' END AS change FROM "
-        f"({totals}) AS t LEFT JOIN ({delta}) AS d USING (dept, type)")
+        f"({totals}) AS t")
 
     # windows, sorts, sets
     bars = _chart(_merged(_corrected("FROM raw", "quarter"), "quarter"), "quarter")

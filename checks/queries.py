@@ -520,7 +520,7 @@ def decomp_regroup(spark, sf_dir):
 
 def _past_facts(spark, sf_dir):
     """Facts of the weeks a scenario is laid over."""
-    return stored(facts_of(spark, sf_dir, *cal.last_year_bounds(*S.SCENARIO)), "facts")
+    return stored(facts_of(spark, sf_dir, *cal.old_week_bounds(*S.SCENARIO)), "facts")
 
 
 def _scenario(spark, sf_dir):
@@ -532,6 +532,18 @@ def _scenario(spark, sf_dir):
     return {name: stored(df, name) for name, df in both.items()}
 
 
+@query("scenario_comparison")
+def scenario_comparison(spark, sf_dir):
+    return scn.scenario_comparison(**_scenario(spark, sf_dir))
+
+
+@query("week_correspondence")
+def week_correspondence(spark, sf_dir):
+    """For every product, the weeks from its first to its last, each with its week a year back."""
+    span = wk.period_bounds(facts_of(spark, sf_dir), *PRODUCT)
+    return span.select(*PRODUCT, F.inline(cal.week_correspondence(F.col("first_week"), F.col("last_week"))))
+
+
 @query("scenario_gaps")
 def scenario_gaps(spark, sf_dir):
     return scn.scenario_gaps(_scenario(spark, sf_dir)["new"], *S.SCENARIO)

@@ -12,6 +12,9 @@ MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUS
           "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER"]
 
 
+WEEKS_A_YEAR = 52
+
+
 def floor_week_sunday(date: Column) -> Column:
     """The Sunday on or before a date."""
     return F.date_sub(date, F.dayofweek(date) - 1)
@@ -55,6 +58,27 @@ def week_after_a_year(week: Column) -> Column:
     return F.date_sub(monday, 1)
 
 
+def week_a_year_back(week: Column) -> Column:
+    """The Sunday 52 weeks before; ``week_after_a_year`` leads back."""
+    return F.date_sub(floor_week_sunday(week), 7 * WEEKS_A_YEAR)
+
+
+def week_correspondence(start: Column, end: Column) -> Column:
+    """All weeks from that of ``start`` to that of ``end``, each with its week a year back.
+
+    An array of structs pos (from 0), week, old_week.  Scenarios take every week of last year
+    from here, so that a row and its comparison are always of the same two weeks.
+    """
+    return F.transform(week_sequence(start, end), lambda w, i: F.struct(
+        i.alias("pos"), w.alias("week"), F.date_sub(w, 7 * WEEKS_A_YEAR).alias("old_week")))
+
+
+def old_week_bounds(start: str | dt.date, end: str | dt.date) -> tuple[dt.date, dt.date]:
+    """First and last ``old_week`` of the correspondence, for dates known to the driver."""
+    year = dt.timedelta(days=7 * WEEKS_A_YEAR)
+    return sunday_of(start) - year, sunday_of(end) - year
+
+
 def year_of(week: Column) -> Column:
     return F.year(week)
 
@@ -71,9 +95,3 @@ def period_label(*parts: Column) -> Column:
 
 def driver_key(h2: Column, h1: Column, driver: Column) -> Column:
     return F.concat_ws("-:-", h2, h1, driver)
-
-
-def scenario_weeks(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per scenario week for every distinct key row of ``df``."""
-    weeks = week_sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    return df.distinct().select("*", F.posexplode(weeks).alias("pos", "week"))

@@ -120,7 +120,7 @@ def whatif_predict(facts: DataFrame, model: DataFrame, levers: DataFrame, start:
                    end: str) -> dict[str, DataFrame]:
     """Score a scenario: last year's facts on new weeks with the planned drivers.
 
-    Returns the scored scenario rows and last year's own scored rows.
+    Each week takes the facts of the week 52 weeks before it.  Returns the scored scenario rows and last year's own scored rows.
     """
     aligned = scn.align_by_position(facts, start, end)
     planned = scn.set_levers(aligned, levers)
@@ -139,7 +139,7 @@ def whatif_rows(new: DataFrame) -> DataFrame:
 
 def whatif_summary(new: DataFrame, old: DataFrame) -> DataFrame:
     """Totals, relative change and its direction, per product."""
-    out = scn.scenario_totals(new, old).join(scn.scenario_delta(new, old), PRODUCT, "left")
+    out = scn.scenario_comparison(new, old).drop("weeks", "unpaired")
     return out.withColumn(
         "change", F.when(F.col("delta") < 0, "decrease").otherwise("increase"))
 
