@@ -401,14 +401,14 @@ def group_design_matrix(spark, sf_dir):
 @query("group_gram")
 def group_gram(spark, sf_dir):
     stats = mom.group_gram(lines2(spark, sf_dir), "y1", ["x1", "x2", "x3"])
-    return spread(spread(stats, "xtx", 4, square=True), "xty", 4)
+    return spread(spread(stats.drop("mean", "centred"), "xtx", 4, square=True), "xty", 4)
 
 
 @query("group_gram_weekly")
 def group_gram_weekly(spark, sf_dir):
     rows = conv.model_rows(facts_of(spark, sf_dir))
-    stats = mom.group_gram(rows, "blended_units_total_log", sc.DRIVERS, many_groups=True)
-    return spread(spread(stats, "xtx", 11, square=True), "xty", 11)
+    stats = mom.group_gram(rows, "blended_units_total_log", sc.DRIVERS)
+    return spread(spread(stats.drop("mean", "centred"), "xtx", 11, square=True), "xty", 11)
 
 
 @query("child_count")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+# Share of the sizes summed up that the rounding of a sum of products may amount to.
+ROUNDING = 1e-9
+
 
 def list_array(rows: np.ndarray) -> pa.Array:
     """A numpy stack as an Arrow list column, one flat list per row."""
@@ -119,5 +122,22 @@ def group_posterior(xtx, xty, w, mu, h, z):
 
 
 def ssr_from_moments(xtx, xty, yty, b):
-    """Squared residuals from the moments; rounding below 0 is cut off."""
-    return np.maximum(yty + np.einsum("ni,ni->n", b, times(xtx, b) - 2 * xty), 0.0)
+    """Squared residuals from raw sums of products, for responses near 0."""
+    whole = yty + np.einsum("ni,ni->n", b, times(xtx, b) - 2 * xty)
+    return _no_less_than_zero(whole, np.abs(yty) + np.abs(b * xty).sum(axis=1))
+
+
+def ssr_centred(n, mean, centred, b):
+    """Squared residuals from centred moments (upper triangles, the response last)."""
+    upper = np.triu_indices(b.shape[1])
+    v = np.column_stack([-b[:, 1:], np.ones(len(b))])
+    terms = centred * v[:, upper[0]] * v[:, upper[1]] * np.where(upper[0] < upper[1], 2.0, 1.0)
+    level = (mean * v).sum(axis=1) - b[:, 0]
+    return _no_less_than_zero(terms.sum(axis=1), np.abs(terms).sum(axis=1)) + n * level ** 2
+
+
+def _no_less_than_zero(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rounding below 0 is cut off; anything more is an error."""
+    if (total < -ROUNDING * size).any():
+        raise ValueError("negative sum of squares in the moments of a group")
+    return np.maximum(total, 0.0)

@@ -1,4 +1,9 @@
-"""Per-group moments: all the model needs from the facts, in one pass."""
+"""Per-group moments: all the model needs from the facts, in one pass.
+
+Moments are kept centred: number of rows, means, and sums of products of the deviations from
+them.  Two such sets merge into that of all their rows without a difference of large
+numbers, so residuals keep their digits however far from 0 a response lies.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import add_diag, dot, quadratic_form, upper_triangle
-from ..functions.linalg import list_array
+from ..functions.arrays import add_diag, upper_triangle
+from ..functions.linalg import ROUNDING, list_array, stack
 from .relational import bounded_chunks, join_with_nulls
 
 GROUP = ["h2", "h1"]
 # Up to this many sums an aggregate is planned and compiled quickly; longer vectors
 # are summed element by element as rows.
 WIDE_SUMS = 40
+# Groups whose moments a task holds before it passes them on.
+HELD_GROUPS = 4096
 
 
 def rows_per_level2(d: DataFrame) -> DataFrame:
@@ -82,33 +89,58 @@ def group_gram(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = Non
                many_groups: bool = False, shift: float = 0.0) -> DataFrame:
     """n, X'X (row-major), X'y and y'y per group; X starts with a column of ones.
 
-    With few drivers this is one native aggregate.  With more, each Arrow batch is
-    reduced to one triangle per group in it, which pays if a batch meets few groups:
-    ``many_groups`` first lays the rows out by group.  ``shift`` is taken from y first:
-    squares of a response far from 0 leave no digits for the residuals, so take its mean
-    and add it to the intercepts afterwards.  Rows with a null driver or response are left
-    out and not counted in n.
+    Beside them the moments they come from: ``mean`` of each x and y, and ``centred``, the
+    upper triangle of the sums of products of deviations, y last.  With few drivers this is
+    one native aggregate.  With more, tasks reduce their rows batch by batch and pass on one
+    set of moments per group, and these are merged.  ``many_groups`` first lays the rows out
+    by group, which pays if a task would meet nearly as many groups as rows.  ``shift`` is
+    taken from y first.  Rows with a null driver or response are left out and not counted in
+    n; ``rows_left_out`` counts them.
     """
     keys = keys or GROUP
     if shift:
         d = d.withColumn(y, F.col(y) - F.lit(float(shift)))
-    p, size = len(xs) + 1, len(xs) + 2
-    triangle = _triangle(size)
-    d = d.dropna(subset=[y, *xs])
-    if len(triangle) <= WIDE_SUMS:
-        z = ["1D", *[f"`{x}`" for x in xs], f"`{y}`"]
-        sums = ", ".join(f"sum({z[i]} * {z[j]})" for i, j in triangle)
-        sums = d.groupBy(*keys).agg(F.expr(f"array({sums})").alias("total"))
+    names = [*xs, y]
+    d = d.dropna(subset=names).select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
+    if 4 * len(_triangle(len(names))) <= WIDE_SUMS:
+        moments = _native_moments(d, names, keys)
     else:
-        partial = _partial_gram(by_group(d, keys, y) if many_groups else d, y, xs, keys)
-        sums = vector_sum(partial, keys, "part", len(triangle))
-    last = size - 1
-    return sums.select(
-        *keys,
-        F.expr("CAST(total[0] AS BIGINT)").alias("n"),
-        unpack_triangle("total", size, range(p), range(p)).alias("xtx"),
-        unpack_triangle("total", size, range(p), range(last, last + 1)).alias("xty"),
-        F.expr(f"total[{len(triangle) - 1}]").alias("yty"))
+        moments = merge_moments(_partial_moments(by_group(d, keys, y) if many_groups else d, names, keys),
+                                len(names), keys)
+    return moments.select(*keys, "n", *_raw_moments(len(names)), "mean", "centred")
+
+
+def rows_left_out(d: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Number of rows per group that ``group_gram`` leaves out for a null."""
+    some_null = F.greatest(*[F.col(c).isNull() for c in (y, *xs)])
+    return d.groupBy(*(keys or GROUP)).agg(F.count_if(some_null).alias("left_out"))
+
+
+def _raw_moments(q: int) -> list:
+    """X'X, X'y and y'y from n, mean and centred of q - 1 drivers and the response."""
+    at = {ij: k for k, ij in enumerate(_triangle(q))}
+
+    def cell(i: int, j: int) -> str:  # 0 is the column of ones
+        if not i or not j:
+            return f"n * mean[{i + j - 1}]" if i or j else "CAST(n AS DOUBLE)"
+        i, j = min(i, j) - 1, max(i, j) - 1
+        return f"centred[{at[i, j]}] + n * mean[{i}] * mean[{j}]"
+
+    xtx = ", ".join(cell(i, j) for i in range(q) for j in range(q))
+    xty = ", ".join(cell(i, q) for i in range(q))
+    return [F.expr(f"array({xtx})").alias("xtx"), F.expr(f"array({xty})").alias("xty"),
+            F.expr(cell(q, q)).alias("yty")]
+
+
+def _native_moments(d: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """One aggregate; the engine's covariances are merged as centred moments."""
+    z = [f"`{c}`" for c in names]
+    products = [f"count(1) * " + (f"var_pop({z[i]})" if i == j else f"covar_pop({z[i]}, {z[j]})")
+                for i, j in _triangle(len(z))]
+    return d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"array({', '.join(f'avg({c})' for c in z)})").alias("mean"),
+        F.expr(f"array({', '.join(products)})").alias("centred"))
 
 
 def by_group(d: DataFrame, keys: list[str], spread: str) -> DataFrame:
@@ -116,31 +148,125 @@ def by_group(d: DataFrame, keys: list[str], spread: str) -> DataFrame:
     return d.repartitionByRange(*keys, spread).sortWithinPartitions(*keys)
 
 
-def _partial_gram(d: DataFrame, y: str, xs: list[str], keys: list[str]) -> DataFrame:
-    """One upper triangle of Z'Z per key and Arrow batch, Z = [1, x..., y]."""
-    size = len(xs) + 2
-    upper = np.triu_indices(size)
+def merged_moments(n, mean, centred, m, other_mean, other_centred):
+    """Moments of the rows of both sides, a stack each: no difference of large sums."""
+    upper = np.triu_indices(mean.shape[1])
+    total = n + m
+    step = other_mean - mean
+    share = np.divide(m, total, out=np.zeros(len(total)), where=total > 0)
+    spread = (n * share)[:, None] * step[:, upper[0]] * step[:, upper[1]]
+    return total, mean + share[:, None] * step, centred + other_centred + spread
+
+
+def _reduced(codes: np.ndarray, n: np.ndarray, mean: np.ndarray, centred: np.ndarray | float):
+    """Moments of each code's rows, codes 0, 1, ... all present; a row may itself be moments."""
+    upper = np.triu_indices(mean.shape[1])
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    count = np.add.reduceat(n[order], starts)
+    means = np.add.reduceat((n[:, None] * mean)[order], starts) / count[:, None]
+    dev = mean - means[codes]
+    products = n[:, None] * dev[:, upper[0]] * dev[:, upper[1]] + centred
+    return count, means, np.add.reduceat(products[order], starts)
+
+
+def _group_codes(columns: list[pa.Array]) -> tuple[list[tuple], np.ndarray]:
+    """The different keys of a batch, in order of first appearance by code, and each row's code."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        encoded = c.dictionary_encode(null_encoding="encode")
+        codes = codes * len(encoded.dictionary) + encoded.indices.to_numpy()
+        _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+    return list(zip(*[c.take(pa.array(first)).to_pylist() for c in columns], strict=True)), codes
+
+
+class _Held:
+    """Moments of some groups, which more rows are merged into."""
+
+    def __init__(self, q: int):
+        self.q = q
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[tuple, int] = {}
+        self.n, self.mean, self.centred = np.zeros(0), np.zeros((0, self.q)), np.zeros((0, self.q * (self.q + 1) // 2))
+
+    def add(self, keys: list[tuple], n, mean, centred) -> None:
+        at = np.array([self.slots.setdefault(k, len(self.slots)) for k in keys])
+        more = len(self.slots) - len(self.n)
+        if more:
+            self.n, self.mean, self.centred = (np.concatenate([a, np.zeros((more, *a.shape[1:]))])
+                                               for a in (self.n, self.mean, self.centred))
+        self.n[at], self.mean[at], self.centred[at] = merged_moments(
+            self.n[at], self.mean[at], self.centred[at], n, mean, centred)
+
+    def batch(self, types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+        columns = zip(*self.slots, strict=True) if self.slots else [[] for _ in types]
+        arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+        arrays += [pa.array(self.n.astype(np.int64)), list_array(self.mean), list_array(self.centred)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, "n", "mean", "centred"])
+
+
+def _moments_schema(d: DataFrame, keys: list[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    return ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n long, mean array<double>, centred array<double>"
+
+
+def _partial_moments(d: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """Moments per key and task, or part of a task that meets more than ``HELD_GROUPS`` keys."""
+    width = len(keys)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, types = _Held(len(names)), []
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            columns = [batch.column(i) for i in range(len(keys), len(keys) + size - 1)]
-            z = np.column_stack([np.ones(batch.num_rows)]
-                                + [c.to_numpy(zero_copy_only=False) for c in columns])
-            names = pa.table([batch.column(i) for i in range(len(keys))], names=keys)
-            names = names.append_column("row", pa.array(np.arange(batch.num_rows)))
-            groups = names.group_by(keys).aggregate([("row", "list")])
-            out = np.stack([(z[r].T @ z[r])[upper]
-                            for r in groups["row_list"].to_numpy(zero_copy_only=False)])
-            yield pa.RecordBatch.from_arrays(
-                [groups[k].combine_chunks() for k in keys] + [list_array(out)],
-                names=[*keys, "part"])
+            if batch.num_rows:
+                types = [batch.column(i).type for i in range(width)]
+                found, codes = _group_codes([batch.column(i) for i in range(width)])
+                z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False)
+                                     for i in range(width, width + len(names))])
+                held.add(found, *_reduced(codes, np.ones(len(z)), z, 0.0))
+                if len(held.slots) > HELD_GROUPS:
+                    yield held.batch(types, keys)
+                    held.clear()
+        if held.slots:
+            yield held.batch(types, keys)
+
+    return d.select(*keys, *names).mapInArrow(partials, _moments_schema(d, keys))
 
-    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", part array<double>"
-    narrow = d.select(*keys, *[F.col(c).cast("double") for c in (*xs, y)])
-    return narrow.mapInArrow(partials, schema)
+
+def merge_moments(partial: DataFrame, q: int, keys: list[str] | None = None) -> DataFrame:
+    """One row per key from rows of ``n``, ``mean`` and ``centred`` of parts of its rows.
+
+    Rows of a key pass by in order, so a task holds one batch however many there are.
+    """
+    keys = keys or GROUP
+    width = len(keys)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, types = _Held(q), []
+        for batch in batches:
+            if batch.num_rows:
+                types = [batch.column(i).type for i in range(width)]
+                found, codes = _group_codes([batch.column(i) for i in range(width)])
+                n, mean, centred = (batch.column(width + i) for i in range(3))
+                held.add(found, *_reduced(codes, n.to_numpy().astype(float), stack(mean, q),
+                                          stack(centred, q * (q + 1) // 2)))
+                last = found[codes[-1]]
+                kept = held.slots[last]
+                rest = [held.n[kept:kept + 1].copy(), held.mean[kept:kept + 1].copy(), held.centred[kept:kept + 1].copy()]
+                if len(held.slots) > 1:  # keys before the last are complete
+                    out = _Held(q)
+                    others = [k for k in held.slots if k != last]
+                    at = [held.slots[k] for k in others]
+                    out.add(others, held.n[at], held.mean[at], held.centred[at])
+                    yield out.batch(types, keys)
+                    held.clear()
+                    held.add([last], *rest)
+        if held.slots:
+            yield held.batch(types, keys)
+
+    rows = partial.select(*keys, "n", "mean", "centred").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(merge, _moments_schema(partial, keys))
 
 
 def sum_vectors(df: DataFrame, vector: str, p: int, keys: tuple[str, ...] = ("h2",)) -> DataFrame:
@@ -159,11 +285,23 @@ def sum_outer_products(df: DataFrame, vector: str, mean: str, p: int,
 
 
 def group_ssr(stats: DataFrame, draws: DataFrame, p: int) -> DataFrame:
-    """Squared residuals summed per group, from the moments alone."""
-    b = F.col("draw")
-    ssr = F.col("yty") - 2.0 * dot(b, F.col("xty")) + quadratic_form(F.col("xtx"), b, p)
-    return join_with_nulls(stats, draws.select(*GROUP, "draw"), GROUP).select(
-        *GROUP, "n", F.greatest(ssr, F.lit(0.0)).alias("ssr"))
+    """Squared residuals summed per group, from the centred moments alone.
+
+    The spread of y - b'x about its mean, and that mean's distance from the intercept.  A sum
+    below 0 by more than rounding explains means that moments are no moments: an error.
+    """
+    v = [f"(-draw[{i + 1}])" for i in range(p - 1)] + ["1D"]
+    terms = [f"centred[{k}] * {v[i]} * {v[j]}" + (" * 2" if i < j else "")
+             for k, (i, j) in enumerate(_triangle(p))]
+    level = f"(mean[{p - 1}] - draw[0]" + "".join(f" - draw[{i + 1}] * mean[{i}]" for i in range(p - 1)) + ")"
+    rows = join_with_nulls(stats, draws.select(*GROUP, "draw"), GROUP).select(
+        *GROUP, "n", F.expr(" + ".join(terms)).alias("spread"),
+        F.expr(" + ".join(f"abs({t})" for t in terms)).alias("size"),
+        F.expr(f"n * {level} * {level}").alias("level"))
+    wrong = F.col("spread") < -ROUNDING * F.col("size")
+    message = F.concat(F.lit("negative sum of squares in h2 "), F.coalesce(F.col("h2").cast("string"), F.lit("null")))
+    spread = F.when(wrong, F.raise_error(message).cast("double")).otherwise(F.greatest("spread", F.lit(0.0)))
+    return rows.select(*GROUP, "n", (spread + F.col("level")).alias("ssr"))
 
 
 def group_ssr_rows(d: DataFrame, draws: DataFrame, y: str, xs: list[str]) -> DataFrame:

@@ -9,7 +9,9 @@ iterations, and a lost executor or a restart repeats the same numbers.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,10 +23,12 @@ from ..functions import keyed_random as rnd
 from ..functions import linalg as la
 from ..functions.arrays import upper_triangle
 from ..operators import posterior as post
-from ..operators.moments import by_group, vector_sum
+from ..operators.moments import vector_sum
 from ..operators.relational import join_with_nulls
 from ..sources.draws import filter_iteration, scan_draws, sink_draws
 
+# Groups in a cell, the unit that an h2 state is sent to, and in a bucket of the moments.
+CELL_GROUPS, BUCKET_GROUPS, MOST_BUCKETS = 4096, 16384, 100_000
 STATE = ["h2", "n1", "n", "v_j", "w", "sigma", "mu", "mu_draw", "s2", "h"]
 
 
@@ -80,7 +84,8 @@ def _level1_sums(joined: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
             mu = la.stack(c["mu_draw"], p)
             _, _, b = la.group_posterior(xtx, xty, la.stack(c["w"], p, p), mu,
                                          la.scalars(c["h"]), la.stack(c["z"], p))
-            ssr = la.ssr_from_moments(xtx, xty, la.scalars(c["yty"]), b)
+            ssr = la.ssr_centred(la.scalars(c["n"]), la.stack(c["mean"], p),
+                                 la.stack(c["centred"], p * (p + 1) // 2), b)
             dev = b - mu
             rows = np.column_stack([np.ones(len(b)), la.scalars(c["n"]), ssr, b,
                                     dev[:, upper[0]] * dev[:, upper[1]]])
@@ -93,9 +98,10 @@ def _level1_sums(joined: DataFrame, spec: FitSpec, iteration: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([names, la.list_array(sums)], names=["h2", "part"])
 
     key = post.group_key(spec.seed, iteration)
-    rows = joined.select("h2", "n", "xtx", "xty", "yty", "w", "mu_draw", "h",
+    rows = joined.select("h2", "n", "xtx", "xty", "mean", "centred", "w", "mu_draw", "h",
                          rnd.normals(key, p).alias("z"))
-    part = rows.mapInArrow(partials, "h2 string, part array<double>")
+    h2 = joined.schema["h2"].dataType.simpleString()
+    part = rows.mapInArrow(partials, f"h2 {h2}, part array<double>")
     return vector_sum(part, ["h2"], "part", 3 + p + p * (p + 1) // 2)
 
 
@@ -184,29 +190,82 @@ def join_level2_tables(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def gibbs_init(stats: DataFrame, spec: FitSpec, folder: str) -> DataFrame:
-    """Persist the moments, make iteration 1 and return its h2 state.
+def _store_moments(stats: DataFrame, folder: str) -> None:
+    """Write the moments in buckets of cells, and the cells of each h2.
 
-    The moments are stored in h2 order, so that a batch of groups meets few h2 and
-    its partial sums are few.
+    A cell holds about ``CELL_GROUPS`` groups of one h2, so a large h2 is many cells; its
+    state is sent to each.  Iterations join on the cell, for which the moments lie ready.
     """
     spark = stats.sparkSession
-    by_group(stats, ["h2"], "h1").write.mode("overwrite").parquet(f"{folder}/stats")
-    stats = spark.read.parquet(f"{folder}/stats")
-    start = _start_sums(start_values(stats, spec), spec)
-    _pooled_step(start, spec, 1).drop("s2").write.mode("overwrite").parquet(f"{folder}/start")
-    pooled = spark.read.parquet(f"{folder}/start")
-
-    first = join_state_to_groups(stats, pooled.withColumn("h", F.lit(1.0)))
-    s2 = _level1_sums(first, spec, 1).select("h2", _s2(spec).alias("s2"))
-    state = _write_state(_with_noise(join_with_nulls(pooled, s2, ["h2"]), spec, 1), folder, 1)
-    sink_draws(_level1_draws(stats, state.withColumn("iter", F.lit(1)), spec, first=True),
-               f"{folder}/level1")
+    stats.write.mode("overwrite").parquet(f"{folder}/moments")
+    stats = spark.read.schema(stats.schema).parquet(f"{folder}/moments")
+    sizes = stats.groupBy("h2").agg(F.count(F.lit(1)).alias("groups"))
+    chunks = F.ceil(F.col("groups") / CELL_GROUPS)
+    pool = F.coalesce(F.concat(F.lit("="), F.col("h2").cast("string")), F.lit("null"))
+    cells = sizes.select("h2", "groups", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), chunks.alias("chunks"))
+    cells.select("h2", "groups", "chunks", F.concat_ws("|", "chunk", pool).alias("cell")).write.mode("overwrite").parquet(f"{folder}/cells")
+    groups = stats.count()
+    buckets = max(1, min(MOST_BUCKETS, -(-groups // BUCKET_GROUPS)))
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{folder}/layout")
+    placed = join_with_nulls(stats, sizes.select("h2", chunks.alias("chunks")), ["h2"])
+    chunk = F.pmod(F.xxhash64("h1"), F.col("chunks"))
+    placed = placed.withColumn("cell", F.concat_ws("|", chunk, pool)).drop("chunks")
+    name = _table_name(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (placed.repartition(buckets, "cell").sortWithinPartitions("cell").write.mode("overwrite")
+     .bucketBy(buckets, "cell").sortBy("cell").option("path", f"{folder}/stats").saveAsTable(name))
+
+
+def _table_name(folder: str) -> str:
+    return f"salesmix_moments_{hashlib.md5(folder.encode()).hexdigest()}"
+
+
+@contextmanager
+def _moments(spark: SparkSession, folder: str) -> Iterator[DataFrame]:
+    """The stored moments with their buckets, which only a named table keeps; the name goes again."""
+    name = _table_name(folder)
+    if not spark.catalog.tableExists(name):
+        plain = spark.read.parquet(f"{folder}/stats")
+        buckets = spark.read.parquet(f"{folder}/layout").first().buckets
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (cell) SORTED BY (cell) "
+                  f"INTO {buckets} BUCKETS LOCATION '{folder}/stats'")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay
+
+
+def _in_cells(state: DataFrame, folder: str) -> DataFrame:
+    """h2 rows repeated for each of their cells, without h2."""
+    cells = state.sparkSession.read.parquet(f"{folder}/cells").select("h2", "cell")
+    return join_with_nulls(cells, state, ["h2"]).drop("h2")
+
+
+def _with_state(stats: DataFrame, state: DataFrame, folder: str) -> DataFrame:
+    """``join_state_to_groups`` on the cells: the moments stay where they lie."""
+    return stats.join(_in_cells(state.select("h2", "w", "mu_draw", "h"), folder), "cell")
+
+
+def gibbs_init(stats: DataFrame, spec: FitSpec, folder: str) -> DataFrame:
+    """Persist the moments, make iteration 1 and return its h2 state."""
+    spark = stats.sparkSession
+    _store_moments(stats, folder)
+    with _moments(spark, folder) as stats:
+        start = _start_sums(start_values(stats, spec), spec)
+        _pooled_step(start, spec, 1).drop("s2").write.mode("overwrite").parquet(f"{folder}/start")
+        pooled = spark.read.parquet(f"{folder}/start")
+
+        first = _with_state(stats, pooled.withColumn("h", F.lit(1.0)), folder)
+        s2 = _level1_sums(first, spec, 1).select("h2", _s2(spec).alias("s2"))
+        state = _write_state(_with_noise(join_with_nulls(pooled, s2, ["h2"]), spec, 1), folder, 1)
+        sink_draws(_level1_draws(stats, state.withColumn("iter", F.lit(1)), spec, folder, first=True),
+                   f"{folder}/level1")
     return state
 
 
-def _level1_draws(stats: DataFrame, states: DataFrame, spec: FitSpec, first: bool = False,
-                  covariance: bool = False) -> DataFrame:
+def _level1_draws(stats: DataFrame, states: DataFrame, spec: FitSpec, folder: str,
+                  first: bool = False, covariance: bool = False) -> DataFrame:
     """Group means and draws that follow from the given h2 states.
 
     The draws of iteration s use the state of s - 1; those of iteration 1 use their
@@ -227,7 +286,7 @@ def _level1_draws(stats: DataFrame, states: DataFrame, spec: FitSpec, first: boo
         return pa.StructArray.from_arrays(arrays, names=names)
 
     z = rnd.normals(post.group_key(spec.seed, "iter"), p)
-    rows = join_with_nulls(stats, state, ["h2"])
+    rows = stats.join(_in_cells(state, folder), "cell")
     return rows.select("iter", "h2", "h1",
                        draw("xtx", "xty", "w", "mu_draw", "h", z).alias("o")).select(
         "iter", "h2", "h1", "o.*")
@@ -236,9 +295,13 @@ def _level1_draws(stats: DataFrame, states: DataFrame, spec: FitSpec, first: boo
 def group_states(spark: SparkSession, folder: str, spec: FitSpec, first: int,
                  last: int, covariance: bool = False) -> DataFrame:
     """Rebuild group means, draws and, if asked, covariances of iterations >= 2."""
-    states = scan_draws(spark, f"{folder}/level2", first - 1, last - 1)
-    return _level1_draws(spark.read.parquet(f"{folder}/stats"), states, spec,
-                         covariance=covariance)
+    return _group_states(spark.read.parquet(f"{folder}/stats"), folder, spec, first, last, covariance)
+
+
+def _group_states(stats: DataFrame, folder: str, spec: FitSpec, first: int, last: int,
+                  covariance: bool = False) -> DataFrame:
+    states = scan_draws(stats.sparkSession, f"{folder}/level2", first - 1, last - 1)
+    return _level1_draws(stats, states, spec, folder, covariance=covariance)
 
 
 def gibbs_run(spark: SparkSession, folder: str, spec: FitSpec, begin: int, end: int) -> DataFrame:
@@ -248,13 +311,13 @@ def gibbs_run(spark: SparkSession, folder: str, spec: FitSpec, begin: int, end:
     """
     if begin < 2:
         raise ValueError("iteration 1 is made by gibbs_init")
-    stats = spark.read.parquet(f"{folder}/stats")
     state = filter_iteration(read_state(spark, folder), begin - 1)
     done = begin
-    for s in range(begin, end + 1):
-        sums = _level1_sums(join_state_to_groups(stats, state), spec, s)
-        state = _write_state(_with_noise(_pooled_step(sums, spec, s), spec, s), folder, s)
-        if s % spec.draw_every == 0 or s == end:
-            sink_draws(group_states(spark, folder, spec, done, s), f"{folder}/level1")
-            done = s + 1
+    with _moments(spark, folder) as stats:
+        for s in range(begin, end + 1):
+            sums = _level1_sums(_with_state(stats, state, folder), spec, s)
+            state = _write_state(_with_noise(_pooled_step(sums, spec, s), spec, s), folder, s)
+            if s % spec.draw_every == 0 or s == end:
+                sink_draws(_group_states(stats, folder, spec, done, s), f"{folder}/level1")
+                done = s + 1
     return scan_draws(spark, f"{folder}/level1", last=end)

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def sink_draws(draws: DataFrame, path: str, files: int = 4) -> None:
+def sink_draws(draws: DataFrame, path: str) -> None:
     """Write the iterations in ``draws``; running it again replaces those only.
 
-    An iteration is at most ``files`` files, whatever the number of tasks; choose it so
-    that one holds a few hundred megabytes.
+    Rows are rebalanced by iteration when their size is known: a large iteration becomes
+    several files of the advisory partition size, small ones one file each.
     """
-    part = F.pmod(F.xxhash64(*[c for c in draws.columns if c in ("h2", "h1")]), F.lit(files))
-    (draws.repartition("iter", part).write.mode("overwrite")
+    (draws.hint("rebalance", F.col("iter")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy("iter").parquet(path))
 
