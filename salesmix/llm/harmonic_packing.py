@@ -29,11 +29,13 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmix.llm.bpe import WORD_CACHE, ship_vocabulary
+from salesmix.llm.bpe import ship_vocabulary
 from salesmix.llm.common import stored
 from salesmix.llm.scan import numbered, running
 
 CAPACITY, END_ID = 2048, 1
+_CHARACTERS = 1 << 21  # of texts whose words are looked up together
+KNOWN_WORDS = 1_000_000  # whose ids a task remembers, some 200 MB; a speed matter only
 STRETCH = 1 << 16  # tokens of the stream that one task lays over the gaps at a time
 
 # The split pattern of the vocabulary, for texts of Latin-1 letters.
@@ -60,18 +62,32 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not _PLAIN(text) or any(s in text for s in self.special):
-            return self._library([text])[0]
-        words = _WORD.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > WORD_CACHE:
-                self.known = {}
-            fresh = list(set(words) - self.known.keys())
-            self.known.update(zip(fresh, self._library(fresh), strict=True))
-            return b"".join(map(self.known.__getitem__, words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        split, whole, size = [], [], 0
+        for k, text in enumerate(texts):
+            if _PLAIN(text) and not any(s in text for s in self.special):
+                split.append((k, _WORD.findall(text)))
+                size += len(text)
+                if size > _CHARACTERS:
+                    self._join(split, out)
+                    split, size = [], 0
+            else:
+                whole.append(k)
+        self._join(split, out)
+        for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+    def _join(self, split: list[tuple[int, list[str]]], out: list[bytes | None]) -> None:
+        """Ids of texts split into words; words not seen yet are encoded together."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {}
+        known = self.known
+        fresh = list({w for _, words in split for w in set(words) if w not in known})
+        known.update(zip(fresh, self._library(fresh), strict=True))
+        for k, words in split:
+            out[k] = b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +103,7 @@ def _tokenize(name: str, end_id: int):
         encoder, row = word_encoder(name), TaskContext.get().partitionId() << 33
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         for b in batches:
-            ids = [encoder.encode(t or "") + end for t in b.column("text").to_pylist()]
+            ids = [i + end for i in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(row, row + len(ids)), pa.int64()), b.column("doc_id"),
                  pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["row", "doc_id", "size", "ids"])
