@@ -108,11 +108,16 @@ facts AS (
          {flag("month(week) = 12 AND day(week) < 19")} AS holiday_pre_xmas,
          promo_pct, redline_pct
   FROM cells),
+every_week AS (
+  SELECT dept, type, CAST(unnest(range(min(week), max(week) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS DATE) AS week
+  FROM facts GROUP BY dept, type),
 plain AS (
-  SELECT *, {names(
+  SELECT dept, type, week, {names(f"coalesce({a}_units_{b}, 0) AS {a}_units_{b}" for a, b in MEASURES)},
+      {names(f"{a}_price_{b}_smooth_supsmu" for a, b in MEASURES)}, {names(
       f"last_value(nullif({a}_price_{b}, 0) IGNORE NULLS) OVER by_week AS {a}_price_{b}_smooth"
-      for a, b in MEASURES)}
-  FROM facts WINDOW by_week AS (PARTITION BY dept, type ORDER BY week
+      for a, b in MEASURES)},
+      {flag("month(week) = 12 AND day(week) BETWEEN 19 AND 25")} AS holiday_xmas, 'Q' || quarter(week) AS quarter
+  FROM every_week AS w LEFT JOIN (SELECT * EXCLUDE (quarter, holiday_xmas) FROM facts) USING (dept, type, week) WINDOW by_week AS (PARTITION BY dept, type ORDER BY week
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 model AS (
   SELECT DISTINCT dept, type, 3.0::DOUBLE + 0.01::DOUBLE * {number} AS c0,
@@ -583,7 +588,7 @@ def statements() -> dict[str, str]:
                      f"max({a}_price_{b}_smooth) AS max_price FROM plain"))
     put("weekly_series", facts, ["week", "measure"], ["units", "price"], each(
         lambda a, b: f"SELECT week, '{a}_{b}' AS measure, sum({a}_units_{b}) AS units, "
-                     f"avg({a}_price_{b}_smooth_supsmu) AS price FROM facts GROUP BY week"))
+                     f"avg({a}_price_{b}_smooth_supsmu) AS price FROM plain GROUP BY week"))
     flags = [f"{a}_units_{b}" for a in ("non_promo", "promo") for b in ("regular", "redline")]
     by_flag = f"SELECT week, {names(f'sum({c}) AS {c}' for c in flags)} FROM facts GROUP BY week"
     put("weekly_units_by_flag", facts, ["week"], flags, by_flag)
@@ -626,6 +631,8 @@ def statements() -> dict[str, str]:
     put("week_rank", facts, [*row, "pos"], [],
         "SELECT dept, type, week, row_number() OVER (PARTITION BY dept, type ORDER BY week) - 1 "
         "AS pos FROM facts")
+    put("with_empty_weeks", facts, [*row, "quarter"], ["units", "xmas"],
+        "SELECT dept, type, week, quarter, blended_units_total AS units, holiday_xmas AS xmas FROM plain")
     put("carry_forward_price", facts, row, [f"{a}_price_{b}_smooth" for a, b in MEASURES],
         "SELECT * FROM plain")
     put("sort_by_week", facts, row, ["price"], "SELECT * FROM facts")

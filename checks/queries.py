@@ -596,6 +596,12 @@ def week_rank(spark, sf_dir):
     return scn.week_rank(facts_of(spark, sf_dir)).select(*PRODUCT, "week", "pos")
 
 
+@query("with_empty_weeks")
+def with_empty_weeks(spark, sf_dir):
+    return wk.with_empty_weeks(facts_of(spark, sf_dir)).select(
+        *PRODUCT, "week", "quarter", F.col("blended_units_total").alias("units"), F.col("holiday_xmas").alias("xmas"))
+
+
 @query("carry_forward_price")
 def carry_forward_price(spark, sf_dir):
     return plain_prices(spark, sf_dir).select(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.retail import MEASURES, PRODUCT
+from ..sources.retail import MEASURES, PRODUCT, calendar_marks
 from .relational import price_column
 
 
@@ -18,10 +18,37 @@ def measure_names() -> list[str]:
     return [f"{a}_{b}" for a, b in MEASURES]
 
 
+def with_empty_weeks(facts: DataFrame) -> DataFrame:
+    """Every week of a product from its first to its last, also those without sales.
+
+    A week without a row gets one: no units, colours or stock, calendar marks of its own, the
+    product's brand and gender, and ``*_smooth`` prices of the row before; all else is null.
+    The rows follow from each row and the week of the next, without a join; a product has
+    one row per calendar week, which bounds the window.
+    """
+    order = Window.partitionBy(*PRODUCT).orderBy("week")
+    gap = F.date_sub("following", 7)
+    following = facts.withColumn("following", F.lead("week").over(order))
+    weeks = F.sequence("week", F.coalesce(gap, "week"), F.expr("interval 7 days"))
+    rows = following.withColumn("weeks", weeks).drop("following", "week")
+    rows = rows.select(*[c for c in rows.columns if c != "weeks"], F.posexplode("weeks").alias("step", "week"))
+    marks, none = calendar_marks(), {unit_column(m) for m in measure_names()} | {"num_colors", "inventory_qty"}
+    kept = {*PRODUCT, "week", "brand", "gender", *[f"{a}_price_{b}_smooth" for a, b in MEASURES]}
+
+    def value(name: str) -> Column:
+        if name in kept:
+            return F.col(name)
+        kind = facts.schema[name].dataType
+        empty = F.expr(marks[name]) if name in marks else F.lit(0.0 if name in none else None)
+        return F.when(F.col("step") == 0, F.col(name)).otherwise(empty.cast(kind)).alias(name)
+
+    return rows.select(*[value(c) for c in facts.columns])
+
+
 def carry_forward_price(facts: DataFrame) -> DataFrame:
     """Add the plain price columns: weeks without sales take the last valid price.
 
-    A product has one row per calendar week, which bounds the window.
+    Weeks in which a product has no row at all get one (``with_empty_weeks``).
     """
     before = (Window.partitionBy(*PRODUCT).orderBy("week")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -29,7 +56,7 @@ def carry_forward_price(facts: DataFrame) -> DataFrame:
         f"{a}_price_{b}_smooth":
             F.last(F.nullif(F.col(f"{a}_price_{b}"), F.lit(0.0)), ignorenulls=True).over(before)
         for a, b in MEASURES}
-    return facts.withColumns(filled)
+    return with_empty_weeks(facts.withColumns(filled))
 
 
 def _long(wide: DataFrame, ids: list[str], measures: list[str], values: list[str]) -> DataFrame:

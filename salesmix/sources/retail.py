@@ -91,22 +91,40 @@ def _dept_no(dept):
     return F.substring_index(dept, "#", -1).cast("int")
 
 
-def month_name(week):
-    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(week))
+def calendar_marks() -> dict[str, str]:
+    """Columns that follow from the week alone, as SQL text."""
+    names = ", ".join(f"'{m}'" for m in MONTHS)
+    flags = {
+        "bts_ind": "month(week) = 8",
+        "holiday_thanksgiving": "month(week) = 11 AND day(week) BETWEEN 22 AND 28",
+        "holiday_easter": "month(week) = 4 AND day(week) <= 21",
+        "holiday_xmas": "month(week) = 12 AND day(week) BETWEEN 19 AND 25",
+        "holiday_pre_xmas": "month(week) = 12 AND day(week) < 19",
+    }
+    return {"quarter": "concat('Q', quarter(week))",
+            "fiscal_month": f"element_at(array({names}), month(week))",
+            **{name: f"CAST({cond} AS DOUBLE)" for name, cond in flags.items()}}
 
 
 def weekly_facts(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     """The wide weekly fact table, one row per product and week with sales.
 
-    A report on some weeks should name them here, so that only their lines are read.
+    A report on some weeks should name them here, so that only their lines are read.  Colours
+    are different parts: lines are laid out by part and week, where each part of a product's
+    week is summed in place, and only sums per product and week are wide when shuffled.
     """
-    sums = [
-        f"sum(CASE WHEN promo = {i} AND redline = {j} THEN {source} ELSE 0D END) AS {name}{i}{j}"
-        for name, source in (("q", "qty"), ("a", "amount"), ("l", "list_amount"))
-        for i in (0, 1) for j in (0, 1)]
-    base = sales_lines(spark, sf_dir, start, end).groupBy("dept", "type", "week").agg(*map(F.expr, [
-        *sums, "sum(stock) AS inventory_qty", "avg(promo) AS promo_pct",
-        "avg(redline) AS redline_pct", "CAST(count(DISTINCT part) AS DOUBLE) AS num_colors"]))
+    sums = {f"{name}{i}{j}": f"CASE WHEN promo = {i} AND redline = {j} THEN {source} ELSE 0D END"
+            for name, source in (("q", "qty"), ("a", "amount"), ("l", "list_amount"))
+            for i in (0, 1) for j in (0, 1)}
+    sums |= {"inventory_qty": "stock", "promos": "promo", "redlines": "redline", "lines": "1"}
+    keys = ["dept", "type", "week"]
+    lines = sales_lines(spark, sf_dir, start, end).repartition("part", "week")
+    by_part = lines.groupBy(*keys, "part").agg(
+        *[F.expr(f"sum({sql}) AS {name}") for name, sql in sums.items()])
+    base = by_part.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in sums], F.count("part").cast("double").alias("num_colors"))
+    base = base.withColumns({"promo_pct": F.col("promos") / F.col("lines"),
+                             "redline_pct": F.col("redlines") / F.col("lines")})
     measures = []
     for a, b in MEASURES:
         sides = (PROMO_SIDES[a], REDLINE_SIDES[b])
@@ -116,21 +134,15 @@ def weekly_facts(spark: SparkSession, sf_dir: str, start=None, end=None) -> Data
             f"try_divide({_cells('a', *sides)}, {qty}) AS {a}_price_{b}",
             f"try_divide({_cells('l', *sides)}, {qty}) AS {a}_price_{b}_smooth_supsmu"]
     both = ((0, 1), (0, 1))
-    flags = {
-        "bts_ind": "month(week) = 8",
-        "holiday_thanksgiving": "month(week) = 11 AND day(week) BETWEEN 22 AND 28",
-        "holiday_easter": "month(week) = 4 AND day(week) <= 21",
-        "holiday_xmas": "month(week) = 12 AND day(week) BETWEEN 19 AND 25",
-        "holiday_pre_xmas": "month(week) = 12 AND day(week) < 19",
-    }
-    dept, week = F.col("dept"), F.col("week")
-    keys = base.withColumns({
-        "brand": brand_of(dept), "gender": gender_of(dept), "fiscal_month": month_name(week)})
-    return keys.selectExpr(
-        "dept", "type", "week", "brand", "gender", "concat('Q', quarter(week)) AS quarter",
-        "fiscal_month", *measures, "num_colors", "inventory_qty",
+    marks = calendar_marks()
+    dept = F.col("dept")
+    whole = base.withColumns({"brand": brand_of(dept), "gender": gender_of(dept)})
+    return whole.selectExpr(
+        "dept", "type", "week", "brand", "gender",
+        *[f"{marks[name]} AS {name}" for name in ("quarter", "fiscal_month")],
+        *measures, "num_colors", "inventory_qty",
         f"try_divide({_cells('a', *both)}, {_cells('q', *both)}) AS price",
-        *[f"CAST({cond} AS DOUBLE) AS {name}" for name, cond in flags.items()],
+        *[f"{sql} AS {name}" for name, sql in marks.items() if name not in ("quarter", "fiscal_month")],
         "promo_pct", "redline_pct")
 
 

@@ -202,3 +202,32 @@ def test_geweke_shuffles_once(spark, sf_dir):
                                   "iter int, h2 string, h1 string, driver string, draw double")
     physical = draws._jdf and geweke.geweke_cd(draws, 10)._jdf.queryExecution().executedPlan()
     assert physical.toString().count("Exchange") == 1
+
+
+def test_weeks_without_sales_get_rows(spark):
+    """Two gaps, one at a change of quarter; the last valid price goes on."""
+    weeks = sundays(dt.date(2012, 12, 16), 7)
+    sold = [(weeks[0], 3.0, 5.0), (weeks[2], 4.0, None), (weeks[5], 0.0, 0.0), (weeks[6], 1.0, 9.0)]
+    df = spark.createDataFrame([("D", "T", "A", "F", w, u, p) for w, u, p in sold],
+                               "dept string, type string, brand string, gender string, week date, u double, p double")
+    df = df.unionByName(df.where("week = DATE '2012-12-16'").withColumn("type", F.lit("T2")))
+    df = df.select("dept", "type", "brand", "gender", "week", F.lit("x").alias("quarter"), F.lit(9.0).alias("holiday_xmas"),
+                   F.lit(2.0).alias("num_colors"), F.lit("?").alias("other"),
+                   *[F.col("u").alias(wk.unit_column(m)) for m in wk.measure_names()],
+                   *[F.col("p").alias(f"{a}_price_{b}") for a, b in retail.MEASURES])
+    got = wk.carry_forward_price(df).where("type = 'T'").orderBy("week").collect()
+    assert [r.week for r in got] == weeks
+    assert [r.promo_price_total_smooth for r in got] == [5.0, 5.0, 5.0, 5.0, 5.0, 5.0, 9.0]
+    assert [r.blended_units_total for r in got] == [3.0, 0.0, 4.0, 0.0, 0.0, 0.0, 1.0]
+    assert [r.promo_price_total for r in got] == [5.0, None, None, None, None, 0.0, 9.0]
+    assert [r.quarter for r in got] == ["x", "Q4", "x", "Q1", "Q1", "x", "x"]
+    assert [r.holiday_xmas for r in got] == [9.0, 1.0, 9.0, 0.0, 0.0, 9.0, 9.0]
+    assert [(r.num_colors, r.other, r.brand) for r in got[:2]] == [(2.0, "?", "A"), (0.0, None, "A")]
+    assert wk.carry_forward_price(df).where("type = 'T2'").count() == 1
+
+
+def test_weekly_facts_shuffle_wide_rows_once(spark, sf_dir):
+    """Lines are laid out narrow, by part and week; sums are shuffled per product and week only."""
+    lines = plan(retail.weekly_facts(spark, sf_dir)).split("== Physical Plan ==")[1].splitlines()
+    wide = [x for x in lines if "Exchange" in x and "BroadcastExchange" not in x]
+    assert sum("dept" in x and "REPARTITION_BY_COL" not in x for x in wide) == 1, wide
