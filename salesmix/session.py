@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,7 +82,44 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="salesmix-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for folders in _scopes:
+        folders.append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The working folders made while this is open, for ``remove`` when nothing reads them any more."""
+    folders: list[str] = []
+    _scopes.append(folders)
+    try:
+        yield folders
+    finally:
+        _scopes.remove(folders)
+
+
+def remove(spark: SparkSession, folders: list[str], but_for: DataFrame | None = None) -> list[str]:
+    """Delete working folders, but those that the plan of ``but_for`` reads, which are returned."""
+    read = but_for.inputFiles() if but_for is not None else []
+    kept = []
+    for folder in folders:
+        if any(f"{folder.split(':')[-1].lstrip('/')}/" in f for f in read):
+            kept.append(folder)
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and that no later job reads."""
+    path = getattr(df, "_salesmix_path", None)
+    if path:
+        remove(df.sparkSession, [path])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -90,4 +129,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._salesmix_path = path
+    return out
