@@ -12,6 +12,7 @@ different phrases of a block with their counts, never occurrences.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmix.llm.common import rows_a_batch, stored
+from salesmix.llm.bloom import maybe_in
+from salesmix.llm.common import discard, rows_a_batch, stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK_WORDS = 1 << 20  # words in a block, or a little more: a document is in one block
+HELD_BLOCKS = 4  # words of all unfinished blocks of a task, in blocks
 _BREAK = -1
 # A-Z become a-z, tab parts words like space, the others part pieces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
@@ -58,32 +61,49 @@ class _Block:
 _FIRST = "block long, lang string, n long, items binary, words array<string>, counts array<long>"
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from -1 up, compressed: width and number of bytes, then the values plus 1."""
+    kind = next(k for k in ("<u1", "<u2", "<u4") if int(values.max(initial=-1)) + 2 <= 1 << 8 * int(k[2]))
+    raw = (values + 1).astype(kind).tobytes()
+    return struct.pack("<BQ", int(kind[2]), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    width, size = struct.unpack_from("<BQ", data)
+    raw = pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{width}").astype(np.int64) - 1
+
+
 def _first_relation(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, open_blocks, held = TaskContext.get().partitionId() << 33, {}, 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            for lang, b in open_blocks.items():
-                items = np.concatenate(b.items)
-                counts = np.bincount(items[items >= 0], minlength=len(b.words) - 2)
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([number], pa.int64()), "lang": pa.array([lang]), "n": pa.array([b.size], pa.int64()),
-                    "items": pa.array([items.astype("<i4").tobytes()], pa.binary()),
-                    "words": pa.array([[w.decode() for w in list(b.words)[2:]]], pa.list_(pa.string())),
-                    "counts": pa.array([counts.tolist()], pa.list_(pa.int64()))})
-                number += 1
+        number, unfinished, held = TaskContext.get().partitionId() << 33, {}, 0
+
+        def row(lang: str) -> pa.RecordBatch:
+            nonlocal number, held
+            block = unfinished.pop(lang)
+            held -= block.size
+            items = np.concatenate(block.items)
+            counts = np.bincount(items[items >= 0], minlength=len(block.words) - 2)
+            number += 1
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([number - 1], pa.int64()), "lang": pa.array([lang]), "n": pa.array([block.size], pa.int64()),
+                "items": pa.array([_packed(items)], pa.binary()),
+                "words": pa.array([[w.decode() for w in list(block.words)[2:]]], pa.list_(pa.string())),
+                "counts": pa.ListArray.from_arrays([0, len(counts)], pa.array(counts.astype(np.int64)))})
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                block = open_blocks.setdefault(lang, _Block())
+                block = unfinished.setdefault(lang, _Block())
                 held -= block.size
                 block.add(text)
                 held += block.size
-                if held >= block_words:
-                    yield from rows()
-                    open_blocks, held = {}, 0
-        yield from rows()
+                if block.size >= block_words:
+                    yield row(lang)
+                elif held >= HELD_BLOCKS * block_words:
+                    for each in list(unfinished):
+                        yield row(each)
+        for each in list(unfinished):
+            yield row(each)
 
     return run
 
@@ -94,26 +114,27 @@ _NEXT = "block long, positions binary, items binary, lefts array<long>, rights a
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The next relation of each block, from this one and the block's frequent phrases (item, id)."""
     for batch in batches:
-        for row in batch.to_pylist():
-            items, known = np.frombuffer(row["items"], "<i4"), row["known"]
-            item, ids = np.array([k["item"] for k in known], np.int64), np.array([k["id"] for k in known], np.int64)
+        for row in range(batch.num_rows):
+            block, places, items = (batch.column(c)[row].as_py() for c in ("block", "positions", "items"))
+            known = batch.column("known").slice(row, 1).flatten()
+            item, ids = (known.field(c).to_numpy().astype(np.int64) for c in ("item", "id"))
+            items = _unpacked(items)
             local = np.full(max(int(items.max(initial=-1)), int(item.max(initial=-1))) + 2, -1, np.int64)  # the last is for ends of pieces
             local[item] = np.arange(len(item))
             mine = local[items]
             at = np.flatnonzero(mine >= 0)
             mine = mine[at]
-            places = np.frombuffer(row["positions"], "<i4")[at] if row["positions"] is not None else at
+            places = np.cumsum(_unpacked(places))[at] if places is not None else at
             # The merge join: a row and the one that begins a word later.
             meets = np.flatnonzero(np.diff(places) == 1)
             pairs, found, counts = np.unique(mine[meets] * len(item) + mine[meets + 1], return_inverse=True, return_counts=True)
             if len(pairs):
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([row["block"]], pa.int64()),
-                    "positions": pa.array([places[meets].astype("<i4").tobytes()], pa.binary()),
-                    "items": pa.array([found.astype("<i4").tobytes()], pa.binary()),
-                    "lefts": pa.array([ids[pairs // len(item)].tolist()], pa.list_(pa.int64())),
-                    "rights": pa.array([ids[pairs % len(item)].tolist()], pa.list_(pa.int64())),
-                    "counts": pa.array([counts.tolist()], pa.list_(pa.int64()))})
+                lists = [pa.ListArray.from_arrays([0, len(pairs)], pa.array(v.astype(np.int64)))
+                         for v in (ids[pairs // len(item)], ids[pairs % len(item)], counts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.array([_packed(np.diff(places[meets], prepend=0))], pa.binary()),
+                     pa.array([_packed(found)], pa.binary()), *lists],
+                    ["block", "positions", "items", "lefts", "rights", "counts"])
 
 
 def _each(relation: DataFrame, *columns: str) -> DataFrame:
@@ -126,6 +147,8 @@ def _each(relation: DataFrame, *columns: str) -> DataFrame:
 
 
 def _next_relation(relation: DataFrame, of: DataFrame, frequent: DataFrame, key: list[str], k: int) -> DataFrame:
+    whole = F.xxhash64(*key)
+    of = maybe_in(of.drop("many"), whole, frequent.select(whole.alias("key")), F.col("key"), "maybe").filter("maybe")
     known = of.join(frequent.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct("item", "id")).alias("known"))
     positions = F.col("positions") if "positions" in relation.columns else F.lit(None).cast("binary").alias("positions")
     with rows_a_batch(relation.sparkSession, 4):  # a row is a whole block
@@ -142,7 +165,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
     relation = stored(docs.mapInArrow(_first_relation(block_words), _FIRST), "phrases-relation-1")
-    sizes = relation.groupBy("lang").agg(F.sum("n").alias("n"))
+    sizes = stored(relation.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-sizes")
     none, no_id = F.array().cast("array<bigint>"), F.lit(None).cast("long")
     of, key, found = _each(relation, "words", "counts"), ["lang", "word"], []
     for k in range(1, longest + 1):
@@ -159,7 +182,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
                 "id", "lang", F.concat_ws(" ", "l_phrase", "last").alias("phrase"), "last", "a", "left_id", "right_id",
                 F.concat("begins", F.array("l_a")).alias("begins"), F.concat("ends", F.array("r_a")).alias("ends")), f"phrases-{k}"))
         if k < longest:
-            relation = _next_relation(relation, of, counted, key, k + 1)
+            before, relation = relation, _next_relation(relation, of, counted, key, k + 1)
+            discard(before)
             of, key = _each(relation, "lefts", "rights", "counts"), ["left_id", "right_id"]
     return found, sizes
 
