@@ -327,20 +327,20 @@ def join_state_to_groups(spark, sf_dir):
 
 @query("join_groups_by_key", digits=6)
 def join_groups_by_key(spark, sf_dir):
-    stats = stats2(spark, sf_dir).select(*GROUP, "n", "yty")
-    draws = fixed_draws(lines2(spark, sf_dir))
+    stats = stored(stats2(spark, sf_dir), "stats").select(*GROUP, "n", "yty")
+    draws = fixed_draws(stats)
     return spread(rel.join_groups_by_key(stats, draws), "draw", 2, "b")
 
 
 @query("join_level2_tables")
 def join_level2_tables(spark, sf_dir):
-    d = lines2(spark, sf_dir)
+    d = stored(lines2(spark, sf_dir).select(*GROUP), "lines")
     return gibbs.join_level2_tables(mom.rows_per_level2(d), mom.child_count(d))
 
 
 @query("join_count_lookup")
 def join_count_lookup(spark, sf_dir):
-    d = lines2(spark, sf_dir)
+    d = stored(lines2(spark, sf_dir).select(*GROUP, "y1"), "lines")
     groups = d.groupBy(*GROUP).agg(F.sum("y1").alias("y_sum"))
     return rel.join_count_lookup(groups, mom.rows_per_level2(d))
 
@@ -437,13 +437,13 @@ def sum_outer_products(spark, sf_dir):
 
 @query("group_ssr")
 def group_ssr(spark, sf_dir):
-    stats = stats2(spark, sf_dir)
+    stats = stored(stats2(spark, sf_dir), "stats")
     return mom.group_ssr(stats, fixed_draws(stats), 2)
 
 
 @query("level2_s2", digits=6)
 def level2_s2(spark, sf_dir):
-    d = lines2(spark, sf_dir)
+    d = stored(lines2(spark, sf_dir).select(*GROUP, "y1", "x1"), "lines")
     ssr = mom.group_ssr_rows(d, fixed_draws(d), "y1", ["x1"])
     return mom.level2_s2(ssr, deflator=2.0)
 
@@ -905,7 +905,7 @@ def group_draw(spark, sf_dir):
 
 @query("noise_precision_draw", digits=6)
 def noise_precision_draw(spark, sf_dir):
-    stats = stats2(spark, sf_dir)
+    stats = stored(stats2(spark, sf_dir), "stats")
     s2 = mom.level2_s2(mom.group_ssr(stats, fixed_draws(stats), 2), SPEC2.deflator)
     return post.noise_precision_draw(s2, SPEC2.deflator, SPEC2.seed, 1)
 

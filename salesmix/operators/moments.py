@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import add_diag, upper_triangle
 from ..functions.linalg import ROUNDING, list_array, stack
+from ..session import stored
 from .relational import bounded_chunks, join_with_nulls
 
 GROUP = ["h2", "h1"]
@@ -44,7 +45,7 @@ def group_design_matrix(d: DataFrame, y: str, xs: list[str], keys: list[str] | N
     """
     keys = keys or GROUP
     columns = ["week", y, *xs]
-    unique = d.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("copies"))
+    unique = stored(d.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("copies")), "design-rows")
     row_text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
     chunked = bounded_chunks(unique, keys, row_text, chunk_rows)
     row = F.struct("week", F.col(y).alias("y"), *[F.col(x) for x in xs], "copies")

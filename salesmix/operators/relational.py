@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import stored
 
 ALL = "- All -"
 
@@ -103,9 +106,9 @@ def cogroup_by_key(left: DataFrame, right: DataFrame, key: str, value: str,
 
     both = join_with_nulls(lists(left, "left_values"), lists(right, "right_values"),
                            [key, "chunk"], "full")
+    kinds = {"left_values": left.schema[value].dataType, "right_values": right.schema[value].dataType}
     return both.select(key, "chunk", *[
-        F.coalesce(F.col(c), F.array().cast("array<bigint>")).alias(c)
-        for c in ("left_values", "right_values")])
+        F.coalesce(F.col(c), F.array().cast(T.ArrayType(kind))).alias(c) for c, kind in kinds.items()])
 
 
 def join_groups_by_key(left: DataFrame, right: DataFrame,
@@ -144,33 +147,39 @@ def limit_rows(df: DataFrame, *order: str, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def median_of(df: DataFrame, keys: list[str], value: str, error: float = 1e-4) -> DataFrame:
-    """Exact median per key without holding a key's values in one task.
+MEDIAN_BLOCK = 1024
+
+
+def median_of(df: DataFrame, keys: list[str], value: str, error: float | None = None) -> DataFrame:
+    """Exact median per key, by selecting the two middle ranks in sorted value counts.
 
-    An approximate percentile with a known rank error brackets the middle; only
-    distinct values inside the bracket are ranked, offset by the count below it.
+    Each value of a key is counted and the counts are sorted over range partitions and
+    written, so the input is read once.  Sums of counts per partition say which partition
+    holds a rank, sums per block of rows in it which block, and only that block's values are
+    ranked.  No task sees more of a key than a partition.  ``error`` has no effect any more.
     """
     v = F.col(value)
-    known = df.where(v.isNotNull()).select(*keys, v.alias("v"))
-    bounds = known.groupBy(*keys).agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", [0.5 - 2 * error, 0.5 + 2 * error], int(2 / error)).alias("b"))
-    bounds = bounds.select(*keys, "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
-    below = F.col("v") < F.col("lo")
-    counted = (
-        join_with_nulls(known, bounds, keys).where(F.col("v") <= F.col("hi"))
-        .groupBy(*keys, "n", F.greatest("v", "lo").alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"), F.count_if(below).alias("below"))
-    )
-    upto = (Window.partitionBy(*keys).orderBy("v")
+    counted = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    placed = counted.repartitionByRange(*keys, "v").sortWithinPartitions(*keys, "v")
+    rows = stored(placed.withColumn("at", F.monotonically_increasing_id()), "median-counts")
+    # Rows of a partition are numbered from a multiple of 2^33.
+    rows = rows.withColumns({"part": F.floor(F.col("at") / (1 << 33)), "block": F.floor(F.col("at") / MEDIAN_BLOCK)})
+    n = F.sum("n").over(Window.partitionBy(*keys))
+    sums = rows.groupBy(*keys, "part").agg(F.sum("c").alias("n")).withColumn("all", n)
+    ranks = F.array(F.expr("(all + 1) div 2"), F.expr("all div 2 + 1"))
+    parts = _holding(sums.select(*keys, "part", "n", F.posexplode(ranks).alias("which", "rank")), keys, "part")
+    inside = join_with_nulls(rows, parts, [*keys, "part"])
+    sums = inside.groupBy(*keys, "which", "rank", "block").agg(F.sum("c").alias("n"))
+    blocks = _holding(sums, keys, "block")
+    inside = join_with_nulls(rows, blocks, [*keys, "block"])
+    found = _holding(inside.select(*keys, "which", "rank", "v", F.col("c").alias("n")), keys, "v")
+    return found.groupBy(*keys).agg((F.sum(F.col("v").cast("double")) / 2).alias("median"))
+
+
+def _holding(sums: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Of each key and ``which``, the place where the rank is reached, with the rank left there."""
+    upto = (Window.partitionBy(*keys, "which").orderBy(place)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("last", F.sum("c").over(upto))
-    low, high = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
-
-    def at(rank):
-        return F.min(F.when(F.col("last") >= rank, F.col("v")))
-
-    missed = (F.sum("below") >= F.min(low)) | (F.sum("c") < F.max(high))
-    median = F.when(missed, F.raise_error(F.lit("median bracket missed")).cast("double"))
-    return ranked.groupBy(*keys).agg(
-        median.otherwise((at(low) + at(high)) / 2).alias("median"))
+    running = sums.withColumn("upto", F.sum("n").over(upto))
+    rest = F.col("rank") - (F.col("upto") - F.col("n"))
+    return running.where((rest > 0) & (F.col("rank") <= F.col("upto"))).select(*keys, "which", rest.alias("rank"), place)

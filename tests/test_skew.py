@@ -1,5 +1,7 @@
 """Results stay whole, and groups bounded, when one key or copy holds a third of the rows."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -105,3 +107,49 @@ def test_null_keys_and_repeated_values_are_kept(spark):
     assert sizes[sizes.index.isna()].values.tolist() == [[2, 1]]
     values = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
     assert {r.k: r.median for r in relational.median_of(values, ["k"], "v").collect()} == {None: 2.0, "a": 5.0}
+
+
+def test_median_of_one_key_with_all_rows(spark, monkeypatch):
+    """Ranks are found through partitions and blocks; no window holds the key, nothing can miss."""
+    monkeypatch.setattr(relational, "MEDIAN_BLOCK", 64)
+    rng = np.random.default_rng(5)
+    for n in (50_001, 50_000):
+        values = np.round(rng.normal(size=n), 3)
+        df = spark.createDataFrame(pd.DataFrame({"k": "all", "v": values})).repartition(7)
+        median = relational.median_of(df, ["k"], "v")
+        assert median.first().median == pytest.approx(np.median(values), abs=1e-12)
+        text = median._jdf.queryExecution().toString()
+        assert "raise_error" not in text and "percentile" not in text
+    same = spark.range(9_000).selectExpr("'k' AS k", "CAST(id % 2 AS DOUBLE) AS v")
+    assert relational.median_of(same, ["k"], "v").first().median == 0.5
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("date", [dt.date(2020, 1, 3), dt.date(2019, 5, 5), dt.date(2020, 1, 3)]), ("string", ["b", "a", "b"]),
+    ("double", [2.5, -1.0, 2.5]), ("struct<a:int,b:string>", [(2, "x"), (1, "y"), (2, "x")]), ("array<int>", [[2], [1, 5], [2]])])
+def test_cogroup_of_any_type(spark, kind, values):
+    left = spark.createDataFrame([("k", v) for v in values] + [("left", values[0])], f"k string, v {kind}")
+    right = spark.createDataFrame([("k", values[1]), ("right", values[1])], f"k string, v {kind}")
+    got = {r.k: (r.left_values, r.right_values) for r in relational.cogroup_by_key(left, right, "k", "v").collect()}
+    plain = {k: tuple([tuple(x) if isinstance(x, tuple) else x for x in side] for side in v) for k, v in got.items()}
+    assert plain == {"k": (sorted(values), [values[1]]), "left": ([values[0]], []), "right": ([], [values[1]])}
+
+
+def test_cogroup_of_two_types(spark):
+    left = spark.createDataFrame([(1, "x")], "k int, v string")
+    right = spark.createDataFrame([(2, 7)], "k int, v int")
+    got = relational.cogroup_by_key(left, right, "k", "v").orderBy("k").collect()
+    assert [(r.left_values, r.right_values) for r in got] == [(["x"], []), ([], [7])]
+
+
+ONE_SCAN = ["join_level2_tables", "join_groups_by_key", "join_count_lookup", "level2_s2", "group_ssr",
+            "noise_precision_draw", "median_of", "group_design_matrix"]
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_order_lines_are_read_once(spark, sf_dir, name):
+    """A result that needs the lines twice stores what it needs of them first."""
+    from checks.queries import REGISTRY
+
+    text = REGISTRY[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("lineitem.parquet") == 0 and "FileScan" in text
