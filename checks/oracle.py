@@ -160,6 +160,7 @@ def _raw(source: str) -> str:
 def _sums(source: str, period: str) -> str:
     keys = names(["dept", "type", *PERIOD[period], "year"])
     cols = [f"sum({c}) AS {c}_sum" for c in ("y_hat", "base_sales", *PARTS)]
+    cols += ["count(*) AS weeks", "count(*) FILTER (WHERE y_hat IS NULL) AS weeks_without_model"]
     return f"SELECT {keys}, {names(cols)} FROM ({source}) AS r GROUP BY {keys}"
 
 
@@ -565,7 +566,7 @@ def statements() -> dict[str, str]:
     put("level2_s2", hl, ["h2", "n"], ["s2"], s2, 6)
     put("geweke_head", _geweke(), cd_keys, ["se_a", "avg_a"], "SELECT * FROM head", 6)
     put("geweke_tail", _geweke(), cd_keys, ["se_c", "avg_c"], "SELECT * FROM tail", 6)
-    for name in ("geweke_cd", "geweke_report"):
+    for name in ("geweke_cd", "geweke_report", "geweke_report_blocks"):
         put(name, _geweke(), cd_keys, [*cd_cols, "cd"], "SELECT * FROM cd", 6)
     put("geweke_share", _geweke(), ["significant", "coefficients"], ["share"],
         "SELECT count(*) FILTER (WHERE abs(cd) > 1.96) AS significant, count(*) AS coefficients, "
@@ -597,7 +598,8 @@ def statements() -> dict[str, str]:
         "SELECT brand, dept, type, min(week) AS first_week, max(week) AS last_week FROM facts "
         "GROUP BY ALL")
     sum_cols = [f"{c}_sum" for c in ("y_hat", "base_sales", *PARTS)]
-    put("decomp_sums", fit, [*product, "fiscal_month", "year"], sum_cols, _sums("FROM raw", "month"))
+    counts = ["weeks", "weeks_without_model"]
+    put("decomp_sums", fit, [*product, "fiscal_month", "year", *counts], sum_cols, _sums("FROM raw", "month"))
     put("decomp_regroup", fit, product, CHART,
         f"SELECT dept, type, {names(f'sum({c}) AS {c}' for c in CHART)} FROM "
         f"({_merged(_corrected('FROM raw', 'all'), 'all')}) AS m GROUP BY dept, type")
@@ -782,6 +784,13 @@ def statements() -> dict[str, str]:
         + " FROM facts")
     put("products_without_model", facts, product, [],
         "SELECT DISTINCT dept, type FROM facts WHERE gender <> 'F'")
+    half = (f"{facts}, half AS (SELECT m.* FROM model AS m JOIN (SELECT DISTINCT dept, gender FROM facts) AS f "
+            "USING (dept) WHERE gender = 'F'), scored AS ("
+            + _scored(_transform("facts")).replace("JOIN model", "LEFT JOIN half") + f"), raw AS ({_raw('scored')})")
+    put("decomposition_without_some_models", half, [*product, "quarter", "year"], CHART,
+        _merged(_corrected("FROM raw", "quarter"), "quarter"))
+    put("decomposition_coverage", half, [*product, "quarter", "year", *counts], [],
+        _sums("FROM raw", "quarter"))
     start, end = (sunday(f"DATE '{d}'") for d in S.SCENARIO)
     put("report_on_selection", f"{fit}, part AS (SELECT r.* FROM raw AS r JOIN (SELECT DISTINCT dept, type, week "
         f"FROM facts WHERE brand = 'A' AND gender = 'F' AND week BETWEEN {start} AND {end}) AS f "

@@ -955,6 +955,34 @@ def products_without_model(spark, sf_dir):
     return rep.products_without_model(facts, model)
 
 
+def _partial_history(spark, sf_dir):
+    """Quarterly decomposition with models for one gender only."""
+    facts = stored(facts_of(spark, sf_dir), "facts")
+    model = retail.demand_model(facts).where(retail.gender_of(F.col("dept")) == "F")
+    return rep.historic_decomposition(facts, model, "quarter")
+
+
+@query("decomposition_without_some_models")
+def decomposition_without_some_models(spark, sf_dir):
+    return _partial_history(spark, sf_dir)["data"]
+
+
+@query("decomposition_coverage")
+def decomposition_coverage(spark, sf_dir):
+    return _partial_history(spark, sf_dir)["coverage"]
+
+
+@query("geweke_report_blocks", digits=6)
+def geweke_report_blocks(spark, sf_dir):
+    """The report from statistics of blocks of four days, stored in two goes."""
+    long = stored(chains(spark, sf_dir), "draws")
+    half = S.RAW_ITERS // 2 // 4 * 4
+    stored_blocks = [stored(gw.draw_blocks(long.where(part), 4), "draw-blocks")
+                     for part in (F.col("iter") <= half, F.col("iter") > half)]
+    blocks = stored_blocks[0].unionByName(stored_blocks[1])
+    return gw.geweke_from_blocks(blocks, long, S.RAW_ITERS, S.BURN_IN, 4)
+
+
 @query("report_on_selection")
 def report_on_selection(spark, sf_dir):
     """One brand and gender over the scenario's weeks, through the selection to the report."""

@@ -23,9 +23,11 @@ def _total(columns: list[str]) -> Column:
 
 
 def decomp_sums(raw: DataFrame, period: str = "all") -> DataFrame:
+    """Sums of all parts, with the weeks they are of and those without a prediction."""
     values = ["y_hat", "base_sales", *PARTS]
     return raw.groupBy(*PRODUCT, *period_keys(period)).agg(
-        *[F.sum(v).alias(f"{v}_sum") for v in values])
+        *[F.sum(v).alias(f"{v}_sum") for v in values], F.count(F.lit(1)).alias("weeks"),
+        F.count_if(F.col("y_hat").isNull()).alias("weeks_without_model"))
 
 
 def decomp_corrected(sums: DataFrame, period: str = "all") -> DataFrame:

@@ -61,9 +61,13 @@ def linear_score(coef: str = "coef") -> Column:
     return sum(terms, coef_of("intercept", coef))
 
 
-def join_model(facts: DataFrame, model: DataFrame) -> DataFrame:
-    """Facts of products that have a model, with its coefficients."""
-    return facts.join(model.select(*PRODUCT, "coef"), PRODUCT)
+def join_model(facts: DataFrame, model: DataFrame, keep_all: bool = False) -> DataFrame:
+    """Facts with the coefficients of their product's model.
+
+    Products without one are left out, or with ``keep_all`` stay, with null coefficients and
+    so without score, prediction and parts: what ``left_join_model_pred`` gives in one join.
+    """
+    return facts.join(model.select(*PRODUCT, "coef"), PRODUCT, "left" if keep_all else "inner")
 
 
 def dot_score(facts_with_coef: DataFrame, rounded: bool = False) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geweke, scoring
 from ..operators.moments import group_gram
+from ..sources.draws import scan_draws
 from .gibbs import FitSpec, gibbs_init, gibbs_run
 
 
@@ -16,6 +17,29 @@ def geweke_report(long: DataFrame, raw_iters: int, burn_in: int = 0) -> dict[str
     return {"detail": cd, "share": geweke.geweke_share(cd)}
 
 
+def update_draw_blocks(spark: SparkSession, folder: str, drivers: list[str], first: int, last: int,
+                       size: int = geweke.BLOCK_ITERATIONS) -> None:
+    """Store the statistics of the chain in ``folder`` for the blocks that ``first``..``last`` complete.
+
+    Reads the new draws, and the few old ones of a block that was not complete before.
+    """
+    begin, end = (first - 1) // size * size + 1, last // size * size
+    if begin > end:
+        return
+    draws = scan_draws(spark, f"{folder}/level1", begin, end)
+    blocks = geweke.draw_blocks(geweke.explode_draws(draws, drivers), size)
+    (blocks.hint("rebalance", F.col("block")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("block").parquet(f"{folder}/draw_blocks"))
+
+
+def stored_geweke_report(spark: SparkSession, folder: str, drivers: list[str], raw_iters: int, burn_in: int = 0,
+                         size: int = geweke.BLOCK_ITERATIONS) -> dict[str, DataFrame]:
+    """``geweke_report`` of a stored chain from its draw blocks."""
+    long = geweke.explode_draws(scan_draws(spark, f"{folder}/level1"), drivers)
+    cd = geweke.geweke_from_blocks(spark.read.parquet(f"{folder}/draw_blocks"), long, raw_iters, burn_in, size)
+    return {"detail": cd, "share": geweke.geweke_share(cd)}
+
+
 def posterior_model(draws: DataFrame, p: int, burn_in: int = 0, shift: float = 0.0) -> DataFrame:
     """Model table (dept, type, coef): mean of the draws after burn-in.
 

@@ -43,7 +43,7 @@ def select_model(model: DataFrame, dept: str, type_: str) -> DataFrame:
 
 
 def products_without_model(facts: DataFrame, model: DataFrame) -> DataFrame:
-    """Products that reports on a model leave out."""
+    """Products that reports on a model have no parts for."""
     return rel.distinct_values(facts, *PRODUCT).join(model, PRODUCT, "left_anti")
 
 
@@ -83,6 +83,7 @@ def _decomposition(raw: DataFrame, period: str) -> dict[str, DataFrame]:
         "raw": raw, "sums": sums, "corrected": corrected,
         "data": dec.seasonality_merge(corrected),
         "pct": dec.seasonality_merge(pct, "_pct"),
+        "coverage": sums.select(*PRODUCT, *dec.period_keys(period), "weeks", "weeks_without_model"),
     }
 
 
@@ -90,10 +91,10 @@ def historic_decomposition(facts: DataFrame, model: DataFrame,
                            period: str = "all") -> dict[str, DataFrame]:
     """Split historic sales into base, seasonality, promotion and redline parts.
 
-    Products without a model have no parts; ``products_without_model`` names them.
+    Products without a model stay, with null parts; ``coverage`` counts their weeks.
     """
     rows = sc.drop_null_rows(sc.log1p_transform(facts))
-    scored = sc.dot_score(sc.join_model(rows, model))
+    scored = sc.dot_score(sc.join_model(rows, model, keep_all=True))
     return _decomposition(sc.raw_decomps(scored), period)
 
 
