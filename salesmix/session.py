@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,6 +116,19 @@ def remove(spark: SparkSession, folders: list[str], but_for: DataFrame | None =
     return kept
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, stored; tables that it stored on the way are removed.
+
+    The frames of the way are dropped too, so that the engine may delete their shuffle files.
+    """
+    with scope() as folders:
+        out = stored(build(), name)
+    remove(spark, [f for f in folders if f != out._salesmix_path])
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote and that no later job reads."""
     path = getattr(df, "_salesmix_path", None)
