@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesmix.llm.bloom import maybe_in
-from salesmix.llm.common import discard, rows_a_batch, stored
+from salesmix.llm.common import discard, rows_a_batch, settled, stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK_WORDS = 1 << 20  # words in a block, or a little more: a document is in one block
@@ -211,6 +211,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     frequent one with as many occurrences is left out.  Order is by score and a, falling, then by
     the phrase's bytes.  Repeated rows count each; a table without words gives no rows.
     """
+    return settled(docs.sparkSession, "phrases-best", lambda: _best(docs, longest, least, top, block_words))
+
+
+def _best(docs: DataFrame, longest: int, least: int, top: int, block_words: int) -> DataFrame:
     found, sizes = frequent_phrases(docs, longest, least, block_words)
     kept = []
     for k in range(2, longest + 1):

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmix.session import discard, remove, scope, stored, tune
+from salesmix.session import discard, remove, scope, settled, stored, tune
 
 BATCH_ROWS = 256
 
@@ -50,4 +50,4 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-__all__ = ["BATCH_ROWS", "discard", "prepare", "remove", "rows_a_batch", "scope", "stored", "table", "text_or_empty", "unused_name"]
+__all__ = ["BATCH_ROWS", "discard", "prepare", "remove", "rows_a_batch", "scope", "settled", "stored", "table", "text_or_empty", "unused_name"]

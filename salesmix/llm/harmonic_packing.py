@@ -40,7 +40,8 @@ STRETCH = 1 << 16  # tokens of the stream that one task lays over the gaps at a
 
 # The split pattern of the vocabulary, for texts of Latin-1 letters.
 _LETTER, _DIGIT, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_WORD = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+"
+# Letters first: no alternative begins like another but the last two.
+_WORD = re.compile(rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+"
                    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\x85\xa0-\xff]*").fullmatch
 
@@ -216,16 +217,19 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = word_encoder(name).kind
         for b in batches:
-            for row in range(b.num_rows):
-                doc, = b.slice(row, 1).to_pylist()
-                ids = np.frombuffer(doc["ids"], kind).astype("<u4")
-                out = {k: [p[k] for p in doc["pieces"]] for k in ("start", "length", "sequence_id", "offset")}
-                n = len(doc["pieces"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc["doc_id"]] * n, pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["length"], pa.int64()),
-                     pa.array([doc["size"]] * n, pa.int64()), pa.array(out["sequence_id"], pa.int64()), pa.array(out["offset"], pa.int64()),
-                     pa.array([ids[a:a + z].tobytes() for a, z in zip(out["start"], out["length"], strict=True)], pa.binary())],
-                    ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            lists = b.column("pieces")
+            many = lists.value_lengths().to_numpy()
+            start, length, sequence, offset = (lists.flatten().field(c) for c in range(4))
+            owner = np.repeat(np.arange(b.num_rows), many)
+            ids, found, at = b.column("ids"), [], -1
+            for k, a, z in zip(owner.tolist(), start.to_pylist(), length.to_pylist(), strict=True):
+                if k != at:
+                    at, whole = k, np.frombuffer(ids[k].as_py(), kind).astype("<u4")
+                found.append(whole[a:a + z].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(owner)), start, length, b.column("size").take(pa.array(owner)), sequence, offset,
+                 pa.array(found, pa.binary())],
+                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return tokens.join(pieces, "row").select("doc_id", "size", "ids", "pieces").mapInArrow(
         cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

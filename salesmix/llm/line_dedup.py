@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmix.llm.bloom import maybe_in
-from salesmix.llm.common import stored, unused_name
+from salesmix.llm.common import settled, stored, unused_name
 
 MIN_CHARS, BLOCK = 10, 16
 
@@ -115,8 +115,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     A line is removed if a line within one edit of it comes earlier, in the order of
     (doc_id, line number); n_near counts those that have no earlier exact copy.
     """
-    lines = _lines(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), min_chars)
-    places = stored(lines.select("doc_id", "n", "lid"), "ln-places")
+    lines = stored(_lines(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), min_chars), "ln-lines")
+    places = lines.select("doc_id", "n", "lid")
     firsts = stored(places.groupBy("lid").agg(
         F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("many")), "ln-firsts")
     halves = lines.select("lid", F.explode(F.array_distinct(_half_keys(F.col("line")))).alias("key"))
@@ -148,8 +148,8 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS,
     n_lines, n_removed and n_near.  Columns of ``docs`` with those names must not exist then.
     """
     mark, near = unused_name(docs, "removed"), unused_name(docs, "n_near")
-    found = stored(repeated_lines(docs, min_chars).select(
-        "doc_id", F.col("removed").alias(mark), F.col("n_near").alias(near)), "ln-found")
+    found = settled(docs.sparkSession, "ln-found", lambda: repeated_lines(docs, min_chars).select(
+        "doc_id", F.col("removed").alias(mark), F.col("n_near").alias(near)))
     may = unused_name(docs, "may")
     split = maybe_in(docs, F.col("doc_id"), found, F.col("doc_id"), may)
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(mark), i))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmix.llm.common import stored
+from salesmix.llm.common import settled, stored
 from salesmix.llm.components import components, forest
 from salesmix.llm.shingles import mix, shingle_sets
 
@@ -38,6 +38,7 @@ BUCKETS, BAND, MANTISSA, ZEROS = 256, 4, 10, 63
 SMALL = 32  # sets below this size are also found by a prefix filter
 SURE = 64   # sets below this size are confirmed whatever the estimate
 ROUNDS, BLOCK = 2, 128
+SET = ["n_shingles", "set_a", "set_b"]
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -103,12 +104,8 @@ def signatures(docs: DataFrame, percent: int = 75) -> DataFrame:
             if b.num_rows:
                 sets = shingle_sets(b.column("text").to_pylist())
                 regs = registers(sets)
-                print_a = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                print_b = np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)),
-                     pa.array([r.tobytes() for r in regs], pa.binary()),
+                    [b.column("doc_id"), *_prints(sets), pa.array([r.tobytes() for r in regs], pa.binary()),
                      pa.array([prefix_keys(s, percent) for s in sets], pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "set_a", "set_b", "regs", "small"])
 
@@ -146,17 +143,26 @@ def _promising(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): full sets of the documents in ``ids``."""
+def _prints(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and fingerprint of each set: n_shingles, set_a, set_b."""
+    a = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+    b = np.array([mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+
+
+def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the full set of each node, from a document that has it."""
     def run(batches):
         for b in batches:
             if b.num_rows:
                 found = shingle_sets(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "shingles"])
+                    [b.column("doc_id"), *_prints(found), pa.array([s.tobytes() for s in found], pa.binary())],
+                    ["rep", *SET, "shingles"])
 
-    return (docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
-            .dropDuplicates(["doc_id"]))
+    some = docs.select("doc_id", "text").join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = some.mapInArrow(run, "rep long, n_shingles long, set_a long, set_b long, shingles binary")
+    return rows.join(nodes, [*SET, "rep"]).dropDuplicates([*SET, "rep"]).select(F.col("node").alias("doc_id"), "shingles")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,17 +254,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     distinct five-word shingles; component_id is the least doc_id reachable by links.  A
     text without words, or null, has no shingles and no links.  doc_id identifies a row:
     rows with a null doc_id get a null component and are kept, and rows that repeat an id
-    are read as that many documents with one id.  Other columns are ignored.
+    are that many documents with one id, each with the links of its own text.  Other
+    columns are ignored.
     """
+    return settled(docs.sparkSession, "mh", lambda: _near_duplicates(docs, percent))
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     signed = stored(signatures(docs, percent), "mh-signed")
     filled = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # One document for each distinct set.
-    sets = stored(filled.groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "mh-groups")
-    reps = stored(filled.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "mh-reps")
+    # Each distinct set is a node; doc_id names nodes from here on, as two texts may have one id.
+    sets = stored(filled.groupBy(*SET).agg(F.min("doc_id").alias("rep"))
+                  .withColumn("node", F.monotonically_increasing_id()), "mh-groups")
+    reps = stored(filled.withColumnRenamed("doc_id", "rep").join(sets, [*SET, "rep"]).dropDuplicates([*SET, "rep"])
+                  .select(F.col("node").alias("doc_id"), "n_shingles", "regs", "small"), "mh-reps")
     shared = stored(_keys(reps).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "mh-shared")
     members = stored(_keys(reps).join(shared, "key").select("key", "doc_id"), "mh-members")
-    full = stored(_full_sets(docs, members.select("doc_id").distinct()), "mh-sets")
+    wanted = sets.join(members.select(F.col("doc_id").alias("node")).distinct(), "node")
+    full = stored(_full_sets(docs, stored(wanted, "mh-wanted")), "mh-sets")
     links, comps = [], None
     for step in range(ROUNDS):
         placed = members.withColumn("component", F.col("doc_id")) if comps is None else stored(
@@ -274,12 +287,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         comps = components(reduce(DataFrame.unionByName, links))
     links.append(_family_links(members, comps, full, percent))
     first = components(reduce(DataFrame.unionByName, links))
-    groups = stored(sets.join(first.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-        .filter("component_id IS NOT NULL"), "mh-told")
-    shown = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
-    joined = filled.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        groups, ["set_a", "set_b", "n_shingles"], "left").select(*shown)
+    placed = sets.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    groups = stored(placed.join(least, "component").select(*SET, "component_id"), "mh-told")
+    joined = filled.select("doc_id", *SET).join(groups, SET, "left").select("doc_id", "n_shingles", "component_id")
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn(

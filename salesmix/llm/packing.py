@@ -1,6 +1,6 @@
 """Best-fit packing of documents into fixed-size training sequences, under conflicts.
 
-Documents are dealt over shards of bounded size by a hash of their id, and each shard is
+Documents are dealt over shards of bounded size by a hash of their row, and each shard is
 packed on its own, longest first.  A bin carries its free space, a bitmap of sources (a
 bit for each place that a source may still take) and a bitmap of duplicate clusters.  Bins
 are ordered by free space; the search starts at the tightest bin that is large enough and
@@ -112,7 +112,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_P
     rows = items.select(
         F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce("cluster", F.xxhash64(alone, F.lit("alone"))).alias("cluster"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(shards)).cast("int").alias("shard"))
+        # Rows are numbered, so that a null or repeated id does not make one large shard.
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
     return rows.groupBy("shard").applyInPandas(
         _pack_shard(capacity, max_per_source),
         "doc_id long, piece long, first_token long, n_tokens long, shard int, bin long, place long")

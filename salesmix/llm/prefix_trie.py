@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmix.llm.common import stored, text_or_empty
+from salesmix.llm.common import settled, stored, text_or_empty
 from salesmix.llm.list_ranking import prefix_sums
 from salesmix.llm.packing import word_count
 from salesmix.llm.scan import numbered, running
@@ -183,6 +183,10 @@ def conversation_trie(conversations: DataFrame, family: int = FAMILY, most_share
     rows, each of which is a turn of its own.  Texts may be of any length, only digests and word
     counts are shuffled.  Other columns are ignored.  An empty table has no nodes.
     """
+    return settled(conversations.sparkSession, "trie", lambda: _trie(conversations, family, most_shared))
+
+
+def _trie(conversations: DataFrame, family: int, most_shared: int) -> DataFrame:
     convs, taken, own = with_shared_beginnings(ordered_turns(conversations), family, most_shared)
     paths = prefixes(taken, own)
     nodes = _nodes(convs, paths)

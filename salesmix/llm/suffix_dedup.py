@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from salesmix.llm.common import stored, text_or_empty, unused_name
+from salesmix.llm.common import settled, stored, text_or_empty, unused_name
 from salesmix.llm.shingles import mix
 from salesmix.llm.suffix_array import suffix_ranks
 
@@ -105,15 +105,13 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 continue
             texts = _bytes(b.column("text"))
             number, place, h, lo, hi = anchors(texts, length, gram)
-            content = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)
-                                for t in texts], dtype=np.int64)
             counted = np.arange(len(number)) - np.searchsorted(number, number)  # rank in its text
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(number)), pa.array(content[number]), pa.array(counted),
+                [b.column("doc_id").take(pa.array(number)), b.column("content").take(pa.array(number)), pa.array(counted),
                  pa.array(place), pa.array(lo), pa.array(hi), pa.array(h.astype(np.uint64).view(np.int64))],
                 ["doc_id", "content", "ord", "place", "lo", "hi", "anchor"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", "content").mapInArrow(
         run, "doc_id long, content long, ord long, place long, lo long, hi long, anchor long")
 
 
@@ -124,22 +122,22 @@ def _ordered(found: DataFrame) -> DataFrame:
     again = stored(same.filter("x <> y").select("anchor"), "sd-again")
     kept = stored(found.join(again, "anchor").groupBy("anchor", "content", "ord", "place", "lo", "hi")
                   .agg(F.min("doc_id").alias("doc_id")), "sd-kept")
-    along = Window.partitionBy("doc_id").orderBy("ord")
+    along = Window.partitionBy("doc_id", "content").orderBy("ord")
     runs = kept.withColumn("run", F.col("ord") - F.row_number().over(along))
     symbol = stored(kept.select("anchor").distinct().repartitionByRange("anchor").sortWithinPartitions("anchor")
                     .select("anchor", (F.monotonically_increasing_id() + 1).alias("s")), "sd-symbol")
     strings = stored(runs.join(symbol, "anchor").select(
-        F.xxhash64("doc_id", "run").alias("sid"), F.lit(0).cast("long").alias("path"),
-        (F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("ord")) - 1).cast("long").alias("j"), "s",
+        F.xxhash64("doc_id", "content", "run").alias("sid"), F.lit(0).cast("long").alias("path"),
+        (F.row_number().over(Window.partitionBy("doc_id", "content", "run").orderBy("ord")) - 1).cast("long").alias("j"), "s",
         "doc_id", "content", "anchor", "place", "lo", "hi"), "sd-strings")
     ranks = suffix_ranks(strings.select("sid", "path", "j", "s"))
     ranked = stored(strings.join(ranks, ["sid", "path", "j"]).drop("sid", "path", "j", "s"), "sd-ranked")
     ties = ranked.groupBy("rank").agg(F.count("*").alias("ties"))
     shares = F.ceil(F.col("ties") / INTERVAL)
     return ranked.join(stored(ties, "sd-ties"), "rank").select(
-        "doc_id", "anchor", "place", "lo", "hi",
+        "doc_id", "content", "anchor", "place", "lo", "hi",
         F.xxhash64(F.floor(F.col("rank") / INTERVAL),
-                   F.when(shares > 1, F.struct("rank", F.pmod(F.xxhash64("doc_id", "place"), shares).alias("share")))
+                   F.when(shares > 1, F.struct("rank", F.pmod(F.xxhash64("doc_id", "content", "place"), shares).alias("share")))
                    ).alias("interval"))
 
 
@@ -166,50 +164,55 @@ def _compare(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, spans): byte ranges covered by strings of ``length`` that occur elsewhere.
+    """(doc_id, content, spans): byte ranges covered by strings of ``length`` that occur elsewhere.
 
-    Only one document of each distinct text is looked at; see ``marked`` for copies.
+    ``docs`` has doc_id, text and content, a digest of the text: both together name a text, so
+    ids may repeat.  Only one document of each distinct text is looked at; see ``_marked`` for copies.
     Spans are arrays of (first, end), unordered and overlapping.
     """
     found = stored(_anchor_rows(docs, length), "sd-anchors")
     ordered = stored(_ordered(found), "sd-intervals")
     split = stored(ordered.groupBy("anchor").agg(F.min("interval").alias("x"), F.max("interval").alias("y"))
                    .select("anchor", (F.col("x") != F.col("y")).alias("split")), "sd-split")
-    lists = stored(ordered.join(split, "anchor").groupBy("doc_id").agg(F.collect_list(
+    lists = stored(ordered.join(split, "anchor").groupBy("doc_id", "content").agg(F.collect_list(
         F.struct("anchor", "place", "lo", "hi", "interval", "split")).alias("list")), "sd-lists")
 
     def contexts(batches):
         for b in batches:
-            out = {k: [] for k in ("doc_id", "anchor", "place", "lo", "interval", "split", "context")}
-            for doc, text, items in zip(b.column("doc_id").to_pylist(), _bytes(b.column("text")),
-                                        b.column("list").to_pylist(), strict=True):
+            out = {k: [] for k in ("doc_id", "content", "anchor", "place", "lo", "interval", "split", "context")}
+            for doc, content, text, items in zip(b.column("doc_id").to_pylist(), b.column("content").to_pylist(),
+                                                 _bytes(b.column("text")), b.column("list").to_pylist(), strict=True):
                 for x in items:
                     out["doc_id"].append(doc)
+                    out["content"].append(content)
                     out["context"].append(text[x["lo"]:x["hi"] + length])
                     for k in ("anchor", "place", "lo", "interval", "split"):
                         out[k].append(x[k])
             if out["doc_id"]:
                 yield pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id long, anchor long, place long, lo long, interval long, split boolean, context binary"
-    rows = docs.select("doc_id", "text").join(lists, "doc_id").mapInArrow(contexts, schema)
+    schema = "doc_id long, content long, anchor long, place long, lo long, interval long, split boolean, context binary"
+    rows = docs.select("doc_id", "content", "text").join(lists, ["doc_id", "content"])
+    rows = rows.dropDuplicates(["doc_id", "content"]).mapInArrow(contexts, schema)
     check = _compare(length)
 
     def marks(pdf):
         import pandas as pd
         owner, start, key, twice, values, count = check(pdf)
         doc, split = pdf["doc_id"].to_numpy()[owner], pdf["split"].to_numpy()[owner]
+        content = pdf["content"].to_numpy()[owner]
         # Runs of marked starts of one anchor.
         at = np.flatnonzero(twice)
         head = at[(np.diff(owner[at], prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1)]
         tail = at[np.r_[np.flatnonzero((np.diff(owner[at]) != 0) | (np.diff(at) != 1)), len(at) - 1]] if len(at) else at
-        spans = pd.DataFrame({"doc_id": doc[head], "first": start[head], "end": start[tail] + length,
+        spans = pd.DataFrame({"doc_id": doc[head], "content": content[head], "first": start[head], "end": start[tail] + length,
                               "hash": np.zeros(len(head), np.int64), "kind": np.zeros(len(head), np.int32)})
         # Of anchors in several intervals: windows without an equal here, and, so that they
         # can be found from other intervals, one row for each hash that has one.
         lone = np.flatnonzero(split & ~twice)
         seen = np.unique(key[split & twice])
         more = pd.DataFrame({"doc_id": np.r_[doc[lone], np.zeros(len(seen), np.int64)],
+                             "content": np.r_[content[lone], np.zeros(len(seen), np.int64)],
                              "first": np.r_[start[lone], np.zeros(len(seen), np.int64)],
                              "end": np.r_[start[lone] + length, np.zeros(len(seen), np.int64)],
                              "hash": np.r_[key[lone], seen].view(np.int64),
@@ -217,12 +220,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.concat([spans, more])
 
     told = stored(rows.groupBy("interval").applyInPandas(
-        marks, "doc_id long, first long, end long, hash long, kind int"), "sd-told")
+        marks, "doc_id long, content long, first long, end long, hash long, kind int"), "sd-told")
     across = stored(told.filter("kind > 0").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
                     .select("hash"), "sd-across")
-    late = told.filter("kind = 1").join(across, "hash").select("doc_id", "first", "end")
-    spans = told.filter("kind = 0").select("doc_id", "first", "end").unionByName(late)
-    return stored(spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "sd-spans")
+    late = told.filter("kind = 1").join(across, "hash").select("doc_id", "content", "first", "end")
+    spans = told.filter("kind = 0").select("doc_id", "content", "first", "end").unionByName(late)
+    return spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def united(spans: list[dict], copied: bool, size: int, length: int) -> list[tuple[int, int]]:
@@ -241,13 +244,17 @@ def united(spans: list[dict], copied: bool, size: int, length: int) -> list[tupl
 def _marked(docs: DataFrame, length: int) -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns, and their names: spans, and whether the text has copies."""
     names = unused_name(docs, "spans"), unused_name(docs, "copied")
-    spans = repeated_spans(docs.select("doc_id", "text"), length)
-    light = docs.select("doc_id", F.sha2(text_or_empty("text"), 256).alias("sha"))
+    who, content = unused_name(docs, "who"), unused_name(docs, "content")
+    named = docs.withColumns({who: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), content: F.xxhash64(text_or_empty("text"))})
+    rows = named.select(F.col(who).alias("doc_id"), "text", F.col(content).alias("content"))
+    spans = settled(docs.sparkSession, "sd-spans", lambda: repeated_spans(rows, length))
+    light = rows.select("doc_id", "content", F.sha2(text_or_empty("text"), 256).alias("sha"))
     copies = stored(light.groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1").select("sha"), "sd-copies")
-    copied = light.join(copies, "sha").select("doc_id", F.lit(True).alias("copied")).distinct()
-    marks = stored(copied.join(spans, "doc_id", "full_outer").select(
-        "doc_id", F.col("spans").alias(names[0]), F.col("copied").alias(names[1])), "sd-marks")
-    return docs.join(marks, "doc_id", "left"), *names
+    copied = light.join(copies, "sha").select("doc_id", "content", F.lit(True).alias("copied")).distinct()
+    marks = stored(copied.join(spans, ["doc_id", "content"], "full_outer").select(
+        F.col("doc_id").alias(who), F.col("content").alias(content), F.col("spans").alias(names[0]),
+        F.col("copied").alias(names[1])), "sd-marks")
+    return named.join(marks, [who, content], "left").drop(who, content), *names
 
 
 def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -255,9 +262,8 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Texts are read as UTF-8 (null: empty).  A byte is removed if a string of ``length``
     bytes that covers it starts anywhere else too, in another row or the same; spans are
-    the maximal removed ranges.  Rows with equal texts count as different places.  doc_id
-    identifies a row; a row without one keeps its text, and others are not compared with
-    it.  Other columns are ignored; an empty table gives an empty result.
+    the maximal removed ranges.  Rows with equal texts count as different places; ids may be
+    null or repeat.  Other columns are ignored; an empty table gives an empty result.
     """
     def run(batches):
         for b in batches:
