@@ -1,13 +1,14 @@
 """Phrases whose words go together, mined with sorted occurrence relations (SETM).
 
-The relation of length k has a row for each occurrence of a frequent phrase of k words:
-piece, position, phrase.  It is written in blocks of documents of one language, sorted by
-position; a piece of text ends where positions are not adjacent.  The next relation is the
-merge join of this one with itself at adjacent positions of a piece: two frequent phrases
-that overlap in all but their ends make a candidate of k + 1 words.  Candidates are counted
-in each block and over all blocks by a grouping; a semi-join with the frequent ones then
-thins out the block's relation before it is extended again.  What is shuffled are the
-different phrases of a block with their counts, never occurrences.
+The relation of length k has a row for each occurrence of a phrase of k words that may be
+frequent: piece, position, phrase.  It is written in blocks of documents of one language,
+sorted by position and compressed; a piece of text ends where positions are not adjacent.
+Phrases are counted in each block and over all blocks by a grouping, which alone is
+shuffled.  The relation is semi-joined with the frequent phrases by a Bloom filter of
+bounded size that every task holds, and then merge-joined with itself at adjacent positions
+of a piece: two phrases that overlap in all but their ends make one of k + 1 words.  What
+passes the filter wrongly is counted like the rest and falls out there, because a phrase
+is no more frequent than its parts.  A relation is removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -17,17 +18,18 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesmix.llm.bloom import maybe_in
 from salesmix.llm.common import discard, rows_a_batch, settled, stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK_WORDS = 1 << 20  # words in a block, or a little more: a document is in one block
 HELD_BLOCKS = 4  # words of all unfinished blocks of a task, in blocks
+BITS_A_PHRASE, MOST_SLICES, SLICE_BITS = 16, 64, 1 << 21  # of the filter: 16 MB at most
 _BREAK = -1
 # A-Z become a-z, tab parts words like space, the others part pieces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
@@ -58,7 +60,7 @@ class _Block:
         self.items += [items, np.array([_BREAK], np.int32)]
 
 
-_FIRST = "block long, lang string, n long, items binary, words array<string>, counts array<long>"
+_FIRST = "block long, lang string, n long, items binary, phrases array<string>, counts array<long>"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -88,7 +90,7 @@ def _first_relation(block_words: int):
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([number - 1], pa.int64()), "lang": pa.array([lang]), "n": pa.array([block.size], pa.int64()),
                 "items": pa.array([_packed(items)], pa.binary()),
-                "words": pa.array([[w.decode() for w in list(block.words)[2:]]], pa.list_(pa.string())),
+                "phrases": pa.array([[w.decode() for w in list(block.words)[2:]]], pa.list_(pa.string())),
                 "counts": pa.ListArray.from_arrays([0, len(counts)], pa.array(counts.astype(np.int64)))})
 
         for batch in batches:
@@ -108,83 +110,129 @@ def _first_relation(block_words: int):
     return run
 
 
-_NEXT = "block long, positions binary, items binary, lefts array<long>, rights array<long>, counts array<long>"
-
-
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The next relation of each block, from this one and the block's frequent phrases (item, id)."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            block, places, items = (batch.column(c)[row].as_py() for c in ("block", "positions", "items"))
-            known = batch.column("known").slice(row, 1).flatten()
-            item, ids = (known.field(c).to_numpy().astype(np.int64) for c in ("item", "id"))
-            items = _unpacked(items)
-            local = np.full(max(int(items.max(initial=-1)), int(item.max(initial=-1))) + 2, -1, np.int64)  # the last is for ends of pieces
-            local[item] = np.arange(len(item))
-            mine = local[items]
-            at = np.flatnonzero(mine >= 0)
-            mine = mine[at]
-            places = np.cumsum(_unpacked(places))[at] if places is not None else at
-            # The merge join: a row and the one that begins a word later.
-            meets = np.flatnonzero(np.diff(places) == 1)
-            pairs, found, counts = np.unique(mine[meets] * len(item) + mine[meets + 1], return_inverse=True, return_counts=True)
-            if len(pairs):
-                lists = [pa.ListArray.from_arrays([0, len(pairs)], pa.array(v.astype(np.int64)))
-                         for v in (ids[pairs // len(item)], ids[pairs % len(item)], counts)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([_packed(np.diff(places[meets], prepend=0))], pa.binary()),
-                     pa.array([_packed(found)], pa.binary()), *lists],
-                    ["block", "positions", "items", "lefts", "rights", "counts"])
-
-
-def _each(relation: DataFrame, *columns: str) -> DataFrame:
-    """A row for each different phrase of a block: block, item and the elements of ``columns``."""
-    names = {"lefts": "left_id", "rights": "right_id", "words": "word", "counts": "many"}
-    zipped = F.arrays_zip(*columns)
-    keep = [c for c in ("block", "lang") if c in relation.columns]
-    return relation.select(*keep, F.posexplode(zipped).alias("item", "x")).select(
-        *keep, "item", *[F.col(f"x.{c}").alias(names[c]) for c in columns])
-
-
-def _next_relation(relation: DataFrame, of: DataFrame, frequent: DataFrame, key: list[str], k: int) -> DataFrame:
-    whole = F.xxhash64(*key)
-    of = maybe_in(of.drop("many"), whole, frequent.select(whole.alias("key")), F.col("key"), "maybe").filter("maybe")
-    known = of.join(frequent.select(*key, "id"), key).groupBy("block").agg(F.collect_list(F.struct("item", "id")).alias("known"))
-    positions = F.col("positions") if "positions" in relation.columns else F.lit(None).cast("binary").alias("positions")
-    with rows_a_batch(relation.sparkSession, 4):  # a row is a whole block
-        return stored(relation.select("block", positions, "items").join(known, "block").mapInArrow(_extend, _NEXT), f"phrases-relation-{k}")
+def _hashes(lang: list[str], phrases: list[str]) -> np.ndarray:
+    """A 64-bit hash of each phrase with its language."""
+    own = pd.util.hash_array(np.array(phrases, dtype=object), categorize=False)
+    return pd.util.hash_array(own ^ pd.util.hash_array(np.array(lang, dtype=object)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _places(h: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slice of the filter and two bits in it."""
+    bits = np.uint64(SLICE_BITS)
+    return (h >> np.uint64(48)) % np.uint64(slices), h % bits, (h >> np.uint64(21)) % bits
+
+
+class Filter:
+    """Frequent phrases as bits, in slices that tasks make independently."""
+
+    def __init__(self, frequent: DataFrame):
+        """``frequent``: a written table of lang and phrase."""
+        n = frequent.count()
+        wanted = -(-n * BITS_A_PHRASE // SLICE_BITS)
+        self.slices = slices = min(MOST_SLICES, 1 << max(0, wanted - 1).bit_length())
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    at = _places(_hashes(b.column("lang").to_pylist(), b.column("phrase").to_pylist()), slices)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in at], ["slice", "x", "y"])
+
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, np.ndarray] = {}
+            for b in batches:
+                which, x, y = (b.column(c).to_numpy() for c in ("slice", "x", "y"))
+                for k in np.unique(which).tolist():
+                    mine = made.setdefault(k, np.zeros(SLICE_BITS, bool))
+                    mine[x[which == k]] = mine[y[which == k]] = True
+            for k, mine in made.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(mine).tobytes()])], ["slice", "bits"])
+
+        rows = (frequent.select("lang", "phrase").mapInArrow(hashed, "slice int, x int, y int")
+                .repartition(slices, "slice").mapInArrow(bits, "slice int, bits binary").collect())
+        # At most MOST_SLICES rows of SLICE_BITS bits.
+        self.bits = np.zeros((slices, SLICE_BITS // 8), np.uint8)
+        for r in rows:
+            self.bits[r.slice] = np.frombuffer(r.bits, np.uint8)
+
+    def may_hold(self, lang: str, phrases: list[str]) -> np.ndarray:
+        if not phrases:
+            return np.zeros(0, bool)
+        which, x, y = _places(_hashes([lang], phrases), self.slices)
+
+        def is_set(bit: np.ndarray) -> np.ndarray:
+            return (self.bits[which, bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+        return is_set(x) & is_set(y)
+
+
+_NEXT = "block long, lang string, positions binary, items binary, phrases array<string>, counts array<long>"
+
+
+def _extend(shared: Broadcast):
+    """The next relation of each block, from this one and the filter of its frequent phrases."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, lang, places, items, phrases = (
+                    batch.column(c)[row].as_py() for c in ("block", "lang", "positions", "items", "phrases"))
+                items = _unpacked(items)
+                kept = np.r_[shared.value.may_hold(lang, phrases), False]  # the last is for ends of pieces
+                at = np.flatnonzero(kept[items])
+                mine = items[at]
+                places = np.cumsum(_unpacked(places))[at] if places is not None else at
+                # The merge join: a row and the one that begins a word later.
+                meets = np.flatnonzero(np.diff(places) == 1)
+                pairs, found, counts = np.unique(mine[meets] * len(phrases) + mine[meets + 1], return_inverse=True, return_counts=True)
+                if len(pairs):
+                    longer = [phrases[x] + " " + phrases[y].rpartition(" ")[2]
+                              for x, y in zip((pairs // len(phrases)).tolist(), (pairs % len(phrases)).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int64()), pa.array([lang]), pa.array([_packed(np.diff(places[meets], prepend=0))], pa.binary()),
+                         pa.array([_packed(found)], pa.binary()), pa.array([longer], pa.list_(pa.string())),
+                         pa.ListArray.from_arrays([0, len(counts)], pa.array(counts.astype(np.int64)))],
+                        ["block", "lang", "positions", "items", "phrases", "counts"])
+
+    return run
+
+
+def _counted(relation: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, a: the phrases of a relation that occur often enough."""
+    each = relation.select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
+    return (each.groupBy("lang", F.col("x.phrases").alias("phrase")).agg(F.sum("x.counts").alias("a"))
+            .filter(F.col("a") >= least))
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST,
                      block_words: int = BLOCK_WORDS) -> tuple[list[DataFrame], DataFrame]:
     """Tables of the frequent phrases of 1, 2, ... words, and lang, n with the words of each language.
 
-    A table has id, lang, phrase, last (its last word), a (occurrences), left_id and right_id (of
-    the phrases without the last and the first word), begins (occurrences of its first word, first
-    two, ...) and ends (of its last word, last two, ...), without itself.
+    A table has lang, phrase, a (occurrences), left and right (the phrase without its last and
+    its first word), begins (occurrences of its first word, first two, ...) and ends (of its
+    last word, last two, ...), without itself.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
     relation = stored(docs.mapInArrow(_first_relation(block_words), _FIRST), "phrases-relation-1")
     sizes = stored(relation.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-sizes")
-    none, no_id = F.array().cast("array<bigint>"), F.lit(None).cast("long")
-    of, key, found = _each(relation, "words", "counts"), ["lang", "word"], []
+    none, found = F.array().cast("array<bigint>"), []
     for k in range(1, longest + 1):
-        counted = of.groupBy(*key).agg(F.sum("many").alias("a")).filter(F.col("a") >= least)
-        counted = stored(counted.withColumn("id", F.monotonically_increasing_id()), f"phrases-frequent-{k}")
+        counted = stored(_counted(relation, least), f"phrases-frequent-{k}")
         if k == 1:
-            found.append(counted.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a",
-                                        no_id.alias("left_id"), no_id.alias("right_id"), none.alias("begins"), none.alias("ends")))
+            found.append(counted.select("lang", "phrase", "a", F.lit(None).cast("string").alias("left"),
+                                        F.lit(None).cast("string").alias("right"), none.alias("begins"), none.alias("ends")))
         else:
-            left = found[-1].select(F.col("id").alias("left_id"), "lang", F.col("phrase").alias("l_phrase"), F.col("a").alias("l_a"), "begins")
-            right = found[-1].select(F.col("id").alias("right_id"), F.col("last"), F.col("a").alias("r_a"), "ends")
-            both = counted.join(left, "left_id").join(right, "right_id")
-            found.append(stored(both.select(
-                "id", "lang", F.concat_ws(" ", "l_phrase", "last").alias("phrase"), "last", "a", "left_id", "right_id",
-                F.concat("begins", F.array("l_a")).alias("begins"), F.concat("ends", F.array("r_a")).alias("ends")), f"phrases-{k}"))
+            counted = counted.withColumns({"left": F.substring_index("phrase", " ", k - 1), "right": F.substring_index("phrase", " ", 1 - k)})
+            shorter = found[-1].select("lang", "phrase", "a", "begins", "ends")
+            left = shorter.select("lang", F.col("phrase").alias("left"), F.concat("begins", F.array("a")).alias("begins"))
+            right = shorter.select("lang", F.col("phrase").alias("right"), F.concat("ends", F.array("a")).alias("ends"))
+            found.append(stored(counted.join(left, ["lang", "left"]).join(right, ["lang", "right"]), f"phrases-{k}"))
         if k < longest:
-            before, relation = relation, _next_relation(relation, of, counted, key, k + 1)
-            discard(before)
-            of, key = _each(relation, "lefts", "rights", "counts"), ["left_id", "right_id"]
+            shared = docs.sparkSession.sparkContext.broadcast(Filter(counted))
+            columns = ["block", "lang", F.col("positions") if k > 1 else F.lit(None).cast("binary").alias("positions"), "items", "phrases"]
+            with rows_a_batch(docs.sparkSession, 2):  # a row is a whole block
+                longer = stored(relation.select(*columns).mapInArrow(_extend(shared), _NEXT), f"phrases-relation-{k + 1}")
+            discard(relation)
+            shared.unpersist()
+            relation = longer
     return found, sizes
 
 
@@ -221,8 +269,8 @@ def _best(docs: DataFrame, longest: int, least: int, top: int, block_words: int)
         phrases = found[k - 1].join(sizes, "lang").withColumn("best", _lowest_cut(k))
         if k < longest:
             # Counts do not rise with length, so the phrases one word longer decide.
-            longer = found[k].select(F.col("left_id").alias("id"), "a").unionByName(found[k].select(F.col("right_id").alias("id"), "a"))
-            phrases = phrases.join(longer.distinct(), ["id", "a"], "left_anti")
+            longer = [found[k].select("lang", F.col(part).alias("phrase"), "a") for part in ("left", "right")]
+            phrases = phrases.join(longer[0].unionByName(longer[1]).distinct(), ["lang", "phrase", "a"], "left_anti")
         kept.append(phrases.select("lang", "phrase", "a", "best.l", "best.r", "n", "best.score"))
     rows = reduce(DataFrame.unionByName, kept)
     # First the best of parts of a language, then of the language.
