@@ -9,7 +9,9 @@ descendants and only "mixed" leaves children free, so no choice contradicts anot
 Training pages are a bounded sample of the given pages.  Their marked-up article gives the
 labels; each is also used in altered forms (article renamed to plain containers, sidebars,
 notices, adverts, comments and forms inserted with text of other pages), so that the trees
-do not rest on one tag.  Every whole page is then extracted.
+do not rest on one tag.  If no page marks an article, the labels come from where the text
+is: the innermost element that holds most of a page's unlinked text outside of elements
+whose tag or name says boilerplate.  Every whole page is then extracted.
 """
 
 from __future__ import annotations
@@ -283,6 +285,11 @@ def labels_of(page: Page) -> np.ndarray:
         mark = page.attrs[i].pop("data-y", None)
         inside[i] = (mark == "1" or mark is None
                      and (page.tag[i] == "article" or inside[page.parent[i]]))
+    return _labels(page, inside)
+
+
+def _labels(page: Page, inside: np.ndarray) -> np.ndarray:
+    n = len(page.tag)
     yes, no = np.zeros(n), np.zeros(n)
     for block, _, _ in page.runs:
         (yes if inside[block] else no)[block] += 1
@@ -292,9 +299,41 @@ def labels_of(page: Page) -> np.ndarray:
     return np.where((yes > 0) & (no > 0), MIXED, np.where(yes > 0, IN, np.where(no > 0, OUT, np.where(inside, IN, OUT))))
 
 
+MOST = 0.6  # share of an element's text that a child must hold to stand for it
+
+
+def likely_labels(page: Page) -> np.ndarray:
+    """IN, OUT or MIXED for each element of a page without marks, from where its text is."""
+    n, parent = len(page.tag), page.parent
+    bad = np.zeros(n, dtype=bool)
+    for i in range(1, n):
+        a = page.attrs[i]
+        names = _WORD.findall(" ".join(str(a.get(k) or "") for k in ("class", "id", "role")).lower())
+        bad[i] = bad[parent[i]] or page.tag[i] in ("nav", "footer", "aside", "header", "form") or any(
+            w in BAD or w.endswith("s") and w[:-1] in BAD for w in names)
+    linked, chars = getattr(page, "linked", {}), np.zeros(n)
+    for k, (block, _, pieces) in enumerate(page.runs):
+        size = len(_SPACE.sub(" ", "".join(pieces)).strip())
+        if not bad[block] and 2 * linked.get(k, 0) <= size:
+            chars[block] += size
+    for i in range(n - 1, 0, -1):
+        chars[parent[i]] += chars[i]
+    best = 0
+    while True:
+        below = [i for i in range(best + 1, n) if parent[i] == best and chars[i] > MOST * chars[best]]
+        if not below or page.tag[below[0]] in ("p", "li", "td", "pre", "blockquote"):
+            break
+        best = below[0]
+    inside = np.zeros(n, dtype=bool)
+    for i in range(n):
+        inside[i] = not bad[i] and (i == best or i > 0 and inside[parent[i]])
+    return _labels(page, inside)
+
+
 def fit_pages(pages: list[str], seed: int = 7) -> Model:
     rng = Random(seed)
     marked = [p for p in pages if "<article" in p and "</article>" in p]
+    plain = [] if marked else pages
     texts = [t for t in ("\n".join(x for x in features(Page(p))[1]) for p in marked) if t] or ["none"]
     xs, ys = [], []
     for html in marked:
@@ -302,6 +341,10 @@ def fit_pages(pages: list[str], seed: int = 7) -> Model:
             page = Page(version)
             ys.append(labels_of(page))
             xs.append(features(page)[0])
+    for html in plain:
+        page = Page(html)
+        ys.append(likely_labels(page))
+        xs.append(features(page)[0])
     x = np.concatenate(xs) if xs else np.zeros((0, 31))
     y = np.concatenate(ys) if ys else np.zeros(0)
     if not len(x):  # nothing to learn from: all text is boilerplate
@@ -310,17 +353,21 @@ def fit_pages(pages: list[str], seed: int = 7) -> Model:
     return Model(*(fit_trees(x, (y == k).astype(float)) for k in (IN, OUT, MIXED)))
 
 
-def fit(pages: DataFrame, max_pages: int = 300) -> Model:
-    """Fit on at most ``max_pages`` rows with a marked article, smallest hashes first.
+def fit(pages: DataFrame, max_pages: int = 300, max_chars: int = 200_000) -> Model:
+    """Fit on at most ``max_pages`` rows of fewer than ``max_chars`` characters, smallest hashes first.
 
-    Rows are chosen by id, so that only the chosen pages reach the driver.
+    Rows with a marked article, or if there are none, any rows.  Rows are chosen by id, so that
+    only the chosen pages reach the driver.
     """
-    marked = pages.select("page_id", "html").filter(
-        F.col("html").contains("<article") & (F.length("html") < 200_000))
-    chosen = (marked.select("page_id", F.xxhash64("html").alias("h")).orderBy("h", "page_id")
-              .limit(max_pages).select("page_id").distinct())
-    rows = marked.join(F.broadcast(chosen), "page_id").limit(max_pages).collect()
-    return fit_pages(sorted(r.html for r in rows))
+    rows = pages.select("page_id", "html").filter(F.length("html") < max_chars)
+    marked = rows.filter(F.col("html").contains("<article"))
+    return fit_pages(_some(marked, max_pages) or _some(rows, max_pages))
+
+
+def _some(pages: DataFrame, most: int) -> list[str]:
+    chosen = (pages.select("page_id", F.xxhash64("html").alias("h")).orderBy("h", "page_id")
+              .limit(most).select("page_id").distinct())
+    return sorted(r.html for r in pages.join(F.broadcast(chosen), "page_id").limit(most).collect())
 
 
 def main_text(pages: DataFrame, model: Model) -> DataFrame:

@@ -4,14 +4,17 @@ Each window of ``length`` bytes has one anchor: the 96-byte string in it with th
 hash, leftmost of equals.  Equal windows have equal anchor strings at equal offsets, so
 only windows whose anchor string occurs twice can repeat.  Those anchors, run by run of a
 document, are strings of symbols whose suffixes are sorted (suffix_array).  The sorted
-sequence is cut into intervals of bounded size; inside an interval neighbours share the
-longest prefixes, and their windows are compared exactly.  Windows of an anchor string
-that lies in several intervals, and that found no equal in their own, are compared across
-intervals by their hashes alone.
+sequence is cut into intervals of bounded size, so that texts with the longest prefixes in
+common are in one task.  There windows with equal hashes are compared byte by byte with the
+first of them.  Windows of an anchor string that lies in several intervals, and that found
+no equal in their own, are compared across intervals by two independent 64-bit hashes.
+
+So the suffix order deals out the work and the bytes decide: a window may begin before its
+anchor, where the order of what follows the anchor does not say who shares it.  After 27
+symbols equal suffixes stay tied, which changes no result.
 
 Documents with the same text are one string of the sort; if it has ``length`` bytes, all
-of it repeats.  Windows are compared by a 64-bit hash of their bytes among windows whose
-anchor strings have the same 64-bit hash.
+of it repeats.
 """
 
 from __future__ import annotations
@@ -32,8 +35,7 @@ from salesmix.llm.suffix_array import suffix_ranks
 LENGTH, GRAM = 400, 96
 SEGMENT = 1 << 20  # bytes hashed at once
 INTERVAL = 256     # anchors compared at once
-_STEP = 0xD1342543DE82EF95
-_BACK = pow(_STEP, -1, 1 << 64)
+_STEP, _OTHER_STEP = 0xD1342543DE82EF95, 0x9FB21C651E98DF25
 _BYTE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -43,11 +45,28 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(data: np.ndarray, size: int, step: int = _STEP) -> np.ndarray:
     """Hash of each ``size`` bytes of ``data``."""
-    total = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * _powers(_STEP, len(data)), dtype=np.uint64)]
+    total = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * _powers(step, len(data)), dtype=np.uint64)]
     n = len(data) - size + 1
-    return mix((total[size:] - total[:n]) * _powers(_BACK, n))
+    return mix((total[size:] - total[:n]) * _powers(pow(step, -1, 1 << 64), n))
+
+
+def equal_windows(data: np.ndarray, start: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from each ``start`` are those from ``other``.
+
+    Where both go on byte by byte, one comparison of bytes serves the whole run.
+    """
+    if not len(start):
+        return np.zeros(0, bool)
+    head = np.flatnonzero((np.diff(start, prepend=-2) != 1) | (np.diff(other, prepend=-2) != 1))
+    windows = np.diff(np.r_[head, len(start)])
+    size = windows + length - 1
+    ends = np.cumsum(size)
+    step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    wrong = np.r_[0, np.cumsum(data[np.repeat(start[head], size) + step] != data[np.repeat(other[head], size) + step])]
+    at = np.repeat(ends - size, windows) + np.arange(len(start)) - np.repeat(head, windows)
+    return wrong[at + length] == wrong[at]
 
 
 def anchors_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -148,7 +167,8 @@ def _compare(length: int):
         data = [np.frombuffer(x, np.uint8) for x in pdf["context"]]
         sizes = np.array([len(d) for d in data])
         many = sizes - length + 1
-        h = window_hashes(np.concatenate(data), length)
+        buffer = np.concatenate(data)
+        h = window_hashes(buffer, length)
         begin = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(data)), many)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
@@ -156,9 +176,21 @@ def _compare(length: int):
         start = lo[owner] + within
         key = mix(h[begin[owner] + within] ^ mix(pdf["anchor"].to_numpy().view(np.uint64)[owner]
                                                  + (place[owner] - start).astype(np.uint64)))
-        values, back, count = np.unique(key, return_inverse=True, return_counts=True)
-        twice = count[back] > 1
-        return owner, start, key, twice, values, count
+        at, twice, left = begin[owner] + within, np.zeros(len(key), bool), np.arange(len(key))
+        while len(left):
+            _, first, back = np.unique(key[left], return_index=True, return_inverse=True)
+            like = left[first[back]]
+            more = left != like
+            mine, like = left[more], like[more]
+            same = equal_windows(buffer, at[mine], at[like], length)
+            twice[mine[same]] = twice[like[same]] = True
+            left = mine[~same]  # the hash of other bytes: compared among themselves
+
+        def other_key(which: np.ndarray) -> np.ndarray:
+            wide = window_hashes(buffer, length, _OTHER_STEP)[at[which]]
+            return mix(wide ^ mix(pdf["anchor"].to_numpy().view(np.uint64)[owner[which]] * np.uint64(_OTHER_STEP)))
+
+        return owner, start, key, twice, other_key
 
     return run
 
@@ -198,7 +230,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def marks(pdf):
         import pandas as pd
-        owner, start, key, twice, values, count = check(pdf)
+        owner, start, key, twice, other_key = check(pdf)
         doc, split = pdf["doc_id"].to_numpy()[owner], pdf["split"].to_numpy()[owner]
         content = pdf["content"].to_numpy()[owner]
         # Runs of marked starts of one anchor.
@@ -206,24 +238,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         head = at[(np.diff(owner[at], prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1)]
         tail = at[np.r_[np.flatnonzero((np.diff(owner[at]) != 0) | (np.diff(at) != 1)), len(at) - 1]] if len(at) else at
         spans = pd.DataFrame({"doc_id": doc[head], "content": content[head], "first": start[head], "end": start[tail] + length,
-                              "hash": np.zeros(len(head), np.int64), "kind": np.zeros(len(head), np.int32)})
+                              "hash": np.zeros(len(head), np.int64), "other": np.zeros(len(head), np.int64), "kind": np.zeros(len(head), np.int32)})
         # Of anchors in several intervals: windows without an equal here, and, so that they
         # can be found from other intervals, one row for each hash that has one.
         lone = np.flatnonzero(split & ~twice)
-        seen = np.unique(key[split & twice])
+        _, known = np.unique(key[split & twice], return_index=True)
+        seen = np.flatnonzero(split & twice)[known]
+        both = np.r_[lone, seen]
         more = pd.DataFrame({"doc_id": np.r_[doc[lone], np.zeros(len(seen), np.int64)],
                              "content": np.r_[content[lone], np.zeros(len(seen), np.int64)],
                              "first": np.r_[start[lone], np.zeros(len(seen), np.int64)],
                              "end": np.r_[start[lone] + length, np.zeros(len(seen), np.int64)],
-                             "hash": np.r_[key[lone], seen].view(np.int64),
+                             "hash": key[both].view(np.int64), "other": other_key(both).view(np.int64),
                              "kind": np.r_[np.ones(len(lone), np.int32), np.full(len(seen), 2, np.int32)]})
         return pd.concat([spans, more])
 
     told = stored(rows.groupBy("interval").applyInPandas(
-        marks, "doc_id long, content long, first long, end long, hash long, kind int"), "sd-told")
-    across = stored(told.filter("kind > 0").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-                    .select("hash"), "sd-across")
-    late = told.filter("kind = 1").join(across, "hash").select("doc_id", "content", "first", "end")
+        marks, "doc_id long, content long, first long, end long, hash long, other long, kind int"), "sd-told")
+    across = stored(told.filter("kind > 0").groupBy("hash", "other").agg(F.count("*").alias("n")).filter("n > 1")
+                    .select("hash", "other"), "sd-across")
+    late = told.filter("kind = 1").join(across, ["hash", "other"]).select("doc_id", "content", "first", "end")
     spans = told.filter("kind = 0").select("doc_id", "content", "first", "end").unionByName(late)
     return spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 

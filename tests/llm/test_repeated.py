@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from salesmix.llm import harmonic_packing, minhash_dedup, packing, suffix_dedup
@@ -54,3 +56,28 @@ def test_pieces_of_rows_without_an_id(spark):
     prepare(spark)
     df = spark.createDataFrame([(k, s) for k, s in enumerate([5, 5, 5, 100])], "row long, size long")
     assert sum(r.length for r in harmonic_packing.pack_lengths(df, 64).collect()) == 115
+
+
+def test_windows_are_compared_on_bytes():
+    """Runs that go on, runs that break off, and a byte that differs inside one."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 101, 400).astype(np.uint8)
+    data[200:260] = data[50:110]
+    data[230] ^= 1
+    start = np.r_[np.arange(50, 100), np.arange(10, 14), [300]]
+    other = np.r_[np.arange(200, 250), np.arange(120, 124), [300]]
+    for length in (1, 3, 10):
+        want = [bytes(data[s:s + length]) == bytes(data[o:o + length]) for s, o in zip(start, other, strict=True)]
+        assert suffix_dedup.equal_windows(data, start, other, length).tolist() == want
+    assert suffix_dedup.equal_windows(data, start[:0], other[:0], 5).tolist() == []
+
+
+def test_equal_hashes_of_other_bytes_remove_nothing(spark, prose, monkeypatch):
+    """With a hash that is always the same, the bytes alone decide."""
+    a, b, c = (bytes(t[:600], "utf-8") for t in prose[:3])
+    rows = pd.DataFrame({"context": [a, b, a[100:550], c], "lo": [0, 0, 100, 0], "place": [50, 50, 150, 50],
+                         "anchor": np.array([1, 1, 1, 1], np.int64)})
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda data, size, step=0: np.zeros(len(data) - size + 1, np.uint64))
+    owner, start, _, twice, _ = suffix_dedup._compare(400)(rows)
+    marked = {(int(o), int(s)) for o, s, t in zip(owner, start, twice, strict=True) if t}
+    assert marked <= {(o, s) for o in (0, 2) for s in range(100, 151)}
