@@ -10,6 +10,7 @@ import math
 
 from . import settings as S
 
+# Names of measures, drivers, effects and parts as in the report tables.
 MEASURES = [(a, b) for a in ("blended", "non_promo", "promo")
             for b in ("total", "regular", "redline")]
 DRIVERS = ["num_colors_log", "inventory_qty_log", "bts_ind", "holiday_thanksgiving",
