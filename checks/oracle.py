@@ -113,7 +113,8 @@ every_week AS (
   SELECT dept, type, CAST(unnest(range(min(week), max(week) + INTERVAL 1 DAY, INTERVAL 7 DAY)) AS DATE) AS week
   FROM facts GROUP BY dept, type),
 plain AS (
-  SELECT dept, type, week, {names(f"coalesce({a}_units_{b}, 0) AS {a}_units_{b}" for a, b in MEASURES)},
+  SELECT dept, type, week, CASE WHEN {number} % 2 = 1 THEN 'A' ELSE 'B' END AS brand,
+      CASE WHEN {number} <= 12 THEN 'F' ELSE 'M' END AS gender, {names(f"coalesce({a}_units_{b}, 0) AS {a}_units_{b}" for a, b in MEASURES)},
       {names(f"{a}_price_{b}_smooth_supsmu" for a, b in MEASURES)}, {names(
       f"last_value(nullif({a}_price_{b}, 0) IGNORE NULLS) OVER by_week AS {a}_price_{b}_smooth"
       for a, b in MEASURES)},
@@ -217,13 +218,15 @@ def _chart(wide: str, period: str) -> str:
       FROM ({_long(_labelled(wide, period), ids, CHART)}) AS l WHERE value > 2"""
 
 
-def _scenario() -> str:
+def _scenario(planned: str = "") -> str:
+    """``planned``: changes of the levers; the standard ones if empty."""
     start, end = (f"DATE '{d}'" for d in S.SCENARIO)
     first = f"({sunday(start)} - 364)"  # each week corresponds to that 52 weeks before
     weeks = f"CAST(({sunday(end)} - {sunday(start)}) / 7 AS INTEGER)"
     raw = ["num_colors", "inventory_qty", "bts_ind", "holiday_thanksgiving", "holiday_easter",
            "holiday_xmas", "holiday_pre_xmas", "price", "promo_pct", "redline_pct"]
-    shifted = {"price": f"price + ({S.PRICE_SHIFT})", "promo_pct": f"promo_pct + {S.PROMO_SHIFT}"}
+    shifted = {} if planned == "none" else {
+        "price": f"price + ({S.PRICE_SHIFT})", "promo_pct": f"promo_pct + {S.PROMO_SHIFT}"}
     cols = names(f"{shifted[c]} AS {c}" if c in shifted else c for c in raw)
     new = _transform("planned")
     return f"""{_facts()},
@@ -797,6 +800,21 @@ def statements() -> dict[str, str]:
         f"FROM facts WHERE brand = 'A' AND gender = 'F' AND week BETWEEN {start} AND {end}) AS f "
         "USING (dept, type, week))", [*product, "quarter", "year"], CHART,
         _merged(_corrected("FROM part", "quarter"), "quarter"))
+    chosen = (f"{facts}, chosen AS (SELECT * FROM plain WHERE brand = 'B' AND gender = 'M' AND "
+              f"type = '{S.PRODUCT[1]}' AND week BETWEEN {start} AND {end})")
+    put("series_on_selection", chosen, ["week", "measure"], ["units", "price"], each(
+        lambda a, b: f"SELECT week, '{a}_{b}' AS measure, sum({a}_units_{b}) AS units, "
+                     f"avg({a}_price_{b}_smooth) AS price FROM chosen GROUP BY week"))
+    put("stacked_on_selection", chosen, ["week", "variable"], ["value"],
+        _long(by_flag.replace("FROM facts", "FROM chosen"), ["week"], flags))
+    put("table_on_selection", chosen, ["department", "store", "week"], [*units, *prices],
+        "SELECT dept AS department, type AS store, week, "
+        + names([f"{a}_units_{b} AS {a}_{b}_units" for a, b in MEASURES]
+                + [f"{a}_price_{b}_smooth AS {a}_{b}_price" for a, b in priced])
+        + " FROM chosen")
+    put("whatif_on_selection", _scenario("none"), [*product, "change"], [*total_cols, "delta"],
+        "SELECT *, CASE WHEN delta < 0 THEN 'decrease' ELSE 'increase' END AS change FROM "
+        f"({totals}) AS t WHERE dept IN (SELECT dept FROM facts WHERE brand = 'B' AND gender = 'M')")
     new_raw = f"{scenario}, raw AS ({_raw('new')})"
     pct_cols = [f"{c}_pct" for c in CHART]
     for period in PERIOD:

@@ -991,6 +991,35 @@ def report_on_selection(spark, sf_dir):
     return rep.historic_decomposition(chosen, retail.demand_model(facts), "quarter")["data"]
 
 
+def _chosen(spark, sf_dir):
+    facts = stored(plain_prices(spark, sf_dir), "facts")
+    return rep.selected_reports(facts, retail.demand_model(facts), brand="B", gender="M", type_=S.PRODUCT[1],
+                                start=S.SCENARIO[0], end=S.SCENARIO[1])
+
+
+@query("series_on_selection")
+def series_on_selection(spark, sf_dir):
+    return _chosen(spark, sf_dir)["series"]["series"]
+
+
+@query("stacked_on_selection")
+def stacked_on_selection(spark, sf_dir):
+    return _chosen(spark, sf_dir)["stacked"]
+
+
+@query("table_on_selection")
+def table_on_selection(spark, sf_dir):
+    return _chosen(spark, sf_dir)["table"]
+
+
+@query("whatif_on_selection")
+def whatif_on_selection(spark, sf_dir):
+    """Last year's drivers laid on the scenario, for one brand and gender."""
+    facts = _past_facts(spark, sf_dir)
+    both = rep.selected_whatif(facts, retail.demand_model(facts), None, *S.SCENARIO, brand="B", gender="M")
+    return rep.whatif_summary(**{name: stored(df, name) for name, df in both.items()})
+
+
 def _named(name, fn):
     query(name)(fn)
 

@@ -46,7 +46,7 @@ def nearest_pd(m: np.ndarray, rounds: int = 10, floor: float = 1e-8) -> np.ndarr
     """Alternate between positive eigenvalues and the input's own diagonal.
 
     The alternating projections with correction of Higham (2002), which fix a unit diagonal,
-    here keep the input's.      The last step floors the eigenvalues, so the result is positive definite.
+    here keep the input's.  The last step floors the eigenvalues, so the result is positive definite.
     """
     y = (m + m.swapaxes(-1, -2)) / 2
     on = np.eye(m.shape[-1], dtype=bool)

@@ -38,6 +38,26 @@ def select_facts(facts: DataFrame, dept: str = rel.ALL, type_: str = rel.ALL,
     return src.guard_nonempty(chosen, "data")
 
 
+def selected_reports(facts: DataFrame, model: DataFrame, period: str = "all", smooth: bool = False,
+                     **selection) -> dict[str, object]:
+    """Series, stacked units, table and decomposition of one selection (see ``select_facts``).
+
+    ``facts`` should be stored and have the plain prices of all weeks, so that a price may be
+    carried into the selection from before its first week.
+    """
+    chosen = select_facts(facts, **selection)
+    return {"series": weekly_series(chosen, *wk.measure_names(), smooth=smooth), "stacked": stacked_units(chosen),
+            "table": sales_table(chosen, smooth), "decomposition": historic_decomposition(chosen, model, period)}
+
+
+def selected_whatif(facts: DataFrame, model: DataFrame, levers: DataFrame | None, start: str, end: str,
+                    **selection) -> dict[str, DataFrame]:
+    """``whatif_predict`` for the selected products; without levers, on last year's drivers."""
+    chosen = select_facts(facts, **selection)
+    planned = default_levers(chosen, start, end) if levers is None else levers
+    return whatif_predict(chosen, model, planned, start, end)
+
+
 def select_model(model: DataFrame, dept: str, type_: str) -> DataFrame:
     return src.guard_nonempty(rel.filter_product(model, dept, type_), "demand model")
 

@@ -65,10 +65,10 @@ def level1(groups, w, mu, h, h2, s):
     return draws, gamma(v / 2, 2 / (v * (ssr / v)), SEED, s, h2, "h")
 
 
-def chain(data, last):
+def chain(data, last, xs=("x1", "x2", "x3")):
     out = {}
     for h2, part in data.groupby("h2"):
-        groups = {h1: (np.column_stack([np.ones(len(g)), g[["x1", "x2", "x3"]]]), g.y.to_numpy())
+        groups = {h1: (np.column_stack([np.ones(len(g)), g[list(xs)]]), g.y.to_numpy())
                   for h1, g in part.groupby("h1")}
         start = [np.linalg.lstsq(x, y, rcond=None)[0] for x, y in groups.values()]
         every = [np.concatenate(a) for a in zip(*groups.values())]
@@ -99,3 +99,29 @@ def test_every_draw(spark):
     assert len(got) == len(want) == 7 * 8
     for r in got:
         np.testing.assert_allclose(r.draw, want[r.iter, r.h2, r.h1], rtol=1e-6, atol=1e-8)
+
+
+def test_every_draw_at_full_size(spark, monkeypatch):
+    """13 drivers and the intercept, as the sales model has them: y far from 0, one small group."""
+    p, rng = 14, np.random.default_rng(14)
+    for name, value in (("P", p), ("DOF", p + 1), ("MEAN", np.r_[50.0, np.zeros(p - 1)]), ("PRECISION", np.full(p, 0.2))):
+        monkeypatch.setattr(f"{__name__}.{name}", value)
+    xs = [f"x{k}" for k in range(1, p)]
+    rows = []
+    for h2, groups in (("A", 4), ("B", 2)):
+        for g in range(groups):
+            size = 25 if g else 16
+            part = pd.DataFrame(rng.normal(size=(size, p - 1)), columns=xs)
+            part["x3"] = (part.x3 > 0).astype(float)
+            part["y"] = 50 + part[xs].sum(axis=1) * 0.3 + rng.normal(scale=0.5, size=size)
+            rows.append(part.assign(h2=h2, h1=f"g{g}"))
+    data = pd.concat(rows)
+    spec = gibbs.FitSpec(p=p, df1=p + 1, prior_mean=list(MEAN), prior_precision=list(PRECISION),
+                         deflator=DEFLATOR, seed=SEED, draw_every=2)
+    folder = work_dir(spark, "chain")
+    gibbs.gibbs_init(moments.group_gram(spark.createDataFrame(data), "y", xs), spec, folder)
+    got = gibbs.gibbs_run(spark, folder, spec, 2, 5).collect()
+    want = chain(data, 5, xs)
+    assert len(got) == len(want) == 5 * 6
+    for r in got:
+        np.testing.assert_allclose(r.draw, want[r.iter, r.h2, r.h1], rtol=1e-5, atol=1e-7)
