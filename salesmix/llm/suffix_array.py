@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from salesmix.llm.common import stored
+from salesmix.llm.common import discard, settled, stored
 
 END = -1  # rank of the empty suffix
 
@@ -78,10 +78,11 @@ def suffix_ranks(strings: DataFrame, levels: int = 3) -> DataFrame:
     else:
         shorter = named.select("sid", (F.col("path") * 3 + F.col("c")).alias("path"),
                                F.floor(F.col("j") / 3).alias("j"), (F.col("name") + 1).alias("s"))
-        deeper = suffix_ranks(shorter, levels - 1)
+        deeper = settled(strings.sparkSession, "sa-deeper", lambda: suffix_ranks(shorter, levels - 1))
         ranks = deeper.select("sid", F.floor(F.col("path") / 3).alias("path"),
                               (F.col("j") * 3 + F.col("path") % 3).alias("j"), F.col("rank").alias("r"))
     ranks = stored(ranks, "sa-ranks")
+    discard(named)
 
     def ahead(step: int) -> DataFrame:
         return ranks.select("sid", "path", (F.col("j") - step).alias("j"), F.col("r").alias(f"r{step}"))
@@ -102,4 +103,4 @@ def suffix_ranks(strings: DataFrame, levels: int = 3) -> DataFrame:
     merged = known.join(one, ["s0", "r1"], "left").join(two, ["s0", "s1", "r2"], "left")
     rank = (F.when(F.col("c") == 0, F.col("z1") + F.col("o1") + F.col("t2"))
             .when(F.col("c") == 1, F.col("r") + F.col("z1")).otherwise(F.col("r") + F.col("z2")))
-    return stored(merged.select(*place, rank.alias("rank")), "sa-merged")
+    return merged.select(*place, rank.alias("rank"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from salesmix.llm.common import settled, stored, text_or_empty, unused_name
+from salesmix.llm.common import discard, settled, stored, text_or_empty, unused_name
 from salesmix.llm.shingles import mix
 from salesmix.llm.suffix_array import suffix_ranks
 
@@ -141,6 +141,7 @@ def _ordered(found: DataFrame) -> DataFrame:
     again = stored(same.filter("x <> y").select("anchor"), "sd-again")
     kept = stored(found.join(again, "anchor").groupBy("anchor", "content", "ord", "place", "lo", "hi")
                   .agg(F.min("doc_id").alias("doc_id")), "sd-kept")
+    discard(found)
     along = Window.partitionBy("doc_id", "content").orderBy("ord")
     runs = kept.withColumn("run", F.col("ord") - F.row_number().over(along))
     symbol = stored(kept.select("anchor").distinct().repartitionByRange("anchor").sortWithinPartitions("anchor")
@@ -149,7 +150,8 @@ def _ordered(found: DataFrame) -> DataFrame:
         F.xxhash64("doc_id", "content", "run").alias("sid"), F.lit(0).cast("long").alias("path"),
         (F.row_number().over(Window.partitionBy("doc_id", "content", "run").orderBy("ord")) - 1).cast("long").alias("j"), "s",
         "doc_id", "content", "anchor", "place", "lo", "hi"), "sd-strings")
-    ranks = suffix_ranks(strings.select("sid", "path", "j", "s"))
+    discard(kept)
+    ranks = settled(found.sparkSession, "sd-ranks", lambda: suffix_ranks(strings.select("sid", "path", "j", "s")))
     ranked = stored(strings.join(ranks, ["sid", "path", "j"]).drop("sid", "path", "j", "s"), "sd-ranked")
     ties = ranked.groupBy("rank").agg(F.count("*").alias("ties"))
     shares = F.ceil(F.col("ties") / INTERVAL)
@@ -203,7 +205,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Spans are arrays of (first, end), unordered and overlapping.
     """
     found = stored(_anchor_rows(docs, length), "sd-anchors")
-    ordered = stored(_ordered(found), "sd-intervals")
+    ordered = settled(docs.sparkSession, "sd-intervals", lambda: _ordered(found))
     split = stored(ordered.groupBy("anchor").agg(F.min("interval").alias("x"), F.max("interval").alias("y"))
                    .select("anchor", (F.col("x") != F.col("y")).alias("split")), "sd-split")
     lists = stored(ordered.join(split, "anchor").groupBy("doc_id", "content").agg(F.collect_list(
