@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from salesmix.llm.common import discard, rows_a_batch, settled, stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-BLOCK_WORDS = 1 << 20  # words in a block, or a little more: a document is in one block
+BLOCK_WORDS = 1 << 19  # words in a block, or a little more: a document is in one block
 HELD_BLOCKS = 4  # words of all unfinished blocks of a task, in blocks
 BITS_A_PHRASE, MOST_SLICES, SLICE_BITS = 16, 64, 1 << 21  # of the filter: 16 MB at most
 _BREAK = -1
