@@ -294,34 +294,33 @@ def _marked(docs: DataFrame, length: int) -> tuple[DataFrame, str, str]:
 
 
 def removed_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans for every row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans for every row of ``docs``.
 
     Texts are read as UTF-8 (null: empty).  A byte is removed if a string of ``length``
     bytes that covers it starts anywhere else too, in another row or the same; spans are
     the maximal removed ranges.  Rows with equal texts count as different places; ids may be
-    null or repeat.  Other columns are ignored; an empty table gives an empty result.
+    null or repeat.  ``kept_text`` has the whole characters of the bytes that stay.  Other
+    columns are ignored; an empty table gives an empty result.
     """
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
+            out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")}
             for doc, text, spans, copied in zip(b.column("doc_id").to_pylist(), _bytes(b.column("text")),
                                                 b.column("spans").to_pylist(), b.column("copied").to_pylist(), strict=True):
                 cut = united(spans, bool(copied), len(text), length)
-                kept = hashlib.sha256()
-                for (_, a), (z, _) in zip([(0, 0), *cut], [*cut, (len(text), 0)], strict=True):
-                    kept.update(text[a:z])
-                for k, v in zip(out, (doc, len(text), sum(z - a for a, z in cut), len(cut), kept.hexdigest(),
-                                      [{"first": a, "end": z} for a, z in cut]), strict=True):
+                kept = b"".join(text[a:z] for (_, a), (z, _) in zip([(0, 0), *cut], [*cut, (len(text), 0)], strict=True))
+                for k, v in zip(out, (doc, len(text), sum(z - a for a, z in cut), len(cut), hashlib.sha256(kept).hexdigest(),
+                                      kept.decode("utf-8", "ignore"), [{"first": a, "end": z} for a, z in cut]), strict=True):
                     out[k].append(v)
             if out["doc_id"]:
                 yield pa.RecordBatch.from_pydict(out, pa.schema([
                     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                    ("kept_sha256", pa.string()),
+                    ("kept_sha256", pa.string()), ("kept_text", pa.string()),
                     ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]))
 
     marked, _, _ = _marked(docs.select("doc_id", "text"), length)
     return marked.select("doc_id", "text", "spans", "copied").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, "
              "spans array<struct<first: long, end: long>>")
 
 
