@@ -215,7 +215,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     sizes = stored(relation.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-sizes")
     none, found = F.array().cast("array<bigint>"), []
     for k in range(1, longest + 1):
-        counted = stored(_counted(relation, least), f"phrases-frequent-{k}")
+        # Settled, so that the shuffle files of one length can go before the next is counted.
+        counted = settled(docs.sparkSession, f"phrases-frequent-{k}", lambda r=relation: _counted(r, least))
         if k == 1:
             found.append(counted.select("lang", "phrase", "a", F.lit(None).cast("string").alias("left"),
                                         F.lit(None).cast("string").alias("right"), none.alias("begins"), none.alias("ends")))
