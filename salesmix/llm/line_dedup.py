@@ -76,7 +76,8 @@ def near_lines(lines: DataFrame) -> DataFrame:
     """(lid): lines with an earlier line one edit away.  ``lines``: lid, line, first."""
     blocks = lines.select("lid", "first", F.length("line").alias("size"), F.explode(_block_keys(F.col("line"))).alias("b")) \
         .select("lid", "first", "size", "b.*")
-    kept = blocks.join(_shared(blocks.select("lid", "key"), "ln-blocks"), "key")
+    # Read three times below; making the keys is the dearest step, so they are kept.
+    kept = stored(blocks.join(_shared(blocks.select("lid", "key"), "ln-blocks"), "key"), "ln-kept")
 
     def variants(tag: str, with_place: bool) -> Column:
         def one(i: Column) -> Column:
