@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmix.llm.common import settled, stored
+from salesmix.llm.common import discard, settled, stored
 from salesmix.llm.components import components, forest
 from salesmix.llm.shingles import mix, shingle_sets
 
@@ -261,19 +261,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    spark = docs.sparkSession
     signed = stored(signatures(docs, percent), "mh-signed")
+    ids = stored(signed.select("doc_id", *SET), "mh-ids")
     filled = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # Each distinct set is a node; doc_id names nodes from here on, as two texts may have one id.
     sets = stored(filled.groupBy(*SET).agg(F.min("doc_id").alias("rep"))
                   .withColumn("node", F.monotonically_increasing_id()), "mh-groups")
     reps = stored(filled.withColumnRenamed("doc_id", "rep").join(sets, [*SET, "rep"]).dropDuplicates([*SET, "rep"])
                   .select(F.col("node").alias("doc_id"), "n_shingles", "regs", "small"), "mh-reps")
-    shared = stored(_keys(reps).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "mh-shared")
-    members = stored(_keys(reps).join(shared, "key").select("key", "doc_id"), "mh-members")
+    discard(signed)  # registers are the bulk of it
+
+    def shared_keys() -> DataFrame:
+        shared = stored(_keys(reps).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "mh-shared")
+        return _keys(reps).join(shared, "key").select("key", "doc_id")
+
+    # Steps are settled, so that their tables and shuffle files go before the next.
+    members = settled(spark, "mh-members", shared_keys)
     wanted = sets.join(members.select(F.col("doc_id").alias("node")).distinct(), "node")
-    full = stored(_full_sets(docs, stored(wanted, "mh-wanted")), "mh-sets")
+    full = settled(spark, "mh-sets", lambda: _full_sets(docs, stored(wanted, "mh-wanted")))
     links, comps = [], None
-    for step in range(ROUNDS):
+
+    def round_links(step: int) -> DataFrame:
         placed = members.withColumn("component", F.col("doc_id")) if comps is None else stored(
             _placed(members, comps), "mh-placed")
         who = F.struct(F.xxhash64(F.lit(step), "doc_id").alias("h"), F.col("doc_id").alias("id"), "component")
@@ -283,16 +292,22 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
                          "mh-centres")
         tested = stored(placed.join(centres, "key").filter("component <> main")
                         .select("a", F.col("doc_id").alias("b")).distinct(), "mh-pairs")
-        links.append(stored(_confirmed(_promising(tested, reps, percent), full, percent), "mh-links"))
+        likely = stored(_promising(tested, reps, percent), "mh-likely")
+        return _confirmed(likely, full, percent)
+
+    for step in range(ROUNDS):
+        links.append(settled(spark, "mh-links", lambda at=step: round_links(at)))
         comps = components(reduce(DataFrame.unionByName, links))
-    links.append(_family_links(members, comps, full, percent))
+    links.append(settled(spark, "mh-late", lambda: _family_links(members, comps, full, percent)))
+    for done in (full, reps, members):
+        discard(done)
     first = components(reduce(DataFrame.unionByName, links))
     placed = sets.join(first.withColumnRenamed("id", "node"), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     groups = stored(placed.join(least, "component").select(*SET, "component_id"), "mh-told")
-    joined = filled.select("doc_id", *SET).join(groups, SET, "left").select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select(
+    joined = ids.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(groups, SET, "left").select("doc_id", "n_shingles", "component_id")
+    alone = ids.filter("n_shingles = 0 OR doc_id IS NULL").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

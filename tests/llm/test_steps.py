@@ -1,6 +1,9 @@
 """Steps that must not be done, or kept, more often than needed."""
 
-from salesmix.llm import line_dedup
+import os
+
+from salesmix.llm import line_dedup, minhash_dedup
+from salesmix.session import scope
 
 
 def test_block_keys_are_made_once_for_all_variants(spark, monkeypatch):
@@ -17,3 +20,17 @@ def test_block_keys_are_made_once_for_all_variants(spark, monkeypatch):
     assert got == {1: line, 2: "", 3: ""}
     # One for the characters of a block in two of the three branches, none for the blocks.
     assert plans["ln-variants"].count("Generate ") == 2
+
+
+def test_tables_of_near_copies_go_when_they_are_used(spark, docs, monkeypatch):
+    left, stored = {}, minhash_dedup.stored
+
+    def seen(df, name):
+        left[name] = {os.path.basename(f).rpartition("-")[0] for f in folders if os.path.exists(f)}
+        return stored(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "stored", seen)
+    with scope() as folders:
+        minhash_dedup.near_duplicates(docs)
+    assert "mh-signed" not in left["mh-wanted"] and "mh-shared" not in left["mh-wanted"]
+    assert not {"mh-signed", "mh-pairs", "mh-blocks", "mh-sets", "mh-reps", "mh-members"} & left["mh-told"]
