@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesmix.llm.bloom import maybe_in
 from salesmix.llm.common import discard, settled, stored
 from salesmix.llm.components import components, forest
 from salesmix.llm.shingles import mix, shingle_sets
@@ -160,7 +161,10 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     [b.column("doc_id"), *_prints(found), pa.array([s.tobytes() for s in found], pa.binary())],
                     ["rep", *SET, "shingles"])
 
-    some = docs.select("doc_id", "text").join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # The Bloom filter spares the texts that nobody asks for a shuffle.
+    wanted = nodes.select(F.col("rep").alias("doc_id")).distinct()
+    some = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), nodes, F.col("rep"), "maybe").filter("maybe").drop("maybe")
+    some = some.join(wanted, "doc_id", "left_semi")
     rows = some.mapInArrow(run, "rep long, n_shingles long, set_a long, set_b long, shingles binary")
     return rows.join(nodes, [*SET, "rep"]).dropDuplicates([*SET, "rep"]).select(F.col("node").alias("doc_id"), "shingles")
 

@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from salesmix.llm import line_dedup, minhash_dedup
 from salesmix.session import scope
 
@@ -34,3 +36,16 @@ def test_tables_of_near_copies_go_when_they_are_used(spark, docs, monkeypatch):
         minhash_dedup.near_duplicates(docs)
     assert "mh-signed" not in left["mh-wanted"] and "mh-shared" not in left["mh-wanted"]
     assert not {"mh-signed", "mh-pairs", "mh-blocks", "mh-sets", "mh-reps", "mh-members"} & left["mh-told"]
+
+
+def test_only_wanted_texts_are_shuffled_for_their_sets(spark, docs):
+    signed = minhash_dedup.signatures(docs).filter("n_shingles > 0")
+    nodes = signed.filter("doc_id < 100").groupBy(*minhash_dedup.SET).agg(F.min("doc_id").alias("rep")).withColumn(
+        "node", F.monotonically_increasing_id())
+    nodes = minhash_dedup.stored(nodes, "nodes")
+    got = minhash_dedup._full_sets(docs, nodes)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.node for r in nodes.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    exact, bloom = (next(k for k, line in enumerate(plan) if f"Join {kind}" in line) for kind in ("LeftSemi", "LeftOuter"))
+    text = next(k for k, line in enumerate(plan) if "text" in line and "LogicalRDD" in line or "text" in line and "LocalRelation" in line)
+    assert exact < bloom < text  # the texts meet the filter before the join that shuffles them
