@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from salesmix.llm import embedding_dedup, html_text
+from salesmix.llm import embedding_dedup, html_text, suffix_dedup
 from salesmix.llm.boosting import fit_trees
 from salesmix.llm.common import prepare
 from salesmix.llm.components import components
@@ -125,3 +125,17 @@ def test_pages_table(spark, page_model):
     assert html_text.main_text(df.filter("false"), page_model).count() == 0
     assert len(html_text.fit(df, 5).main.leaves) > 0
     html_text.fit(df.filter("false"))
+
+
+def test_anchors_are_the_least_hash_leftmost_of_equals():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[1000:1400] = 97  # equal hashes side by side
+    h, at = suffix_dedup.anchors_of(data, 60, 20)
+    place = np.uint64((1 << (suffix_dedup.SEGMENT + 60).bit_length()) - 1)
+    part = suffix_dedup.anchors_of(data[500:2000], 60, 20)[1]  # a shorter buffer has the same anchors
+    assert part.tolist() == (at[500:500 + len(part)] - 500).tolist()
+    assert at.tolist() == [k + int(np.argmin(h[k:k + 41] & ~place)) for k in range(len(data) - 59)]
+    keys = rng.integers(0, 50, 999).astype(np.uint64)
+    first = {}
+    assert suffix_dedup.firsts_of(keys).tolist() == [first.setdefault(v, k) for k, v in enumerate(keys.tolist())]
