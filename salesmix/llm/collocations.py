@@ -3,12 +3,15 @@
 The relation of length k has a row for each occurrence of a phrase of k words that may be
 frequent: piece, position, phrase.  It is written in blocks of documents of one language,
 sorted by position and compressed; a piece of text ends where positions are not adjacent.
-Phrases are counted in each block and over all blocks by a grouping, which alone is
-shuffled.  The relation is semi-joined with the frequent phrases by a Bloom filter of
-bounded size that every task holds, and then merge-joined with itself at adjacent positions
-of a piece: two phrases that overlap in all but their ends make one of k + 1 words.  What
-passes the filter wrongly is counted like the rest and falls out there, because a phrase
-is no more frequent than its parts.  A relation is removed when the next one is written.
+Phrases are counted in two passes, as most of them are rare.  First a sorted list of 40-bit
+hashes with counts, of a few bytes a phrase, goes from each task to each part of the hashes;
+what no part finds often enough is no frequent phrase.  The others make a Bloom filter of
+bounded size that every task holds; what passes it, some rare phrases too, is counted exactly,
+by a grouping of the phrases themselves.  The relation is semi-joined by the same filter and
+then merge-joined with itself at adjacent positions of a piece: two phrases that overlap in
+all but their ends make one of k + 1 words.  What passes the filter wrongly is counted like
+the rest and falls out there, because a phrase is no more frequent than its parts.  A relation
+is removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -25,11 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesmix.llm.common import discard, rows_a_batch, settled, stored
+from salesmix.llm.shingles import mix
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK_WORDS = 1 << 19  # words in a block, or a little more: a document is in one block
 HELD_BLOCKS = 4  # words of all unfinished blocks of a task, in blocks
 BITS_A_PHRASE, MOST_SLICES, SLICE_BITS = 16, 64, 1 << 21  # of the filter: 16 MB at most
+HASH_BITS = 40  # of the first count; equal hashes of two phrases let both into the second
+HELD, PART = 1 << 20, 1 << 20  # hashes that a task holds before they go, and of all tasks in a part
 _BREAK = -1
 # A-Z become a-z, tab parts words like space, the others part pieces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
@@ -65,7 +71,7 @@ _FIRST = "block long, lang string, n long, items binary, phrases array<string>,
 
 def _packed(values: np.ndarray) -> bytes:
     """Whole numbers from -1 up, compressed: width and number of bytes, then the values plus 1."""
-    kind = next(k for k in ("<u1", "<u2", "<u4") if int(values.max(initial=-1)) + 2 <= 1 << 8 * int(k[2]))
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(values.max(initial=-1)) + 2 <= 1 << 8 * int(k[2]))
     raw = (values + 1).astype(kind).tobytes()
     return struct.pack("<BQ", int(kind[2]), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -110,31 +116,87 @@ def _first_relation(block_words: int):
     return run
 
 
-def _hashes(lang: list[str], phrases: list[str]) -> np.ndarray:
-    """A 64-bit hash of each phrase with its language."""
+def _hashes(lang: str, phrases: list[str]) -> np.ndarray:
+    """A hash of HASH_BITS of each phrase with its language."""
     own = pd.util.hash_array(np.array(phrases, dtype=object), categorize=False)
-    return pd.util.hash_array(own ^ pd.util.hash_array(np.array(lang, dtype=object)) * np.uint64(0x9E3779B97F4A7C15))
+    of_lang = pd.util.hash_array(np.array([lang], dtype=object)) * np.uint64(0x9E3779B97F4A7C15)
+    return pd.util.hash_array(own ^ of_lang) >> np.uint64(64 - HASH_BITS)
+
+
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and the sum of each one's counts."""
+    h = np.concatenate(hashes)
+    order = np.argsort(h)
+    h, n = h[order], np.concatenate(counts)[order]
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[head], np.add.reduceat(n, head)
+
+
+def _dealt(parts: int):
+    """Sorted hashes with their counts, a row for each part of the hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            h, n = _summed(hashes, counts)
+            part = (h * np.uint64(parts)) >> np.uint64(HASH_BITS)
+            head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ranges = list(zip(head.tolist(), [*head[1:].tolist(), len(h)], strict=True))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[head].astype(np.int64)), pa.array(h[head].astype(np.int64)),
+                 pa.array([_packed(np.diff(h[a:z].astype(np.int64))) for a, z in ranges], pa.binary()),
+                 pa.array([_packed(n[a:z]) for a, z in ranges], pa.binary())], ["part", "first", "steps", "counts"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                phrases = batch.column("phrases")[row].as_py()
+                if phrases:
+                    hashes.append(_hashes(batch.column("lang")[row].as_py(), phrases))
+                    counts.append(batch.column("counts")[row].values.to_numpy())
+                if sum(map(len, hashes)) >= HELD:
+                    yield rows()
+                    hashes, counts = [], []
+        if hashes:
+            yield rows()
+
+    return run
+
+
+def _possible(relation: DataFrame, least: int) -> DataFrame:
+    """h: the hashes under which phrases of a relation occur often enough, those of all frequent ones among them."""
+    found = relation.agg(F.sum(F.size("counts")).alias("n")).first().n or 0
+    dealt = relation.select("lang", "phrases", "counts").mapInArrow(
+        _dealt(max(1, -(-found // PART))), "part long, first long, steps binary, counts binary")
+
+    def often(group: pa.Table) -> pa.Table:
+        rows = group.select(["first", "steps", "counts"]).to_pylist()
+        h, n = _summed([r["first"] + np.cumsum(np.r_[0, _unpacked(r["steps"])]) for r in rows],
+                       [_unpacked(r["counts"]) for r in rows])
+        return pa.table({"h": pa.array(h[n >= least], pa.int64())})
+
+    return dealt.groupBy("part").applyInArrow(often, "h long")
 
 
 def _places(h: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slice of the filter and two bits in it."""
-    bits = np.uint64(SLICE_BITS)
+    bits, h = np.uint64(SLICE_BITS), mix(h.astype(np.uint64))
     return (h >> np.uint64(48)) % np.uint64(slices), h % bits, (h >> np.uint64(21)) % bits
 
 
 class Filter:
-    """Frequent phrases as bits, in slices that tasks make independently."""
+    """Hashes of phrases as bits, in slices that tasks make independently."""
 
-    def __init__(self, frequent: DataFrame):
-        """``frequent``: a written table of lang and phrase."""
-        n = frequent.count()
+    def __init__(self, possible: DataFrame):
+        """``possible``: a written table of h."""
+        n = possible.count()
         wanted = -(-n * BITS_A_PHRASE // SLICE_BITS)
         self.slices = slices = min(MOST_SLICES, 1 << max(0, wanted - 1).bit_length())
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    at = _places(_hashes(b.column("lang").to_pylist(), b.column("phrase").to_pylist()), slices)
+                    at = _places(b.column("h").to_numpy(), slices)
                     yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in at], ["slice", "x", "y"])
 
         def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +209,7 @@ class Filter:
             for k, mine in made.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(mine).tobytes()])], ["slice", "bits"])
 
-        rows = (frequent.select("lang", "phrase").mapInArrow(hashed, "slice int, x int, y int")
+        rows = (possible.mapInArrow(hashed, "slice int, x int, y int")
                 .repartition(slices, "slice").mapInArrow(bits, "slice int, bits binary").collect())
         # At most MOST_SLICES rows of SLICE_BITS bits.
         self.bits = np.zeros((slices, SLICE_BITS // 8), np.uint8)
@@ -157,7 +219,7 @@ class Filter:
     def may_hold(self, lang: str, phrases: list[str]) -> np.ndarray:
         if not phrases:
             return np.zeros(0, bool)
-        which, x, y = _places(_hashes([lang], phrases), self.slices)
+        which, x, y = _places(_hashes(lang, phrases), self.slices)
 
         def is_set(bit: np.ndarray) -> np.ndarray:
             return (self.bits[which, bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1 == 1
@@ -195,11 +257,25 @@ def _extend(shared: Broadcast):
     return run
 
 
-def _counted(relation: DataFrame, least: int) -> DataFrame:
+def _thinned(shared: Broadcast):
+    """The phrases of each block that may be frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lang, phrases = batch.column("lang")[row].as_py(), batch.column("phrases")[row]
+                at = np.flatnonzero(shared.value.may_hold(lang, phrases.as_py()))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(at)), phrases.values.take(pa.array(at)), batch.column("counts")[row].values.take(pa.array(at))],
+                        ["lang", "phrase", "a"])
+
+    return run
+
+
+def _counted(relation: DataFrame, shared: Broadcast, least: int) -> DataFrame:
     """lang, phrase, a: the phrases of a relation that occur often enough."""
-    each = relation.select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
-    return (each.groupBy("lang", F.col("x.phrases").alias("phrase")).agg(F.sum("x.counts").alias("a"))
-            .filter(F.col("a") >= least))
+    each = relation.select("lang", "phrases", "counts").mapInArrow(_thinned(shared), "lang string, phrase string, a long")
+    return each.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST,
@@ -210,13 +286,19 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     its first word), begins (occurrences of its first word, first two, ...) and ends (of its
     last word, last two, ...), without itself.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
     relation = stored(docs.mapInArrow(_first_relation(block_words), _FIRST), "phrases-relation-1")
     sizes = stored(relation.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-sizes")
     none, found = F.array().cast("array<bigint>"), []
     for k in range(1, longest + 1):
         # Settled, so that the shuffle files of one length can go before the next is counted.
-        counted = settled(docs.sparkSession, f"phrases-frequent-{k}", lambda r=relation: _counted(r, least))
+        with rows_a_batch(spark, 2):  # a row is a whole block
+            possible = settled(spark, f"phrases-possible-{k}", lambda r=relation: _possible(r, least))
+        shared = spark.sparkContext.broadcast(Filter(possible))
+        discard(possible)
+        with rows_a_batch(spark, 2):
+            counted = settled(spark, f"phrases-frequent-{k}", lambda r=relation, s=shared: _counted(r, s, least))
         if k == 1:
             found.append(counted.select("lang", "phrase", "a", F.lit(None).cast("string").alias("left"),
                                         F.lit(None).cast("string").alias("right"), none.alias("begins"), none.alias("ends")))
@@ -227,13 +309,12 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
             right = shorter.select("lang", F.col("phrase").alias("right"), F.concat("ends", F.array("a")).alias("ends"))
             found.append(stored(counted.join(left, ["lang", "left"]).join(right, ["lang", "right"]), f"phrases-{k}"))
         if k < longest:
-            shared = docs.sparkSession.sparkContext.broadcast(Filter(counted))
             columns = ["block", "lang", F.col("positions") if k > 1 else F.lit(None).cast("binary").alias("positions"), "items", "phrases"]
-            with rows_a_batch(docs.sparkSession, 2):  # a row is a whole block
+            with rows_a_batch(spark, 2):
                 longer = stored(relation.select(*columns).mapInArrow(_extend(shared), _NEXT), f"phrases-relation-{k + 1}")
             discard(relation)
-            shared.unpersist()
             relation = longer
+        shared.unpersist()
     return found, sizes
 
 

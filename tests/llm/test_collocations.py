@@ -77,3 +77,23 @@ def test_registered(spark, sf_dir):
     rows = [(r.lang, r.text) for r in docs.collect()]
     assert sorted(tuple(r) for r in collocations.collocations(docs, least=15).collect()) == plain(rows, 15)
     assert sorted(tuple(r) for r in queries.op13_collocations(spark, sf_dir).collect()) == plain(rows, 100)
+
+
+def test_rare_phrases_are_not_shuffled(spark, monkeypatch):
+    """Before the exact count a phrase costs a few bytes, and only what may be frequent is counted."""
+    rng = random.Random(8)
+    rows = [("en", " ".join("w" + str(rng.randrange(200)) for _ in range(300)) + " new york city" * 2) for _ in range(60)]
+    sizes, counted = [], collocations._counted
+
+    def seen(relation, shared, least):
+        found = sum(len(r.counts) for r in relation.collect())
+        dealt = relation.select("lang", "phrases", "counts").mapInArrow(
+            collocations._dealt(3), "part long, first long, steps binary, counts binary").collect()
+        thin = relation.mapInArrow(collocations._thinned(shared), "lang string, phrase string, a long").count()
+        sizes.append((found, sum(len(r.steps) + len(r.counts) for r in dealt), thin))
+        return counted(relation, shared, least)
+
+    monkeypatch.setattr(collocations, "_counted", seen)
+    assert mined(spark, rows, least=50) == plain(rows, 50)
+    found, bytes_, thin = sizes[1]
+    assert found > 10_000 and bytes_ < 5 * found and thin < found / 100
