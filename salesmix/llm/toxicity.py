@@ -445,7 +445,7 @@ def choose_landmarks(texts: list[list[str]], labels: np.ndarray, count: int | No
     for y in (0, 1):
         own = [t for t, label in zip(texts, labels, strict=True) if label == y]
         for family in _families(own):
-            one.append([w for k in family for w in (*own[k], BREAK)])
+            one.append(own[family[0]] if len(family) == 1 else [w for k in family for w in (*own[k], BREAK)])
             ones.append(y)
     texts, labels = one, np.array(ones, dtype=int)
     p, n = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
@@ -499,7 +499,9 @@ def fit_rows(texts: list[str], labels: list[int], landmarks: int | None = None)
     """Fit on texts in memory.  Without any positive text every score is low."""
     pairs = sorted({(t or "", int(y)) for t, y in zip(texts, labels, strict=True)})
     y = np.array([p[1] for p in pairs], dtype=int)
-    split = [tokens(p[0]) for p in pairs]
+    same: dict[str, str] = {}  # a word is held once, however often it occurs
+    split = [[same.setdefault(w, w) for w in tokens(p[0])] for p in pairs]
+    del texts, pairs, same
     chosen = choose_landmarks(split, y, landmarks)
     kernel = Kernel(chosen)
     if not chosen:
@@ -546,10 +548,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_negati
     chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
               for y, most in ((1, max_positive), (0, max_negative))]
     ids = chosen[0].unionByName(chosen[1])
-    got = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-           .join(F.broadcast(ids), "doc_id").select("text", "toxic")
-           .limit(max_positive + max_negative).collect())
-    return fit_rows([r.text for r in got], [r.toxic for r in got], landmarks)
+    return fit_rows(*_columns(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+                              .join(F.broadcast(ids), "doc_id").select("text", "toxic")
+                              .limit(max_positive + max_negative)), landmarks)
+
+
+def _columns(bounded: DataFrame) -> list[list]:
+    """The columns of a few rows; only the fit holds them, which lets go of the texts once they are split."""
+    rows = bounded.collect()
+    return [[r[k] for r in rows] for k in range(len(bounded.columns))]
 
 
 def score_texts(model: Model, texts: list[str], describe: Describer) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Operators on documents against plain versions."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,6 +281,20 @@ def test_toxicity_of_rare_insults_and_phrases(words):
     assert len(few.kernel.landmarks) == 2
 
 
+def test_fit_holds_a_word_once(words):
+    """The driver's memory follows the number of words by a list entry, not by a string each."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(words, 2000)) + (" idiot" if k % 4 == 0 else "") for k in range(200)]
+    labels = [int(k % 4 == 0) for k in range(200)]
+    tracemalloc.start()
+    try:
+        model = toxicity.fit_rows(texts, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert "idiot" in model.kernel.landmarks and peak < 45 * 2000 * 200
+
+
 def test_phrases_end_with_their_sentence():
     describe = toxicity.Describer(toxicity.Kernel(["idiot", "green cow", "old tree stump", "8 9"]))
     found = []
