@@ -3,11 +3,11 @@
 The relation of length k has a row for each occurrence of a phrase of k words that may be
 frequent: piece, position, phrase.  It is written in blocks of documents of one language,
 sorted by position and compressed; a piece of text ends where positions are not adjacent.
-Phrases are counted in two passes, as most of them are rare.  First a sorted list of 40-bit
+Phrases are counted in two passes, as most of them are rare.  First a sorted list of 32-bit
 hashes with counts, of a few bytes a phrase, goes from each task to each part of the hashes;
 what no part finds often enough is no frequent phrase.  The others make a Bloom filter of
 bounded size that every task holds; what passes it, some rare phrases too, is counted exactly,
-by a grouping of the phrases themselves.  The relation is semi-joined by the same filter and
+by a grouping of the phrases themselves, added up in a task before they leave it.  The relation is semi-joined by the same filter and
 then merge-joined with itself at adjacent positions of a piece: two phrases that overlap in
 all but their ends make one of k + 1 words.  What passes the filter wrongly is counted like
 the rest and falls out there, because a phrase is no more frequent than its parts.  A relation
@@ -34,8 +34,9 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK_WORDS = 1 << 19  # words in a block, or a little more: a document is in one block
 HELD_BLOCKS = 4  # words of all unfinished blocks of a task, in blocks
 BITS_A_PHRASE, MOST_SLICES, SLICE_BITS = 16, 64, 1 << 21  # of the filter: 16 MB at most
-HASH_BITS = 40  # of the first count; equal hashes of two phrases let both into the second
+HASH_BITS = 32  # of the first count; equal hashes of two phrases let both into the second
 HELD, PART = 1 << 20, 1 << 20  # hashes that a task holds before they go, and of all tasks in a part
+THINNED = 1 << 17  # phrases that a task holds before it adds them up
 _BREAK = -1
 # A-Z become a-z, tab parts words like space, the others part pieces.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 10)
@@ -66,20 +67,31 @@ class _Block:
         self.items += [items, np.array([_BREAK], np.int32)]
 
 
-_FIRST = "block long, lang string, n long, items binary, phrases array<string>, counts array<long>"
+_FIRST = "block long, lang string, n long, items binary, phrases binary, counts array<long>"
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers from -1 up, compressed: width and number of bytes, then the values plus 1."""
+    """Whole numbers from -1 up, compressed: width and number of bytes, then the values plus 1, all first bytes before all second ones."""
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if int(values.max(initial=-1)) + 2 <= 1 << 8 * int(k[2]))
-    raw = (values + 1).astype(kind).tobytes()
+    raw = np.ascontiguousarray((values + 1).astype(kind).view(np.uint8).reshape(len(values), int(kind[2])).T).tobytes()
     return struct.pack("<BQ", int(kind[2]), len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     width, size = struct.unpack_from("<BQ", data)
-    raw = pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, f"<u{width}").astype(np.int64) - 1
+    raw = np.frombuffer(pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, size // width).T).view(f"<u{width}").ravel().astype(np.int64) - 1
+
+
+def _packed_text(phrases: list[str]) -> bytes:
+    """Phrases, which hold no line ends, compressed: number of bytes, then a line each."""
+    raw = "".join(p + "\n" for p in phrases).encode()
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked_text(data: bytes) -> list[str]:
+    raw = pa.decompress(data[8:], decompressed_size=struct.unpack_from("<Q", data)[0], codec="zstd", asbytes=True)
+    return raw.decode().split("\n")[:-1]
 
 
 def _first_relation(block_words: int):
@@ -96,7 +108,7 @@ def _first_relation(block_words: int):
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([number - 1], pa.int64()), "lang": pa.array([lang]), "n": pa.array([block.size], pa.int64()),
                 "items": pa.array([_packed(items)], pa.binary()),
-                "phrases": pa.array([[w.decode() for w in list(block.words)[2:]]], pa.list_(pa.string())),
+                "phrases": pa.array([_packed_text([w.decode() for w in list(block.words)[2:]])], pa.binary()),
                 "counts": pa.ListArray.from_arrays([0, len(counts)], pa.array(counts.astype(np.int64)))})
 
         for batch in batches:
@@ -150,7 +162,7 @@ def _dealt(parts: int):
 
         for batch in batches:
             for row in range(batch.num_rows):
-                phrases = batch.column("phrases")[row].as_py()
+                phrases = _unpacked_text(batch.column("phrases")[row].as_py())
                 if phrases:
                     hashes.append(_hashes(batch.column("lang")[row].as_py(), phrases))
                     counts.append(batch.column("counts")[row].values.to_numpy())
@@ -227,7 +239,7 @@ class Filter:
         return is_set(x) & is_set(y)
 
 
-_NEXT = "block long, lang string, positions binary, items binary, phrases array<string>, counts array<long>"
+_NEXT = "block long, lang string, positions binary, items binary, phrases binary, counts array<long>"
 
 
 def _extend(shared: Broadcast):
@@ -237,7 +249,7 @@ def _extend(shared: Broadcast):
             for row in range(batch.num_rows):
                 block, lang, places, items, phrases = (
                     batch.column(c)[row].as_py() for c in ("block", "lang", "positions", "items", "phrases"))
-                items = _unpacked(items)
+                items, phrases = _unpacked(items), _unpacked_text(phrases)
                 kept = np.r_[shared.value.may_hold(lang, phrases), False]  # the last is for ends of pieces
                 at = np.flatnonzero(kept[items])
                 mine = items[at]
@@ -250,7 +262,7 @@ def _extend(shared: Broadcast):
                               for x, y in zip((pairs // len(phrases)).tolist(), (pairs % len(phrases)).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block], pa.int64()), pa.array([lang]), pa.array([_packed(np.diff(places[meets], prepend=0))], pa.binary()),
-                         pa.array([_packed(found)], pa.binary()), pa.array([longer], pa.list_(pa.string())),
+                         pa.array([_packed(found)], pa.binary()), pa.array([_packed_text(longer)], pa.binary()),
                          pa.ListArray.from_arrays([0, len(counts)], pa.array(counts.astype(np.int64)))],
                         ["block", "lang", "positions", "items", "phrases", "counts"])
 
@@ -258,16 +270,30 @@ def _extend(shared: Broadcast):
 
 
 def _thinned(shared: Broadcast):
-    """The phrases of each block that may be frequent."""
+    """The phrases that may be frequent, with their occurrences in the blocks of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, summed = [], 0, 0
+
+        def merged() -> pa.Table:
+            found = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("a", "sum")])
+            return found.select(["lang", "phrase", "a_sum"]).rename_columns(["lang", "phrase", "a"])
+
         for batch in batches:
             for row in range(batch.num_rows):
-                lang, phrases = batch.column("lang")[row].as_py(), batch.column("phrases")[row]
-                at = np.flatnonzero(shared.value.may_hold(lang, phrases.as_py()))
+                lang, phrases = batch.column("lang")[row].as_py(), _unpacked_text(batch.column("phrases")[row].as_py())
+                at = np.flatnonzero(shared.value.may_hold(lang, phrases))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(at)), phrases.values.take(pa.array(at)), batch.column("counts")[row].values.take(pa.array(at))],
-                        ["lang", "phrase", "a"])
+                    held.append(pa.table({"lang": pa.array([lang] * len(at)), "phrase": pa.array([phrases[k] for k in at.tolist()]),
+                                          "a": batch.column("counts")[row].values.take(pa.array(at))}))
+                    rows += len(at)
+                if rows >= 2 * summed + THINNED:  # so that adding up costs no more than what came
+                    held = [merged()]
+                    rows = summed = held[0].num_rows
+                    if rows >= HELD // 2:
+                        yield from held[0].to_batches()
+                        held, rows, summed = [], 0, 0
+        if held:
+            yield from merged().to_batches()
 
     return run
 

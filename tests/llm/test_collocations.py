@@ -97,3 +97,15 @@ def test_rare_phrases_are_not_shuffled(spark, monkeypatch):
     assert mined(spark, rows, least=50) == plain(rows, 50)
     found, bytes_, thin = sizes[1]
     assert found > 10_000 and bytes_ < 5 * found and thin < found / 100
+
+
+def test_a_task_adds_up_its_blocks(spark, monkeypatch):
+    """A phrase leaves a task once, in how many of its blocks it may be."""
+    prepare(spark)
+    monkeypatch.setattr(collocations, "THINNED", 20)
+    docs = spark.createDataFrame([(lang, "the cat sat. on a mat " * 10) for lang in ("en", "de") * 20], "lang string, text string").coalesce(1)
+    relation = docs.mapInArrow(collocations._first_relation(50), collocations._FIRST)
+    assert relation.count() > 10
+    shared = spark.sparkContext.broadcast(collocations.Filter(collocations._possible(relation, 1)))
+    got = relation.mapInArrow(collocations._thinned(shared), "lang string, phrase string, a long").collect()
+    assert sorted(map(tuple, got)) == sorted((lang, w, 200) for lang in ("en", "de") for w in "the cat sat on a mat".split())
