@@ -66,3 +66,18 @@ def forest(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tup
     heads = ids_a[rows]
     return ([(int(heads[l]), int(x)) for l, x in zip(la, heads, strict=True)]
             + [(int(heads[l]), int(ids_b[c])) for l, c in zip(lb, cols, strict=True)])
+
+
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """Edges from the least id of each component to its others, for ``edges`` as rows of two ids."""
+    ids, ends = np.unique(edges, return_inverse=True)
+    ends, label = ends.reshape(-1, 2), np.arange(len(ids))
+    while True:
+        a, b = label[ends[:, 0]], label[ends[:, 1]]
+        if (a == b).all():
+            break
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    others = np.flatnonzero(label != np.arange(len(ids)))
+    return np.c_[ids[label[others]], ids[others]]

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from salesmix.llm import embedding_dedup, html_text, suffix_dedup
 from salesmix.llm.boosting import fit_trees
 from salesmix.llm.common import prepare
-from salesmix.llm.components import components
+from salesmix.llm.components import components, spanning
 from salesmix.llm.range_coder import decode_blocks, encode_blocks
 from salesmix.llm.suffix_array import suffix_ranks
 from tests.llm import brute
@@ -89,6 +89,57 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(df.filter("vec_id >= 7001 AND vec_id < 7007")).count() == 6
 
 
+def vectors_with_groups():
+    rng = np.random.default_rng(11)
+    heads = rng.normal(size=(5, 40))
+    rows = [(k * 3, [float(x) for x in np.float32(heads[k % 5] * (k % 2) + (0.1 if k % 2 else 1) * rng.normal(size=40))]) for k in range(300)]
+    return rows + [(2001 + k, rows[k % 9][1]) for k in range(20)]
+
+
+def test_vectors_of_many_chunks(spark, monkeypatch):
+    prepare(spark)
+    rows = vectors_with_groups()
+    for name, value in (("BLOCK", 16), ("CHUNK", 4 * 16 * 40 * 8), ("FOLD", 0.5)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute.linked_vectors(rows, 0.9)
+
+
+def test_vectors_are_not_shuffled_for_pairs(spark, monkeypatch):
+    """What is compared comes from a scan; the pairs of blocks are no rows that hold them."""
+    prepare(spark)
+    kind, plans = type(spark.range(0)), []
+    given = kind.mapInArrow
+
+    def spy(self, *args, **more):
+        if any(c.endswith("raw") for c in self.columns):
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return given(self, *args, **more)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        embedding_dedup.near_duplicates(spark.createDataFrame(vectors_with_groups(), "vec_id long, embedding array<float>")).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans and not any("Exchange" in p or "Join" in p for p in plans)
+
+
+def test_a_forest_in_place_of_links():
+    rng = np.random.default_rng(12)
+    links = rng.integers(0, 400, (300, 2)) * 7
+    tree = spanning(links)
+    g = brute.Groups(links.ravel().tolist())
+    for a, b in links.tolist():
+        g.join(a, b)
+    want = {x: g.of(x) for x in set(links.ravel().tolist())}
+    assert len(set(tree[:, 1].tolist())) == len(tree) == len(want) - len(set(want.values()))
+    assert all(want[b] == a for a, b in tree.tolist())
+    assert spanning(links[:0]).shape == (0, 2)
+
+
 PAGE = ('<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li>'
         '<li><a href="/b">News</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head %d</h1>'
         '<p>First &amp; long  paragraph, with words.<br>And more of them here.<p>Second <b>bold</b> one, also with words in it.'
